@@ -25,7 +25,7 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
     seed: str = SEED,
-    rows_per_cell: int = 50_000,
+    rows_per_cell: int = 5_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",

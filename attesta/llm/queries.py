@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, quality, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_sharding": sharding.op5_sharding,
         "op8_mixing": mixing.op8_mixing,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op3_quality": quality.oracle(), "op8_mixing": mixing.ORACLE}
