@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, token_counts
+from . import fingerprints, mixing, packing, quality, secrets, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_secrets": secrets.op2_secrets,
         "op3_quality": quality.op3_quality,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_sharding": sharding.op5_sharding,
+        "op6_fingerprints": fingerprints.op6_fingerprints,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_packing": packing.op10_packing,
     }
 
