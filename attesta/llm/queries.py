@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, quality, secrets, sharding, token_counts, toxicity
+from . import fingerprints, mixing, packing, quality, secrets, sharding, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_sharding": sharding.op5_sharding,
         "op6_fingerprints": fingerprints.op6_fingerprints,
+        "op7_substrings": substrings.op7_substrings,
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_packing": packing.op10_packing,
