@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, quality, secrets, sharding, substrings, token_counts, toxicity
+from . import fingerprints, mixing, ngram_join, packing, quality, secrets, sharding, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_secrets": secrets.op2_secrets,
         "op3_quality": quality.op3_quality,
         "op4_token_counts": token_counts.op4_token_counts,
