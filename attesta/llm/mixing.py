@@ -7,11 +7,11 @@ several times its size is taken in whole epochs, then in key order up to the exa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, pieces_for, text_of, written
+from .common import GAP, WORD, documents, pieces_for, text_of, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -30,7 +30,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, epochs, key), a row for each row of docs.
+    """(doc_id, size, source_size, target, taken, epochs, key, s_null, s_val), a row for each row of docs.
 
     Size is the number of words of the whole text (null: 0). Sources in code-point order, null last, have the weights in
     turn and share all words; a target stops at cap times the source's size, its excess goes to the others by weight.
@@ -43,10 +43,8 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).isNull().alias("s_null"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
-            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, KEY_BITS // 4), 16, 10)
-            .cast("long")
-            .alias("key"),
+            _size(text_col).alias("size"),
+            _key(id_col, seed).alias("key"),
         ),
         "mix_sizes",
     )
@@ -61,7 +59,7 @@ def mix_sources(
     )
     aims = source_targets(sized.groupBy(*source).agg(F.sum("size").alias("source_size")), weights, cap)
     cells = cells.join(aims, source)
-    in_cell = W.partitionBy(*source, "cell").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    in_cell = W.partitionBy(*source, "cell").orderBy("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size").rowsBetween(W.unboundedPreceding, 0)
     before = F.col("below") + F.sum("size").over(in_cell) - F.col("size")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - before
     return sized.join(cells, [*source, "cell"]).select(
@@ -72,9 +70,56 @@ def mix_sources(
         (F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least("size", rest))).cast("long").alias("taken"),
         "epochs",
         "key",
+        *source,
     )
 
 
+def _size(text_col: str) -> Column:
+    return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
+
+
+def _key(id_col: str, seed: str) -> Column:
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, in the same columns; a row taken in part keeps its first words.
+
+    What a row gives follows from the epochs of its source and from where the last epoch is cut, so texts are joined with
+    one row a source and not moved. Rows that repeat an id and a size at the cut are cut alike. An n_chars column follows a
+    text that is cut.
+    """
+    mix = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    extra = F.col("taken") - F.col("size") * F.col("epochs")
+    place = F.struct("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
+    cuts = mix.groupBy("s_null", "s_val").agg(
+        F.first("epochs").alias("epochs"), F.min(F.when((F.col("size") > 0) & (extra < F.col("size")), F.struct(place.alias("place"), extra.alias("extra")))).alias("cut")
+    )
+    cuts = written(cuts, "mix_cuts")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(source_col).isNull().alias("s_null"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
+        F.struct(_key(id_col, seed).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), _size(text_col).alias("size")).alias("place"),
+    )
+    rows = rows.join(cuts, ["s_null", "s_val"]).where("place.size > 0")
+    part = F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut.place")), F.col("place.size")).when(F.col("place") == F.col("cut.place"), F.col("cut.extra")).otherwise(0)
+    rows = rows.withColumn("part", part)
+    copies = F.concat(
+        F.array_repeat(F.col("place.size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
+    )
+    rows = rows.select("row", "place", F.explode(copies).alias("words"))
+    text = F.col("row").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({GAP.replace('+', '*')}{WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("changed", F.when(F.col("words") < F.col("place.size"), first))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out[text_col] = F.coalesce("changed", text)
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), out["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in out.items()))
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """Adds target (double), budget and epochs (long) to (s_null, s_val, source_size), which has one row a source.
 
@@ -133,6 +178,6 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
 e AS (SELECT *, CAST(round(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(floor(CAST(round(target) AS DOUBLE) / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t)
 SELECT d.doc_id, d.size, e.source_size, e.target,
        CAST(d.size * epochs + greatest(0, least(d.size, budget - epochs * source_size
-         - (sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size))) AS BIGINT) AS taken
+         - (sum(d.size) OVER (PARTITION BY d.source ORDER BY key, coalesce(CAST(d.doc_id AS VARCHAR), ''), d.size ROWS UNBOUNDED PRECEDING) - d.size))) AS BIGINT) AS taken
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """

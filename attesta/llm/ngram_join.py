@@ -347,5 +347,25 @@ def finished(profiles: DataFrame, units: DataFrame, labels: DataFrame | None) ->
     )
 
 
+def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; documents without words all stay.
+
+    An id names a document; rows that repeat an id and a text are one. While the ids that go are few, they are broadcast
+    and texts stay where they are.
+    """
+    found = written(ngram_join(docs, id_col=id_col, text_col=text_col, **options), "joined")
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(gone, "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    n = found.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(LOWEST))).alias("ids")).first()
+    if n.rows > n.ids:
+        once = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.select(row.alias("row"), F.row_number().over(once).alias("k")).where("k = 1").select("row.*")
+    return out
+
+
 def op1_ngram_join(spark, sf_dir):
     return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, ship, text_of, written
+from .common import documents, ship, written
 
 KINDS = ("assign", "access", "hex", "random")
 #: kind, pattern, group whose length counts, least length; fixed values.
@@ -146,19 +147,21 @@ _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end",
 _TRIED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64())]))
 
 
-def _scanner(keep_text: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, tried = [], []
-            for text in batch.column(batch.num_columns - 1):
-                b, t = scan(text.as_py() or "")
-                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in b])
-                tried.append([dict(zip(("start", "end", "stratum", "p"), x, strict=True)) for x in t])
-            kept = batch.columns if keep_text else batch.columns[:-1]
-            names = batch.schema.names if keep_text else batch.schema.names[:-1]
-            yield pa.record_batch([*kept, pa.array(base, _BASE), pa.array(tried, _TRIED)], names=[*names, "base", "tried"])
+def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column, and what scan() finds in the second."""
+    for batch in batches:
+        base, tried = [], []
+        for text in batch.column(1):
+            b, t = scan(text.as_py() or "")
+            base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in b])
+            tried.append([dict(zip(("start", "end", "stratum", "p"), x, strict=True)) for x in t])
+        yield pa.record_batch([batch.column(0), pa.array(base, _BASE), pa.array(tried, _TRIED)], names=[batch.schema.names[0], "base", "tried"])
 
-    return run
+
+def scanned(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+    """(key, base, tried) of each row."""
+    source = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(_scan, T.StructType([source.schema["key"], *T._parse_datatype_string(SCANNED).fields]))
 
 
 def step_of(p: Column) -> Column:
@@ -166,18 +169,18 @@ def step_of(p: Column) -> Column:
     return F.floor(-F.log10(p) * STEPS).cast("int")
 
 
-def thresholds(scanned: DataFrame, rate: float) -> dict[int, int]:
+def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     """For each stratum with discoveries, the lowest step that Benjamini-Hochberg accepts; at most a few hundred."""
-    counts = scanned.select(F.explode("tried").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), step_of(F.col("t.p")).alias("step")).count()
+    counts = found.select(F.explode("tried").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), step_of(F.col("t.p")).alias("step")).count()
     s = W.partitionBy("stratum")
-    found = (
+    accepted = (
         counts.withColumn("m", F.sum("count").over(s))
         .withColumn("upto", F.sum("count").over(s.orderBy(F.desc("step"))))
         .where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= rate * F.col("upto") / F.col("m"))
         .groupBy("stratum")
         .agg(F.min("step").alias("step"))
     )
-    return {r.stratum: r.step for r in found.collect()}
+    return {r.stratum: r.step for r in accepted.collect()}
 
 
 def spans_of(least: dict[int, int]) -> Column:
@@ -205,9 +208,8 @@ def find_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, id_col:
     Only the spans, never the texts, are written between the scan and the control of false discoveries.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = written(source.mapInArrow(_scanner(False), f"doc_id long, {SCANNED}"), "secret_spans")
-    return scanned.select("doc_id", "base", spans_of(thresholds(scanned, rate)).alias("spans"))
+    found = written(scanned(docs, F.col(id_col).cast("long"), text_col), "secret_spans")
+    return found.select(F.col("key").alias("doc_id"), "base", spans_of(thresholds(found, rate)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
@@ -217,29 +219,25 @@ def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark:
     column follows the new text. The scan runs twice: once for the thresholds, of which only counts are kept.
     """
     ship(docs.sparkSession)
-    scanned = docs.select(F.col(text_col).alias("_text")).mapInArrow(_scanner(False), SCANNED)
-    least = thresholds(scanned, rate)
-    names = docs.columns
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_text string", SCANNED])
-    spans = F.sort_array(spans_of(least))
-    joined = docs.withColumn("_text", F.col(text_col)).mapInArrow(_scanner(True), schema).withColumn("_spans", spans)
-    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("done"))
-    text = F.col("_text")
+    least = thresholds(scanned(docs, F.lit(0), text_col), rate)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = scanned(docs, row, text_col).select("key", spans_of(least).alias("spans"))
+    text = F.col("key").getField(text_col)
     cut = F.aggregate(
-        "_spans",
-        start,
+        "spans",
+        F.struct(F.lit(0).alias("end"), F.lit("").alias("done")),
         lambda s, x: F.when(
             x["start"] >= s["end"],
             F.struct(x["end"].alias("end"), F.concat(s["done"], F.substring(text, s["end"] + 1, x["start"] - s["end"]), F.lit(mark)).alias("done")),
         ).otherwise(F.struct(F.greatest(s["end"], x["end"]).alias("end"), s["done"].alias("done"))),
         lambda s: F.concat(s["done"], F.substring(text, s["end"] + 1, F.length(text))),
     )
-    out = {c: F.col(f"`{c}`") for c in names}
-    out[text_col] = F.when(F.size("_spans") > 0, cut).otherwise(text)
+    found = found.withColumn("changed", F.when(F.size("spans") > 0, cut))
+    out = {c: F.col("key").getField(c) for c in docs.columns}
+    out[text_col] = F.coalesce("changed", out[text_col])
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.size("_spans") > 0, F.length(cut).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return joined.select(*(v.alias(c) for c, v in out.items()))
+        out["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), out["n_chars"])
+    return found.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op2_secrets(spark, sf_dir):

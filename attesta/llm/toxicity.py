@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, ship
 
@@ -141,48 +142,41 @@ def fit_toxicity(
     return dict(zip(index, map(float, w), strict=True)), [float(t) for t in theta]
 
 
-def _scorer(model: MODEL, keep_text: bool):
+def _scorer(model: MODEL):
     weights, theta = model
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(theta)
         for batch in batches:
-            scores = []
-            for t in batch.column(batch.num_columns - 1):
-                scores.append(sum(weights[w] for w in sorted(set(words_of(t.as_py() or "")) & weights.keys())))
+            scores = [sum(weights[w] for w in sorted(set(words_of(t.as_py() or "")) & weights.keys())) for t in batch.column(1)]
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float)[:, None] - cuts[None, :], -30, 30)))
-            kept = batch.columns[:-1]
             yield pa.record_batch(
-                [*kept, pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])],
-                names=[*batch.schema.names[:-1], "_severity", "_grade", "_p_toxic"],
+                [batch.column(0), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])],
+                names=["row", "severity", "grade", "p_toxic"],
             )
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: MODEL, *, text_col: str = "text") -> DataFrame:
-    """docs with _severity (expected grade), _grade (thresholds passed) and _p_toxic (chance of grade 1 or more).
+    """(row, severity, grade, p_toxic), a row for each row of docs, which is kept as the struct row.
 
-    Whole texts are read; null and empty ones have no words and get the grade of a text without known words. Each
-    repeated row is scored; empty tables give no rows. The model is at most MOST_WORDS words.
+    severity is the expected grade, grade the number of thresholds passed, p_toxic the chance of grade 1 or more. Whole
+    texts are read; null and empty ones have no words and get the grade of a text without known words. Each repeated row
+    is scored; empty tables give no rows. The model is at most MOST_WORDS words.
     """
     ship(docs.sparkSession)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_scored", F.col(text_col)).mapInArrow(_scorer(model, True), f"{kinds}, _severity double, _grade int, _p_toxic double")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in (("severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType())))])
+    return source.mapInArrow(_scorer(model), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, reject_from: float = REJECT_FROM) -> DataFrame:
     """The rows of docs that are not toxic, in the same columns."""
-    return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("_p_toxic") < reject_from).select(*docs.columns)
+    return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("p_toxic") < reject_from).select("row.*")
 
 
 def op9_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select(
-        "doc_id",
-        F.col("_severity").alias("severity"),
-        F.col("_grade").alias("grade"),
-        F.col("_p_toxic").alias("p_toxic"),
-        (F.col("_p_toxic") >= REJECT_FROM).alias("toxic"),
-    )
+    return scored.select("row.doc_id", "severity", "grade", "p_toxic", (F.col("p_toxic") >= REJECT_FROM).alias("toxic"))
