@@ -1,0 +1,125 @@
+"""Rank correlation, Kruskal-Wallis and chi-squared tests as Spark aggregations.
+
+Each gives one row of statistics; a null statistic means that the data are insufficient. p-values are taken from it on
+the driver.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.pvalues import chi2_tail, spearman_tail
+from .ordered import average_ranks
+
+MIN_ROWS = 20
+MIN_GROUP = 5
+
+
+@dataclass(frozen=True)
+class Outcome:
+    statistic: float
+    p_value: float
+    effect: float
+    n: int
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """A column as double; dates and timestamps by their place in time."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def complete_pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(a, b) of the rows where neither is null or NaN."""
+    return df.select(a.alias("a"), b.alias("b")).dropna()
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (n, rho): Pearson's correlation of average ranks. Equal pairs are counted before they meet their ranks."""
+    pairs = complete_pairs(df, number(df, x), number(df, y))
+    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("w"))
+    ranks_a = average_ranks(pairs, "a", "ra").drop("count")
+    ranks_b = average_ranks(pairs, "b", "rb").drop("count")
+    total = pairs.agg(F.count("*").alias("n"))
+    ranked = cells.join(ranks_a, "a").join(ranks_b, "b").join(F.broadcast(total))
+    mid = (F.col("n") + 1) / 2
+    da, db, w = F.col("ra") - mid, F.col("rb") - mid, F.col("w")
+    sums = ranked.agg(F.sum("w").alias("n"), F.sum(w * da * db).alias("ab"), F.sum(w * da * da).alias("aa"), F.sum(w * db * db).alias("bb"))
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))))
+    enough = (F.col("n") >= MIN_ROWS) & (F.col("aa") > 0) & (F.col("bb") > 0)
+    return sums.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(enough, rho).alias("rho"))
+
+
+def kruskal(df: DataFrame, value: str, group: str, min_group: int = MIN_GROUP, min_rows: int = MIN_ROWS) -> DataFrame:
+    """One row (n, k, h, epsilon_sq): tie-corrected H over the groups that have enough rows."""
+    pairs = complete_pairs(df, F.col(f"`{group}`").cast("string"), number(df, value))
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= min_group).select("a")
+    cells = pairs.join(sizes, "a").groupBy("a", "b").agg(F.count("*").alias("w"))
+    kept = cells.groupBy("b").agg(F.sum("w").alias("count"))
+    ranks = ranks_of_counts(kept)
+    sums = cells.join(ranks.select("b", "rank"), "b").groupBy("a").agg(F.sum("w").alias("size"), F.sum(F.col("w") * F.col("rank")).alias("r"))
+    by_group = sums.agg(F.count("*").alias("k"), F.sum("size").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("size")).alias("s"))
+    t = F.col("count").cast("double")
+    ties = kept.agg(F.sum(t * t * t - t).alias("ties"))
+    varied = pairs.agg((F.min("b") < F.max("b")).alias("varied"))
+    n = F.col("n").cast("double")
+    corrected = 1 - F.col("ties") / (n * n * n - n)
+    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / corrected
+    enough = F.col("varied") & (F.col("k") >= 2) & (F.col("n") >= min_rows) & (corrected > 0)
+    row = by_group.join(ties).join(varied).select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.when(enough, h).alias("h"))
+    return row.withColumn("epsilon_sq", F.when(F.col("h").isNotNull(), F.greatest(F.lit(0.0), F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")))))
+
+
+def ranks_of_counts(counts: DataFrame) -> DataFrame:
+    """(b, rank) from (b, count) of distinct values."""
+    from .ordered import running_total
+
+    return running_total(counts, "b", "count", "_before").select("b", (F.col("_before") + (F.col("count") + 1) / 2).alias("rank"))
+
+
+def chi_square(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """One row (n, r, c, chi2, v): Yates' correction for 2 x 2 tables; empty cells count."""
+    pairs = complete_pairs(df, F.col(f"`{x}`").cast("string"), F.col(f"`{y}`").cast("string"))
+    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("o"))
+    rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
+    shape = cells.agg(F.sum("o").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
+    # margins have at most max_cardinality rows each
+    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(shape))
+    e = F.col("ra") * F.col("cb") / F.col("n")
+    d = F.abs(F.coalesce("o", F.lit(0)) - e)
+    yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.least(F.lit(0.5), d)).otherwise(0.0)
+    out = grid.agg(F.max("n").alias("n"), F.max("r").alias("r"), F.max("c").alias("c"), F.sum((d - yates) * (d - yates) / e).alias("x2"))
+    least = F.least("r", "c")
+    enough = (least >= 2) & (F.col("n") >= min_rows)
+    return out.select(
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.coalesce("r", F.lit(0)).cast("long").alias("r"),
+        F.coalesce("c", F.lit(0)).cast("long").alias("c"),
+        F.when(enough, F.col("x2")).alias("chi2"),
+        F.when(enough, F.sqrt(F.col("x2") / (F.col("n") * (least - 1)))).alias("v"),
+    )
+
+
+def spearman_outcome(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> Outcome | None:
+    r = spearman(df, x, y).first()
+    if r.rho is None or r.n < min_rows:
+        return None
+    return Outcome(r.rho, spearman_tail(r.rho, r.n), abs(r.rho), r.n)
+
+
+def kruskal_outcome(df: DataFrame, value: str, group: str, min_group: int = MIN_GROUP, min_rows: int = MIN_ROWS) -> Outcome | None:
+    r = kruskal(df, value, group, min_group, min_rows).first()
+    return None if r.h is None else Outcome(r.h, chi2_tail(r.h, r.k - 1), r.epsilon_sq, r.n)
+
+
+def chi_square_outcome(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> Outcome | None:
+    r = chi_square(df, x, y, min_rows).first()
+    return None if r.chi2 is None else Outcome(r.chi2, chi2_tail(r.chi2, (r.r - 1) * (r.c - 1)), r.v, r.n)
