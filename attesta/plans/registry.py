@@ -1,11 +1,296 @@
-"""Queries of the library and the SQL that checks them."""
+"""Queries of the library, one or more for each family of operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.pvalues import benjamini_hochberg, chi2_tail
+from ..functions.textsafe import sanitized
+from ..operators import association, coverage, profile, verify
+from ..operators.ordered import average_ranks, with_previous
+from ..sources.names import normalize
+from .texts import SAME, SPARK_OWN
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile basics of lineitem."""
+    return profile_basics(spark, sf_dir)
+
+
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+BASIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMBERS, "l_returnflag", "l_linestatus")
+
+
+def profile_basics(spark, sf_dir):
+    """One row a column: rows, non-null and distinct values, null rate. Distinct values of all columns by one grouping."""
+    df = table(spark, sf_dir, "lineitem").select(*BASIC)
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in BASIC))
+    counts = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+    return counts.groupBy("column").agg(
+        F.sum("n").cast("long").alias("n_rows"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("non_null"),
+        F.count("value").cast("long").alias("n_distinct"),
+        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
+    )
+
+
+def profile_numbers(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*NUMBERS)
+    b = profile.basics(df)
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.round(f"mean_{i}", 6).alias("mean"),
+            F.round(F.col(f"q_{i}")[1], 6).alias("median"),
+            F.round(f"std_{i}", 6).alias("std"),
+            F.round(F.col(f"q_{i}")[0], 6).alias("p5"),
+            F.round(F.col(f"q_{i}")[2], 6).alias("p95"),
+        )
+        for i, c in enumerate(NUMBERS)
+    ]
+    return b.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def profile_min_max(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    b = profile.basics(df)
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").cast("long").alias("non_null"), F.col(f"min_{i}").cast("double").alias("low"), F.col(f"max_{i}").cast("double").alias("high"))
+        for i, c in enumerate(df.columns)
+    ]
+    return b.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def profile_topk(spark, sf_dir):
+    return profile.top_values(table(spark, sf_dir, "part").select("p_brand"), "p_brand")
+
+
+def date_parse_rate(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")
+    b = profile.basics(df)
+    return b.select((F.col("dates_0") / F.col("n_0")).alias("date_rate"), (F.col("dates_1") / F.col("n_1")).alias("priority_rate"))
+
+
+def grain_orders(spark, sf_dir):
+    times = coverage.distinct_times(table(spark, sf_dir, "orders"), "o_orderdate")
+    steps = with_previous(times, "t", "p").where("p is not null").select(((F.col("t") - F.col("p")) / 1_000_000).cast("long").alias("step_seconds"))
+    return steps.groupBy("step_seconds").agg(F.count("*").cast("long").alias("n_steps"))
+
+
+def coverage_row(spark, df, name):
+    c = coverage.coverage(df, name)
+    return spark.createDataFrame([(c.grain, c.gaps, c.first, c.last)], "grain string, gaps long, first_time timestamp_ntz, last_time timestamp_ntz")
+
+
+def coverage_orders(spark, sf_dir):
+    return coverage_row(spark, table(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate")
+
+
+def coverage_months(spark, sf_dir):
+    return coverage_row(spark, table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("m")), "m")
+
+
+def gap_examples(spark, sf_dir):
+    c = coverage.coverage(table(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate")
+    return spark.createDataFrame([(x,) for x in c.examples], "gap string")
+
+
+def ranks(spark, sf_dir):
+    return average_ranks(table(spark, sf_dir, "customer").select("c_acctbal"), "c_acctbal", "rank").select("c_acctbal", F.col("count").cast("long").alias("n"), "rank")
+
+
+def spearman(spark, sf_dir):
+    r = association.spearman(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
+    return r.select("n", F.round("rho", 6).alias("rho"))
+
+
+def kruskal(spark, sf_dir):
+    r = association.kruskal(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_returnflag"), "l_extendedprice", "l_returnflag")
+    # three groups: with two degrees of freedom the tail is exp(-H / 2)
+    return r.select("n", "k", F.round("h", 4).alias("h"), F.round(F.exp(-F.col("h") / 2), 6).alias("p_value"), F.round("epsilon_sq", 8).alias("epsilon_sq"))
+
+
+def chi_square(spark, sf_dir):
+    r = association.chi_square(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus")
+    return r.select("n", F.round("chi2", 6).alias("chi2"), F.round("v", 6).alias("v"))
+
+
+def chi_square_yates(spark, sf_dir):
+    r = association.chi_square(table(spark, sf_dir, "labels").select("quality", "toxic"), "quality", "toxic")
+    return r.select("n", F.round("chi2", 6).alias("chi2"), F.round("v", 6).alias("v"))
+
+
+def chi_square_tail(spark, sf_dir):
+    """p-values of a two-degree chi-squared over the order counts of customers, against their closed form."""
+    rows = [(i, round(chi2_tail(i / 2, 2), 12)) for i in range(1, 41)]
+    return spark.createDataFrame(rows, "i long, p double")
+
+
+P_VALUES = (0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216)
+
+
+def bh(spark, sf_dir):
+    kept = benjamini_hochberg(list(P_VALUES), 0.1)
+    return spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(zip(P_VALUES, kept, strict=True))], "i long, p double, rejected boolean")
+
+
+def claim_lookup(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("total"))
+    return verify.keyed_cell(sums, "total", {"l_returnflag": "A", "l_linestatus": "F"})
+
+
+def prose_numbers(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select(F.explode(verify.prose_numbers(F.coalesce("text", F.lit("")))).alias("number"))
+    return found.groupBy("number").agg(F.count("*").cast("long").alias("n"))
+
+
+def sanitize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(sanitized(F.coalesce("text", F.lit("")))).alias("clean_md5"))
+
+
+HEADERS = ("Revenue (USD)", "revenue usd", "select", "123abc", "", "café", "x", "x", "x", "From")
+
+
+def headers(spark, sf_dir):
+    return spark.createDataFrame([(i, h, n) for i, (h, n) in enumerate(zip(HEADERS, normalize(list(HEADERS)), strict=True))], "i long, header string, name string")
+
+
+def same_sql(name, spark, sf_dir):
+    tables, text = SAME[name] if name in SAME else SPARK_OWN[name][:2]
+    for t in tables.split():
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text)
+
+
+_OWN = {
+    "profile_basics_lineitem": (
+        profile_basics,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct, "
+            f"CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_rate FROM lineitem"
+            for c in BASIC
+        ),
+    ),
+    "profile_numeric_stats_lineitem": (
+        profile_numbers,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, "
+            f"round(quantile_cont({c}, 0.05), 6) AS p5, round(quantile_cont({c}, 0.95), 6) AS p95 FROM lineitem WHERE isfinite({c})"
+            for c in NUMBERS
+        ),
+    ),
+    "profile_min_max_orders": (
+        profile_min_max,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count({c}) AS non_null, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM orders"
+            for c in ("o_orderkey", "o_custkey", "o_totalprice")
+        ),
+    ),
+    "profile_topk_part_brand": (profile_topk, "SELECT p_brand AS value, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "profile_date_parse_rate": (
+        date_parse_rate,
+        "SELECT CAST(count(try_cast(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP)) AS DOUBLE) / count(*) AS date_rate, "
+        "CAST(count(try_cast(o_orderpriority AS TIMESTAMP)) AS DOUBLE) / count(*) AS priority_rate FROM orders",
+    ),
+    "coverage_steps_orders": (
+        grain_orders,
+        "WITH t AS (SELECT DISTINCT o_orderdate AS d FROM orders WHERE o_orderdate IS NOT NULL), s AS (SELECT date_diff('second', lag(d) OVER (ORDER BY d), d) AS step_seconds FROM t) "
+        "SELECT CAST(step_seconds AS BIGINT) AS step_seconds, count(*) AS n_steps FROM s WHERE step_seconds IS NOT NULL GROUP BY 1",
+    ),
+    "coverage_grain_orders": (
+        coverage_orders,
+        "SELECT 'day' AS grain, CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 - count(DISTINCT o_orderdate) AS BIGINT) AS gaps, "
+        "CAST(min(o_orderdate) AS TIMESTAMP) AS first_time, CAST(max(o_orderdate) AS TIMESTAMP) AS last_time FROM orders",
+    ),
+    "coverage_calendar_orders_month": (
+        coverage_months,
+        "WITH m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS d FROM orders WHERE o_orderdate IS NOT NULL) "
+        "SELECT 'month' AS grain, CAST(max(year(d) * 12 + month(d)) - min(year(d) * 12 + month(d)) + 1 - count(*) AS BIGINT) AS gaps, min(d) AS first_time, max(d) AS last_time FROM m",
+    ),
+    "coverage_gap_examples_orders": (
+        gap_examples,
+        "WITH g AS (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS d) "
+        "SELECT strftime(d, '%Y-%m-%d') AS gap FROM g WHERE d NOT IN (SELECT o_orderdate FROM orders) ORDER BY d LIMIT 5",
+    ),
+    "discover_average_ranks": (
+        ranks,
+        "SELECT c_acctbal, count(*) AS n, min(r) + (count(*) - 1) / 2.0 AS rank FROM (SELECT c_acctbal, rank() OVER (ORDER BY c_acctbal) AS r FROM customer) GROUP BY 1",
+    ),
+    "discover_spearman_lineitem": (
+        spearman,
+        "WITH p AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL), "
+        "r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM p) "
+        "SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r",
+    ),
+    "discover_kruskal_lineitem": (
+        kruskal,
+        "WITH p AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM p), "
+        "s AS (SELECT g, count(*) AS n, sum(r) AS s FROM r GROUP BY g), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM p GROUP BY v)), "
+        "a AS (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(s * s / n) AS q FROM s), "
+        "h AS (SELECT n, k, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM a, t) "
+        "SELECT CAST(n AS BIGINT) AS n, k, round(h, 4) AS h, round(exp(-h / 2), 6) AS p_value, round(greatest(0.0, (h - k + 1) / (n - k)), 8) AS epsilon_sq FROM h",
+    ),
+}
+
+
+def _chi2_sql(source: str, a: str, b: str, yates: bool) -> str:
+    d = "abs(coalesce(o, 0) - ra * cb / n)"
+    d = f"({d} - least(0.5, {d}))" if yates else d
+    return (
+        f"WITH c AS (SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b, CAST(count(*) AS DOUBLE) AS o FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2), "
+        "ra AS (SELECT a, sum(o) AS ra FROM c GROUP BY a), cb AS (SELECT b, sum(o) AS cb FROM c GROUP BY b), t AS (SELECT sum(o) AS n, least(count(DISTINCT a), count(DISTINCT b)) AS k FROM c), "
+        f"x AS (SELECT sum({d} * {d} / (ra * cb / n)) AS x2, max(n) AS n, max(k) AS k FROM ra CROSS JOIN cb LEFT JOIN c USING (a, b) CROSS JOIN t) "
+        "SELECT CAST(n AS BIGINT) AS n, round(x2, 6) AS chi2, round(sqrt(x2 / (n * (k - 1))), 6) AS v FROM x"
+    )
+
+
+def _values(rows) -> str:
+    show = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+_OWN |= {
+    "discover_chi_square_lineitem": (chi_square, _chi2_sql("lineitem", "l_returnflag", "l_linestatus", False)),
+    "discover_chi_square_yates_labels": (chi_square_yates, _chi2_sql("labels", "quality", "toxic", True)),
+    "discover_chi_square_tail": (chi_square_tail, "SELECT i, round(exp(-i / 4.0), 12) AS p FROM range(1, 41) AS t(i)"),
+    "discover_bh_fdr": (
+        bh,
+        f"WITH v AS (SELECT CAST(i AS BIGINT) AS i, CAST(p AS DOUBLE) AS p FROM (VALUES {_values(enumerate(P_VALUES))}) AS t(i, p)), "
+        "r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM v), l AS (SELECT coalesce(max(k), 0) AS last FROM r WHERE p <= 0.1 * k / m) "
+        "SELECT i, p, k <= last AS rejected FROM r, l",
+    ),
+    "claim_keyed_lookup": (claim_lookup, "SELECT round(sum(l_quantity), 2) AS cell FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'"),
+    "prose_numbers": (
+        prose_numbers,
+        r"WITH n AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[-+]?\$?\d[\d,]*(?:\.\d+)?%?')) AS number FROM documents) SELECT number, count(*) AS n FROM n GROUP BY 1",
+    ),
+    "sanitize_text_documents": (
+        sanitize_text,
+        r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[\n\r\x0b\x0c\x{2028}\x{2029}]', '\\\\n', 'g'), chr(9), ' '), '\p{C}', '', 'g'), ' +', ' ', 'g'), ' ')) AS clean_md5 FROM documents",
+    ),
+    "normalize_headers": (
+        headers,
+        f"WITH v AS (SELECT CAST(i AS BIGINT) AS i, header FROM (VALUES {_values(enumerate(HEADERS))}) AS t(i, header)), "
+        "a AS (SELECT *, trim(regexp_replace(lower(header), '[^a-z0-9_]+', '_', 'g'), '_') AS s FROM v), "
+        "b AS (SELECT *, CASE WHEN s = '' THEN 'col_' || i WHEN s IN ('select', 'from') THEN s || '_' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END AS n FROM a), "
+        "c AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY i) AS k FROM b) SELECT i, header, CASE WHEN k = 1 THEN n ELSE n || '_' || k END AS name FROM c",
+    ),
+}
+
 
 def queries() -> dict:
-    return {}
+    out = {k: f for k, (f, _) in _OWN.items()}
+    for k in (*SAME, *SPARK_OWN):
+        out[k] = partial(same_sql, k)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _OWN.items()} | {k: s for k, (_, s) in SAME.items()} | {k: s for k, (_, _, s) in SPARK_OWN.items()}
