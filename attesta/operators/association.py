@@ -33,7 +33,7 @@ def number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp_ltz")).cast("double")
     return c.cast("double")
 
 

@@ -35,7 +35,7 @@ def parsed_time(c: Column, kind: T.DataType) -> Column:
 
 
 def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+    return F.unix_micros(c.cast("timestamp_ltz"))
 
 
 def distinct_times(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ _ZONE = r"(Z|[+-]\d{2}(:?\d{2})?)\s*$"
 def as_utc(c: Column) -> Column:
     """Text of an instant as a zone-free timestamp in UTC; zone offsets of two digits are allowed."""
     full = F.regexp_replace(c, r"([+-]\d{2})\s*$", "$1:00")
-    return F.to_utc_timestamp(full.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.to_utc_timestamp(full.try_cast("timestamp_ltz"), F.current_timezone()).cast("timestamp_ntz")
 
 
 def ladder(c: Column) -> list[tuple[T.DataType, Column]]:
