@@ -57,8 +57,8 @@ SAME: dict[str, tuple[str, str]] = {
     ),
     "sql_window_rank": (
         "customer",
-        "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS rk, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dr, "
-        "ntile(4) OVER w AS q, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)",
+        "SELECT c_custkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rk, "
+        "CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS q, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)",
     ),
     "sql_window_frame": (
         "orders",
@@ -99,7 +99,7 @@ SAME: dict[str, tuple[str, str]] = {
     "sql_values": ("region", "SELECT CAST(n AS BIGINT) AS n, s FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(n, s)"),
     "sql_math_fns": (
         "part",
-        "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_retailprice), 6) AS s, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, round(ln(p_retailprice), 6) AS l, sign(p_size - 25) AS sg FROM part",
+        "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, round(sqrt(p_retailprice), 6) AS s, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c, round(ln(p_retailprice), 6) AS l, CAST(sign(p_size - 25) AS INTEGER) AS sg FROM part",
     ),
 }
 
