@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..execute import run_sql
 from ..functions.pvalues import benjamini_hochberg, chi2_tail
 from ..functions.textsafe import sanitized
+from ..ingest import ingest
 from ..operators import association, coverage, profile, verify
+from ..operators.discover import discover
 from ..operators.ordered import average_ranks, with_previous
+from ..session import Session
 from ..sources.names import normalize
 from .texts import SAME, SPARK_OWN
 
@@ -162,6 +169,32 @@ def headers(spark, sf_dir):
     return spark.createDataFrame([(i, h, n) for i, (h, n) in enumerate(zip(HEADERS, normalize(list(HEADERS)), strict=True))], "i long, header string, name string")
 
 
+def discover_ledger(spark, sf_dir):
+    """The ledger of a whole discovery pass over orders and their customers."""
+    df = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ledger = discover(df.select("o_totalprice", "c_acctbal", "o_orderstatus", "c_mktsegment")).ledger
+    return spark.createDataFrame([(ledger.generated, ledger.probe_cap, ledger.insufficient, ledger.run)], "generated long, probe_cap long, insufficient long, run long")
+
+
+def ingest_csv(spark, sf_dir):
+    """Customers by way of a CSV file: names, types and values survive."""
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    table(spark, sf_dir, "customer").withColumnRenamed("c_name", "C Name!").write.csv(f"{folder}/customer.csv", header=True)
+    session = Session(spark, folder)
+    return session.table(ingest(session, f"{folder}/customer.csv").dataset_id)
+
+
+def sql_artifact(spark, sf_dir):
+    """The stored result of a guarded query."""
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    session = Session(spark, folder)
+    d = ingest(session, f"{sf_dir}/orders.parquet")
+    r = run_sql(session, f'SELECT o_orderstatus, count(*) AS n, count(*) AS n FROM "{d.dataset_id}" GROUP BY 1')
+    return session.data(r)
+
+
 def same_sql(name, spark, sf_dir):
     tables, text = SAME[name] if name in SAME else SPARK_OWN[name][:2]
     for t in tables.split():
@@ -266,6 +299,15 @@ _OWN |= {
         "r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM v), l AS (SELECT coalesce(max(k), 0) AS last FROM r WHERE p <= 0.1 * k / m) "
         "SELECT i, p, k <= last AS rejected FROM r, l",
     ),
+    "discover_ledger_orders": (
+        discover_ledger,
+        "SELECT CAST(1 + 4 + 1 AS BIGINT) AS generated, CAST(0 AS BIGINT) AS probe_cap, CAST(0 AS BIGINT) AS insufficient, CAST(6 AS BIGINT) AS run",
+    ),
+    "ingest_csv_customer": (
+        ingest_csv,
+        "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    ),
+    "run_sql_artifact": (sql_artifact, "SELECT o_orderstatus, count(*) AS n, count(*) AS n_1 FROM orders GROUP BY 1"),
     "claim_keyed_lookup": (claim_lookup, "SELECT round(sum(l_quantity), 2) AS cell FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'"),
     "prose_numbers": (
         prose_numbers,
