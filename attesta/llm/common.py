@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -50,6 +51,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over; it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, wherever they run."""
     sc = spark.sparkContext

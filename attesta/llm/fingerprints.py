@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, pieces_for, text_of
+from .common import WORD, documents, pieces_for, text_of, written
 
 WORDS = 5
 BIN_BITS = 7
@@ -20,6 +20,8 @@ BINS = 1 << BIN_BITS
 VALUE_BITS = 8
 COARSE = 16
 LOWEST = -(2**63)
+#: Rows of two numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def with_code(df: DataFrame, text: str, code: str) -> DataFrame:
@@ -108,7 +110,10 @@ def fingerprints_with_next(docs: DataFrame, *, rows_per_range: int = 4_000, id_c
     # one row a range: all ranges are few beside the rows
     back = W.orderBy("_range")
     firsts = firsts.select("_at", "_range", F.coalesce(F.lag("_range").over(back), F.max("_range").over(W.partitionBy())).alias("_before"))
-    copies = rows.join(firsts.select("_at", "_before"), "_at").withColumn("_tie", F.xxhash64("_text"))
+    firsts = written(firsts.select("_at", "_before"), "range_firsts")
+    # one row a range; planned by its size before it runs, a small table never makes Spark shuffle the texts
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    copies = rows.join(firsts, "_at").withColumn("_tie", F.xxhash64("_text"))
     copies = copies.withColumn("_k", F.row_number().over(W.partitionBy("_before").orderBy("_tie"))).where("_k = 1")
     both = rows.withColumn("_copy", F.lit(False)).unionByName(
         copies.select("doc_id", "_at", "_text", F.col("_before").alias("_range"), F.lit(True).alias("_copy"))

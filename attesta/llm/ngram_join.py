@@ -20,22 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, ship, written
+from .common import discard, documents, release, ship, written
 from .components import components
 
 WORDS = 5
 #: Links: intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Counters of the sketch, and the parts in which they are summed.
+#: Counters of the sketch, and the parts in which they are summed. Shingles in the upper half of the hashes are hardly
+#: ever in a prefix, so they take no counter.
 SKETCH_BITS = 22
 SKETCH_PARTS = 1024
+_HALF = np.uint64(1 << 63)
 ROUNDS = 4
 #: Hub rounds end when the pairs of different components in all lists are at most so many times the lists' entries.
-ENOUGH = 2
+ENOUGH = 10
 #: Ids of candidates that may be broadcast, of 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Bytes kept of a shingle's hash for verification: sets of a thousand meet by chance once in 10 ** 8 pairs.
-HASH_BYTES = 6
 LOWEST = -(2**63)
 
 _rng = np.random.default_rng(5)
@@ -104,11 +104,22 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield shingle_set(t.as_py())
 
 
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64)
+
+
+def order_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Sorted keys of a set in the common order: how common in the high byte, then the hash."""
+    low = s[s < _HALF]
+    rank = np.concatenate([common[counter_of(low)], np.zeros(len(s) - len(low), dtype=np.uint8)]).astype(np.int64)
+    return np.sort(rank << 56 | (s >> np.uint64(8)).astype(np.int64))
+
+
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for batch in batches:
         for s in _sets(batch.column(0)):
-            counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1  # hashes of a set rarely share a counter
+            counts[counter_of(s[s < _HALF])] += 1  # hashes of a set rarely share a counter
     parts = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
     used = np.flatnonzero(parts.any(axis=1))
     yield pa.record_batch([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "counts"])
@@ -163,9 +174,8 @@ def _profiles(common: np.ndarray):
                 if not len(s):
                     unit.append(None), key.append(None), prefix.append(None)
                     continue
-                rank = common[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                head = s[np.argsort(rank, kind="stable")[: len(s) - least_overlap(len(s)) + 1]]
-                unit.append(signature(s)), key.append(signature(np.concatenate([head, [np.uint64(len(s))]]))), prefix.append(head.view(np.int64))
+                head = order_keys(s, common)[: len(s) - least_overlap(len(s)) + 1]
+                unit.append(signature(s)), key.append(signature(np.append(head, len(s)))), prefix.append(head)
             cols = [pa.array(n, pa.int64()), pa.array(unit, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n", "unit", "prefix_key", "prefix"])
 
@@ -173,64 +183,86 @@ def _profiles(common: np.ndarray):
 
 
 def _packed_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text, HASH_BYTES of each hash, and the unit that it belongs to."""
+    """The set of each text, and the unit that it belongs to."""
     for batch in batches:
-        unit, packed = [], []
-        for s in _sets(batch.column(1)):
-            unit.append(signature(s))
-            packed.append((s >> np.uint64(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes())
-        yield pa.record_batch([batch.column(0), pa.array(unit, pa.int64()), pa.array(packed, pa.binary())], names=["at", "unit", "packed"])
+        sets = list(_sets(batch.column(1)))
+        cols = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.record_batch([batch.column(0), *cols], names=["at", "unit", "packed"])
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
 
+def may_link(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray) -> bool:
+    """Whether sets of these sizes and prefixes can be similar.
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
-    wide[:, :HASH_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, HASH_BYTES)
-    return wide.view("<u8").ravel()
+    Up to the lesser of the last keys, the prefixes show all that the sets have; beyond, at most the smaller rest is shared.
+    """
+    end = min(a[-1], b[-1])
+    rest = min(n_a - int(np.searchsorted(a, end, "right")), n_b - int(np.searchsorted(b, end, "right")))
+    return (common_count(a, b) + rest) * (NUM + DEN) >= (n_a + n_b) * NUM
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether sorted sets have an intersection of at least NUM / DEN of their union."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return DEN * shared >= NUM * (len(both) - shared)
+    shared = common_count(a, b)
+    return DEN * shared >= NUM * (len(a) + len(b) - shared)
+
+
+def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True)
+        keep = [may_link(n, a.values.to_numpy(), m, b.values.to_numpy()) for n, a, m, b in rows]
+        yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, last, left = [], None, None
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a = x.as_py()
-            if a != last:
-                last, left = a, _unpacked(a)
-            keep.append(similar(left, _unpacked(y.as_py())))
+        keep = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
 
-class Verifier:
-    """Checks pairs of units by their whole sets."""
+def few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
-    def __init__(self, docs: DataFrame, candidates: DataFrame):
-        """docs: (doc_id, text); candidates: (unit, doc_id), a document for each unit that may be asked for.
+class Verifier:
+    """Checks pairs of units: by their prefixes first, and what may link by whole sets."""
 
-        Texts are not shuffled: while the candidates are few, others are left out as they are read; beyond, their sets are
-        left out in the join.
-        """
+    def __init__(self, docs: DataFrame, profiles: DataFrame, candidates: DataFrame):
+        """docs: (doc_id, text); candidates: (unit, doc_id), a document for each unit that may be asked for."""
         at = F.coalesce("doc_id", F.lit(LOWEST)).alias("at")
-        docs, candidates = docs.select(at, "text"), candidates.select(at, "unit")
-        n = candidates.count()
-        if n <= BROADCAST_ROWS:
-            docs = docs.join(F.broadcast(candidates.select("at").distinct()), "at", "left_semi")
-            candidates = F.broadcast(candidates)
-        sets = docs.mapInArrow(_packed_sets, "at long, unit long, packed binary").join(candidates, ["at", "unit"])
-        self.sets = written(sets.select("unit", "packed"), "sets")
-        if self.sets.count() > n:  # rows that repeat an id and a text
-            self.sets = self.sets.dropDuplicates(["unit"])
+        self.docs, self.candidates = docs.select(at, "text"), written(candidates.select(at, "unit"), "candidates")
+        heads = profiles.select(at, "unit", "n", "prefix").join(few(self.candidates), ["at", "unit"])
+        self.heads = self._once(written(heads.select("unit", "n", "prefix"), "heads"), self.candidates.count())
+
+    def _once(self, df: DataFrame, n: int) -> DataFrame:
+        """One row a unit, also where rows repeat an id and a text."""
+        return df.dropDuplicates(["unit"]) if df.count() > n else df
+
+    def _meet(self, table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+        """(a, b, columns of a, columns of b). While pairs are few, a table isn't shuffled for those that no pair asks for."""
+        a, b = (table.select(F.col("unit").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+        firsts = written(pairs.select("a").distinct(), "firsts")
+        joined = b.join(few(pairs), "b").join(a.join(few(firsts), "a", "left_semi"), "a")
+        return joined.select("a", "b", *(f"{x}_a" for x in columns), *(f"{x}_b" for x in columns))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        a, b = (self.sets.select(F.col("unit").alias(c), F.col("packed").alias(f"set_{c}")) for c in "ab")
-        joined = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        return written(joined.mapInArrow(_verify, "u long, v long"), "links")
+        pairs = written(pairs, "pairs")
+        may = written(self._meet(self.heads, pairs, "n", "prefix").mapInArrow(_bounded, "a long, b long"), "may")
+        asked = may.select(F.col("a").alias("unit")).unionByName(may.select(F.col("b").alias("unit"))).distinct()
+        asked = written(self.candidates.join(asked, "unit", "left_semi"), "asked")
+        n = asked.count()
+        docs = self.docs.join(F.broadcast(asked.select("at").distinct()), "at", "left_semi") if n <= BROADCAST_ROWS else self.docs
+        sets = docs.mapInArrow(_packed_sets, "at long, unit long, packed binary").join(few(asked), ["at", "unit"])
+        sets = self._once(written(sets.select("unit", "packed"), "sets"), n)
+        out = written(self._meet(sets, may, "packed").mapInArrow(_verify, "u long, v long"), "links")
+        discard(pairs, may, asked, sets)
+        return out
 
 
 def alike_in_size(a: Column, b: Column) -> Column:
@@ -260,7 +292,8 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     never their smallest id unless they have no other. Repeated rows and equal texts are one unit; an empty table gives
     no rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = written(docs.mapInArrow(_profiles(commonness(docs.select("text"))), PROFILE), "profiles")
     sized = profiles.where("n > 0")
@@ -272,12 +305,12 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     tokens = heads.select("unit", "n", F.posexplode("prefix").alias("place", "token"))
     inside = units.where("members > 1").select("unit", "n", F.lit(-1).alias("place"), F.col("prefix_key").alias("token"))
     every = tokens.unionByName(inside).withColumn("entries", F.count("*").over(W.partitionBy("token", F.col("place") < 0)))
-    lists = written(every.where("entries > 1").select("token", "unit", "n", "place"), "lists")
+    lists = one_of_each(written(every.where("entries > 1").select("token", "unit", "n", "place"), "all_lists"))
     if lists.isEmpty():
         return finished(profiles, units, None)
     asked = lists.select(F.col("unit").alias("gid")).distinct()
     members = units.join(asked, "gid", "left_semi")
-    verifier = Verifier(docs, members.select("unit", "doc_id"))
+    verifier = Verifier(docs, profiles, members.select("unit", "doc_id"))
     labels, total = None, lists.count()
     for r in range(rounds):
         mine = labelled(labels, lists, "unit", "label")
@@ -289,6 +322,7 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
         )
         links = verifier.links(pairs.select(F.col("hub.unit").alias("a"), F.col("unit").alias("b")).distinct())
         labels = joined(labels, links)
+        release(spark)
         left = labelled(labels, lists, "unit", "label").groupBy("token", F.col("place") < 0, "label").agg(F.count("*").cast("double").alias("k"))
         left = left.groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs")).agg(F.sum("pairs") / 2).first()[0]
         if left <= ENOUGH * total:
@@ -297,6 +331,16 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     return finished(profiles, units, labels)
 
 
+def one_of_each(lists: DataFrame) -> DataFrame:
+    """Lists without those that have the same entries as another: one shingle of a shared passage stands for the rest."""
+    entries = F.col("place") >= 0
+    same = lists.groupBy("token", entries.alias("kind")).agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("unit")).alias("x"), F.sum(F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(2**31))).alias("y")
+    )
+    chosen = same.groupBy("kind", "k", "x", "y").agg(F.min("token").alias("token")).select("token", "kind")
+    return written(lists.withColumn("kind", entries).join(chosen, ["token", "kind"], "left_semi").drop("kind"), "lists")
+
+
 def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of units in different components whose groups share a list, or that are in one group."""
     in_groups = labelled(labels, units.where("members > 1").select("gid", "unit"), "unit", "label")
