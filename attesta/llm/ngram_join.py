@@ -4,10 +4,13 @@
 2. Shingles are ordered by how common they are, then by hash; of a set of n, a partner shares one of the first
    n - ceil(0.8 n) + 1. A fixed-size sketch that counts every shingle of the corpus gives the order; it decides only
    how many candidates there are, never which links are found.
-3. A shared prefix shingle lists groups. A list isn't paired with itself: in a few rounds, each member is verified
-   against one hub of its list. What hubs link is one component, and pairs inside a component need no further look.
-4. Pairs of groups with members in different components are then expanded to these members and verified. That is exact:
-   every link either was verified or lies inside a component.
+3. A shared prefix shingle lists groups. Each member of a list is first verified against one hub of the list. What hubs
+   link is one component, and pairs inside a component need no further look.
+4. In short lists, pairs of groups with members in different components are expanded to these members and verified.
+5. A long list isn't paired with itself: each member is reduced to what sets it apart from the list's hub, a set that is
+   small for near copies and foremost holds shingles that few others have. Two members that aren't both linked with the
+   hub can link only if these differences share elements, so a second prefix join, of the differences, gives the pairs.
+That is exact: every link either was verified or lies inside a component.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ NUM, DEN = 4, 5
 SKETCH_BITS = 22
 SKETCH_PARTS = 1024
 _HALF = np.uint64(1 << 63)
-ROUNDS = 4
-#: Hub rounds end when the pairs of different components in all lists are at most so many times the lists' entries.
-ENOUGH = 10
+ROUNDS = 1
+#: Lists with at most so many members are paired with themselves.
+SHORT = 16
 #: Ids of candidates that may be broadcast, of 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LOWEST = -(2**63)
@@ -225,6 +228,42 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
 
+def difference(hub: np.ndarray, s: np.ndarray, common: np.ndarray) -> tuple[int, bool, np.ndarray]:
+    """Size of the difference of a set and its hub, whether they link, and the prefix of the difference.
+
+    Sets link if and only if their difference is at most d / k of their sizes' sum, with d = DEN - NUM and k = DEN + NUM.
+    What the set adds comes before what it lacks. A partner that may link has a difference of its own not smaller by more
+    than that; and where the set is linked with the hub, the partner isn't, or both would be in one component.
+    """
+    more, less = np.setdiff1d(s, hub, assume_unique=True), np.setdiff1d(hub, s, assume_unique=True)
+    size, k, d = len(more) + len(less), DEN + NUM, DEN - NUM
+    near = k * size <= d * (len(s) + len(hub))
+    if near:
+        shared = (k * size + d * (len(hub) - len(s))) // (2 * k) + 1
+    else:
+        shared = size - d * (len(s) + len(s) * DEN // NUM) // k
+    keys = np.concatenate([order_keys(more, common), order_keys(less, common)])
+    return size, near, keys[: size - max(1, shared) + 1]
+
+
+DIFFERENCE = "hub long, unit long, n long, size long, near boolean, prefix array<long>"
+
+
+def _differences(common: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, size, near, prefix = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s = np.frombuffer(y.as_py(), "<u8")
+                for out, v in zip((size, near, prefix), difference(np.frombuffer(x.as_py(), "<u8"), s, common), strict=True):
+                    out.append(v)
+                n.append(len(s))
+            cols = [pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(near, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns[:2], *cols], names=["hub", "unit", "n", "size", "near", "prefix"])
+
+    return run
+
+
 def few(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -254,25 +293,32 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         may = written(self._meet(self.heads, pairs, "n", "prefix").mapInArrow(_bounded, "a long, b long"), "may")
+        out = written(self._with_sets(may).mapInArrow(_verify, "u long, v long"), "links")
+        discard(pairs, may)
+        return out
+
+    def differences(self, pairs: DataFrame, common: np.ndarray) -> DataFrame:
+        """What sets b apart from its hub a, for each of the pairs."""
+        pairs = written(pairs, "hub_pairs")
+        return written(self._with_sets(pairs).mapInArrow(_differences(common), DIFFERENCE), "differences")
+
+    def _with_sets(self, may: DataFrame) -> DataFrame:
+        """(a, b, packed_a, packed_b) of a written table of pairs."""
         asked = may.select(F.col("a").alias("unit")).unionByName(may.select(F.col("b").alias("unit"))).distinct()
         asked = written(self.candidates.join(asked, "unit", "left_semi"), "asked")
         n = asked.count()
         docs = self.docs.join(F.broadcast(asked.select("at").distinct()), "at", "left_semi") if n <= BROADCAST_ROWS else self.docs
         sets = docs.mapInArrow(_packed_sets, "at long, unit long, packed binary").join(few(asked), ["at", "unit"])
-        sets = self._once(written(sets.select("unit", "packed"), "sets"), n)
-        out = written(self._meet(sets, may, "packed").mapInArrow(_verify, "u long, v long"), "links")
-        discard(pairs, may, asked, sets)
-        return out
+        return self._meet(self._once(written(sets.select("unit", "packed"), "sets"), n), may, "packed")
 
 
 def alike_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
-def can_overlap(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
-    """Whether sets that share their elements at these places can share enough; before them at most the lesser place is shared."""
-    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    return most * (NUM + DEN) >= (n_a + n_b) * NUM
+def first_shared(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """Whether sets that can link may have their first shared element at these places: enough must follow in both."""
+    return F.least(n_a - at_a, n_b - at_b) * (NUM + DEN) >= (n_a + n_b) * NUM
 
 
 def labelled(labels: DataFrame | None, df: DataFrame, unit: str, name: str) -> DataFrame:
@@ -295,7 +341,8 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = written(docs.mapInArrow(_profiles(commonness(docs.select("text"))), PROFILE), "profiles")
+    common = commonness(docs.select("text"))
+    profiles = written(docs.mapInArrow(_profiles(common), PROFILE), "profiles")
     sized = profiles.where("n > 0")
     units = sized.groupBy("unit", "n", "prefix_key").agg(F.min("doc_id").alias("doc_id"))
     group = W.partitionBy("prefix_key")
@@ -311,24 +358,23 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     asked = lists.select(F.col("unit").alias("gid")).distinct()
     members = units.join(asked, "gid", "left_semi")
     verifier = Verifier(docs, profiles, members.select("unit", "doc_id"))
-    labels, total = None, lists.count()
+    labels = None
     for r in range(rounds):
         mine = labelled(labels, lists, "unit", "label")
         hub = F.min(F.struct(F.xxhash64("unit", F.lit(r)).alias("h"), "unit", "n", "place", "label")).over(W.partitionBy("token", F.col("place") < 0))
         pairs = mine.withColumn("hub", hub).where(
             (F.col("hub.label") != F.col("label"))
             & alike_in_size(F.col("n"), F.col("hub.n"))
-            & ((F.col("place") < 0) | can_overlap(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+            & ((F.col("place") < 0) | first_shared(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
         )
         links = verifier.links(pairs.select(F.col("hub.unit").alias("a"), F.col("unit").alias("b")).distinct())
         labels = joined(labels, links)
         release(spark)
-        left = labelled(labels, lists, "unit", "label").groupBy("token", F.col("place") < 0, "label").agg(F.count("*").cast("double").alias("k"))
-        left = left.groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs")).agg(F.sum("pairs") / 2).first()[0]
-        if left <= ENOUGH * total:
-            break
-    labels = joined(labels, verifier.links(remaining(lists, units, labels)))
-    return finished(profiles, units, labels)
+    short, hub_pairs = remaining(lists, units, labels)
+    differences = verifier.differences(hub_pairs, common)
+    labels = joined(labels, differences.where("near").select(F.col("hub").alias("u"), F.col("unit").alias("v")))
+    pairs = short.unionByName(apart_from_hubs(differences, labels)).distinct()
+    return finished(profiles, units, joined(labels, verifier.links(pairs)))
 
 
 def one_of_each(lists: DataFrame) -> DataFrame:
@@ -341,17 +387,23 @@ def one_of_each(lists: DataFrame) -> DataFrame:
     return written(lists.withColumn("kind", entries).join(chosen, ["token", "kind"], "left_semi").drop("kind"), "lists")
 
 
-def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of units in different components whose groups share a list, or that are in one group."""
-    in_groups = labelled(labels, units.where("members > 1").select("gid", "unit"), "unit", "label")
-    spread = in_groups.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of lists and groups with several components: pairs (a, b) of units of short ones, pairs (hub, unit) of long ones."""
+    in_groups = labelled(labels, units.where("members > 1").select("gid", "unit", "members"), "unit", "label")
+    spread = in_groups.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("members").alias("members"))
     mine = labelled(labels, lists, "unit", "label")
     tokens = mine.where("place >= 0").join(spread.withColumnRenamed("gid", "unit"), "unit", "left")
     tokens = tokens.withColumn("low", F.coalesce("low", "label")).withColumn("high", F.coalesce("high", "label"))
     # lists inside one component have no pair left
-    open_lists = tokens.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    tokens = tokens.join(open_lists, "token", "left_semi")
-    x, y = tokens.alias("x"), tokens.alias("y")
+    open_lists = tokens.groupBy("token").agg(
+        F.min("low").alias("l"),
+        F.max("high").alias("h"),
+        F.sum(F.coalesce("members", F.lit(1))).alias("listed"),
+        F.min(F.struct(F.xxhash64("unit", F.lit(ROUNDS)).alias("h"), "unit")).alias("hub"),
+    )
+    open_lists = open_lists.where("l <> h").select("token", "listed", F.col("hub.unit").alias("hub"))
+    tokens = written(tokens.join(open_lists, "token"), "open_lists")
+    x, y = tokens.where(F.col("listed") <= SHORT).alias("x"), tokens.where(F.col("listed") <= SHORT).alias("y")
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     pairs = x.join(
         y,
@@ -359,16 +411,43 @@ def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame) -> DataFram
         & (F.col("x.unit") < F.col("y.unit"))
         & apart
         & alike_in_size(F.col("x.n"), F.col("y.n"))
-        & can_overlap(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")),
+        & first_shared(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")),
     ).select(F.col("x.unit").alias("p"), F.col("y.unit").alias("q"))
     pairs = pairs.distinct()
     whole = labelled(labels, units.select("gid", "unit"), "unit", "label")
     p = whole.select(F.col("gid").alias("p"), F.col("unit").alias("a"), F.col("label").alias("label_a"))
     q = whole.select(F.col("gid").alias("q"), F.col("unit").alias("b"), F.col("label").alias("label_b"))
     across = pairs.join(p, "p").join(q, "q").where("label_a <> label_b").select("a", "b")
-    u, v = in_groups.alias("u"), in_groups.alias("v")
+    small = in_groups.where(F.col("members") <= SHORT)
+    u, v = small.alias("u"), small.alias("v")
     within = u.join(v, (F.col("u.gid") == F.col("v.gid")) & (F.col("u.unit") < F.col("v.unit")) & (F.col("u.label") != F.col("v.label")))
-    return across.unionByName(within.select(F.col("u.unit").alias("a"), F.col("v.unit").alias("b"))).distinct()
+    short = across.unionByName(within.select(F.col("u.unit").alias("a"), F.col("v.unit").alias("b")))
+    large = spread.where((F.col("members") > SHORT) & (F.col("low") != F.col("high"))).select(F.col("gid").alias("hub"), "gid")
+    long = tokens.where(F.col("listed") > SHORT).select("hub", F.col("unit").alias("gid")).unionByName(large).distinct()
+    hub_pairs = long.join(units.select("gid", "unit"), "gid").where("unit <> hub").select(F.col("hub").alias("a"), F.col("unit").alias("b"))
+    return short, hub_pairs
+
+
+def apart_from_hubs(differences: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of units in different components whose differences from one hub can share enough."""
+    mine = labelled(labels, differences, "unit", "label")
+    mixed = mine.groupBy("hub").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("hub")
+    entries = mine.join(mixed, "hub", "left_semi").select("hub", "unit", "n", "size", "near", "label", F.posexplode("prefix").alias("place", "token"))
+    entries = written(entries, "difference_lists")
+    x, y = entries.alias("x"), entries.alias("y")
+    apart = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    shared = (F.col("x.size") + F.col("y.size")) * (DEN + NUM) - (F.col("x.n") + F.col("y.n")) * (DEN - NUM)
+    pairs = x.join(
+        y,
+        (F.col("x.hub") == F.col("y.hub"))
+        & (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.unit") < F.col("y.unit"))
+        & (F.col("x.label") != F.col("y.label"))
+        & ~(F.col("x.near") & F.col("y.near"))
+        & alike_in_size(F.col("x.n"), F.col("y.n"))
+        & (apart * (2 * (DEN + NUM)) >= shared),
+    )
+    return pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))
 
 
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

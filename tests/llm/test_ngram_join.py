@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from attesta.llm import ngram_join as nj
@@ -46,9 +47,10 @@ def test_against_all_pairs(docs, texts):
     assert joined(docs) == brute(texts.items())
 
 
-@pytest.mark.parametrize("rounds", [1, 4])
-def test_chains_of_edits(spark, rounds):
+@pytest.mark.parametrize(("rounds", "short"), [(1, 16), (3, 16), (1, 1), (1, 10**9)])
+def test_chains_of_edits(spark, monkeypatch, rounds, short):
     """Near copies with few and many edits around the threshold, copies of them, and a passage that all share."""
+    monkeypatch.setattr(nj, "SHORT", short)
     r = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     passage = [f"p{i}" for i in range(30)]
@@ -57,7 +59,7 @@ def test_chains_of_edits(spark, rounds):
         text = r.choices(words, k=120)
         for _ in range(25):
             copy = list(text)
-            for _ in range(r.randint(0, 5)):
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 8, 12])):
                 copy[r.randrange(120)] = r.choice(words)
             if r.random() < 0.3:
                 copy = passage + copy
@@ -85,12 +87,29 @@ def test_odd_rows(odd, nothing):
 
 
 def test_unbounded_ways(spark, docs, texts, monkeypatch):
-    """With nothing broadcast and all lists open after one round, the result is the same."""
+    """With nothing broadcast and all lists long, the result is the same."""
     monkeypatch.setattr(nj, "BROADCAST_ROWS", -1)
-    monkeypatch.setattr(nj, "ENOUGH", 10**9)
+    monkeypatch.setattr(nj, "SHORT", 1)
     assert joined(docs) == brute(texts.items())
 
 
+def test_differences_share_prefixes():
+    """Any two linked sets that aren't both linked with the hub have a shared key in both prefixes."""
+    r = np.random.default_rng(1)
+    common = np.zeros(1 << nj.SKETCH_BITS, dtype=np.uint8)
+    base = r.integers(0, 2**64, 90, dtype=np.uint64)
+    seen = 0
+    for _ in range(3000):
+        odd = np.unique(np.concatenate([base[r.random(90) < 0.85], r.integers(0, 2**64, r.integers(0, 12), dtype=np.uint64)]))
+        x, y = (np.unique(np.concatenate([odd[r.random(len(odd)) < 0.97], r.integers(0, 2**64, r.integers(0, 9), dtype=np.uint64)])) for _ in "xy")
+        (_, a, p), (_, b, q) = (nj.difference(np.sort(base), s, common) for s in (x, y))
+        assert a == nj.similar(x, np.sort(base))
+        if nj.similar(x, y) and not (a and b):
+            seen += 1
+            assert set(p.tolist()) & set(q.tolist())
+    assert seen > 100
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (60, 50), (7, 7), (90, 91), (91, 90)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
