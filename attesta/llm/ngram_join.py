@@ -8,7 +8,7 @@
    link is one component, and pairs inside a component need no further look.
 4. In short lists, pairs of groups with members in different components are expanded to these members and verified.
 5. A long list isn't paired with itself: each member is reduced to what sets it apart from the list's hub, a set that is
-   small for near copies and foremost holds shingles that few others have. Two members that aren't both linked with the
+   small for near copies of a central hub and foremost holds shingles that few others have. Two members that aren't both linked with the
    hub can link only if these differences share elements, so a second prefix join, of the differences, gives the pairs.
 That is exact: every link either was verified or lies inside a component.
 """
@@ -352,7 +352,7 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     tokens = heads.select("unit", "n", F.posexplode("prefix").alias("place", "token"))
     inside = units.where("members > 1").select("unit", "n", F.lit(-1).alias("place"), F.col("prefix_key").alias("token"))
     every = tokens.unionByName(inside).withColumn("entries", F.count("*").over(W.partitionBy("token", F.col("place") < 0)))
-    lists = one_of_each(written(every.where("entries > 1").select("token", "unit", "n", "place"), "all_lists"))
+    lists = one_of_each(written(every.where("entries > 1").select("token", "unit", "n", "place", "entries"), "all_lists"))
     if lists.isEmpty():
         return finished(profiles, units, None)
     asked = lists.select(F.col("unit").alias("gid")).distinct()
@@ -361,7 +361,7 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     labels = None
     for r in range(rounds):
         mine = labelled(labels, lists, "unit", "label")
-        hub = F.min(F.struct(F.xxhash64("unit", F.lit(r)).alias("h"), "unit", "n", "place", "label")).over(W.partitionBy("token", F.col("place") < 0))
+        hub = F.max(F.struct(*hub_order(r), "unit", "n", "place", "label")).over(W.partitionBy("token", F.col("place") < 0))
         pairs = mine.withColumn("hub", hub).where(
             (F.col("hub.label") != F.col("label"))
             & alike_in_size(F.col("n"), F.col("hub.n"))
@@ -378,13 +378,24 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
 
 
 def one_of_each(lists: DataFrame) -> DataFrame:
-    """Lists without those that have the same entries as another: one shingle of a shared passage stands for the rest."""
+    """Lists without those that have the same entries as another: one shingle of a shared passage stands for the rest.
+
+    Adds how central a unit is: the entries of all its lists, beside its size. A copy with few changes of its own is in
+    most lists of its family.
+    """
     entries = F.col("place") >= 0
     same = lists.groupBy("token", entries.alias("kind")).agg(
         F.count("*").alias("k"), F.bit_xor(F.xxhash64("unit")).alias("x"), F.sum(F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(2**31))).alias("y")
     )
     chosen = same.groupBy("kind", "k", "x", "y").agg(F.min("token").alias("token")).select("token", "kind")
-    return written(lists.withColumn("kind", entries).join(chosen, ["token", "kind"], "left_semi").drop("kind"), "lists")
+    central = lists.groupBy("unit").agg((F.sum("entries") / F.first("n")).alias("central"))
+    chosen = lists.withColumn("kind", entries).join(chosen, ["token", "kind"], "left_semi").drop("kind", "entries")
+    return written(chosen.join(central, "unit"), "lists")
+
+
+def hub_order(r: int) -> list[Column]:
+    """The greatest is a list's hub: the most central member at first, then any by chance."""
+    return [*([F.col("central")] if r == 0 else []), F.xxhash64("unit", F.lit(r)).alias("h")]
 
 
 def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -399,7 +410,7 @@ def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame | None) -> t
         F.min("low").alias("l"),
         F.max("high").alias("h"),
         F.sum(F.coalesce("members", F.lit(1))).alias("listed"),
-        F.min(F.struct(F.xxhash64("unit", F.lit(ROUNDS)).alias("h"), "unit")).alias("hub"),
+        F.max(F.struct(*hub_order(0), "unit")).alias("hub"),
     )
     open_lists = open_lists.where("l <> h").select("token", "listed", F.col("hub.unit").alias("hub"))
     tokens = written(tokens.join(open_lists, "token"), "open_lists")
