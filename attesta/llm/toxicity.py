@@ -1,14 +1,18 @@
-"""Toxicity grades by cumulative-link ordinal regression on sparse words.
+"""Toxicity grades by cumulative-link ordinal regression on sparse words and how often they are repeated.
 
 P(grade >= j) = sigmoid(w . x - theta_j) with one weight vector w for all ordered thresholds theta_1 < theta_2 < ...;
 the expected severity is the sum of these. The labels only say toxic or not, so a toxic row's severity is taken from how
-many distinct words it has of those that go with toxic rows: 0 is not toxic, 1 is toxic with few of them, 2 with several.
-Words are chosen, and the model fitted, on a bounded sample of labelled rows; every document is scored in whole.
+many words it has of those that go with toxic rows, repeated ones counted up to three times: 0 is not toxic, 1 is toxic
+with few of them, 2 with several. Words are chosen, and the model fitted, on a bounded sample of labelled rows; every
+document is scored in whole. A word's features are as large as it is surely a sign of toxic rows; with features of one
+size the ridge and the grades by counts draw all weights together, and no single word reaches theta_1. It is lowered
+further as far as models of one half of the rows tell toxic from clean ones in the other half.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,21 +31,35 @@ MOST_WORDS = 4_096
 LEAST_DOCS = 5
 LEAST_CHI2 = 24.0
 GRADES = 3
-#: A toxic row with at least so many distinct words of the model is of grade 2.
+#: A word has a weight for being there, and further ones from so many occurrences on.
+LEVELS = (1, 2, 5)
+#: A toxic row with at least so many words of the model is of grade 2; each counts once for each of its levels.
 SEVERE_WORDS = 4
 RIDGE = 0.001
 STEPS = 600
 #: A document is rejected as toxic from this chance of grade 1 or more.
 REJECT_FROM = 0.5
+#: A word counts as sure a sign as its log odds less so many standard errors: one chance in 40 that it is less.
+SURE_BY = 1.96
+LEAST_SURE = 0.1
+#: In lowering theta_1, a clean held-out row rejected weighs as much as so many toxic ones found.
+FALSE_WEIGHT = 9
 
 _WORD = re.compile(r"\w+")
-MODEL = tuple[dict[str, float], list[float]]
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("level", pa.int32())]))
+#: For each word the sum of its weights by level; thresholds.
+MODEL = tuple[dict[str, tuple[float, ...]], list[float]]
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def level_of(times: int) -> int:
+    """The number of levels that so many occurrences reach."""
+    return sum(times >= n for n in LEVELS)
+
+
 def fit_ordinal(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_words: int, k: int = GRADES, ridge: float = RIDGE, steps: int = STEPS):
     """(w, theta): accelerated gradient ascent on the penalized likelihood; the non-zero features are x[i] at (rows[i], cols[i]).
 
@@ -81,8 +99,44 @@ def fit_ordinal(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.nd
 
 def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [list(set(words_of(t or ""))) for t in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["row", "grade", "words"])
+        words = [[{"word": w, "level": level_of(n)} for w, n in Counter(words_of(t or "")).items()] for t in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, _WORDS)], names=["row", "grade", "words"])
+
+
+def fit_words(hits: np.ndarray, toxic: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by word and level, theta) from hits (place of the row, word, level) and the rows' labels."""
+    bad = np.bincount(hits[:, 1], weights=toxic[hits[:, 0]], minlength=n_words)
+    good = np.bincount(hits[:, 1], minlength=n_words) - bad
+    # log odds of toxic with the word against without regard to words, drawn towards 0 by what chance can make of few rows
+    odds = np.log((bad + 0.5) / (good + 0.5)) - np.log(toxic.sum() / (len(toxic) - toxic.sum()))
+    sure = np.sign(odds) * np.maximum(np.abs(odds) - SURE_BY * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)), LEAST_SURE)
+    rows, words, levels = (np.repeat(x, hits[:, 2]) for x in hits.T)
+    at = np.arange(len(rows)) - np.repeat(np.cumsum(hits[:, 2]) - hits[:, 2], hits[:, 2])
+    severity = np.bincount(rows, weights=(np.maximum(sure, 0) / max(sure.max(), 1e-9))[words], minlength=len(toxic))
+    grade = toxic * (1 + (severity >= SEVERE_WORDS))
+    w, theta = fit_ordinal(sure[words], rows, words * len(LEVELS) + at, grade, n_words * len(LEVELS))
+    return w.reshape(n_words, len(LEVELS)).cumsum(axis=1) * sure[:, None], theta
+
+
+def lowering(hits: np.ndarray, toxic: np.ndarray, n_words: int) -> float:
+    """By how much to lower theta_1: to the middle between the last held-out row worth rejecting and the next one."""
+    margin, seen = np.zeros(len(toxic)), np.zeros(len(toxic), dtype=bool)
+    for half in range(2):
+        own = np.arange(len(toxic)) % 2 == half
+        if not 0 < toxic[own].sum() < own.sum():
+            continue
+        mine = hits[own[hits[:, 0]]]
+        w, theta = fit_words(np.column_stack([mine[:, 0] // 2, mine[:, 1:]]), toxic[own], n_words)
+        score = np.bincount(hits[:, 0], weights=w[hits[:, 1], hits[:, 2] - 1], minlength=len(toxic))
+        margin[~own], seen[~own] = score[~own] - theta[0], True
+    order = np.argsort(-margin[seen], kind="stable")
+    margin, gain = margin[seen][order], np.cumsum(np.where(toxic[seen][order] > 0, 1, -FALSE_WEIGHT))
+    # rows of one score can't be parted; those of the least one are never rejected
+    ends = np.flatnonzero(np.diff(margin) < 0)
+    if not len(ends) or gain[ends].max() <= 0:
+        return 0.0
+    best = ends[np.argmax(gain[ends])]
+    return max(0.0, -(margin[best] + margin[best + 1]) / 2)
 
 
 def fit_toxicity(
@@ -105,7 +159,7 @@ def fit_toxicity(
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).dropna(subset=["_id"])
     # the sample is at most sample_rows ids and grades
     sample = source.join(F.broadcast(chosen), "_id").select(F.monotonically_increasing_id().alias("row"), "grade", "text")
-    sample = sample.mapInArrow(_distinct, "row long, grade int, words array<string>").persist()
+    sample = sample.mapInArrow(_distinct, "row long, grade int, words array<struct<word:string,level:int>>").persist()
     try:
         sizes = sample.groupBy("grade").count().collect()
         n, bad = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r.grade)
@@ -115,7 +169,7 @@ def fit_toxicity(
         a, b = F.col("in_bad").cast("double"), F.col("docs").cast("double")
         # chi-squared of the 2 x 2 table of word and toxic
         chi2 = n * F.pow(a * n - b * bad, 2) / (b * (n - b) * bad * (n - bad))
-        every = sample.select("row", "grade", F.explode("words").alias("word"))
+        every = sample.select("row", "grade", F.explode("words").alias("w")).select("row", "grade", "w.*")
         model_words = (
             every.groupBy("word")
             .agg(F.count("*").alias("docs"), F.count_if(F.col("grade") > 0).alias("in_bad"))
@@ -130,16 +184,16 @@ def fit_toxicity(
             return nothing
         index = sorted(r.word for r in model_words)
         table = F.broadcast(docs.sparkSession.createDataFrame(list(zip(index, range(len(index)), strict=True)), "word string, at int"))
-        hits = every.join(table, "word").select("row", "at").toPandas()
+        hits = every.join(table, "word").select("row", "at", "level").toPandas()
         grades = sample.select("row", "grade").orderBy("row").toPandas()
     finally:
         sample.unpersist()
-    hits = hits.sort_values(["row", "at"])
-    rows = np.searchsorted(grades["row"].to_numpy(), hits["row"].to_numpy())
-    grade = grades["grade"].to_numpy()
-    grade = grade * (1 + (np.bincount(rows, minlength=len(grade)) >= SEVERE_WORDS))
-    w, theta = fit_ordinal(np.ones(len(hits)), rows, hits["at"].to_numpy(), grade, len(index))
-    return dict(zip(index, map(float, w), strict=True)), [float(t) for t in theta]
+    hits = hits.sort_values(["row", "at"]).to_numpy()
+    hits[:, 0] = np.searchsorted(grades["row"].to_numpy(), hits[:, 0])
+    toxic = grades["grade"].to_numpy()
+    w, theta = fit_words(hits, toxic, len(index))
+    theta[0] -= lowering(hits, toxic, len(index))
+    return {x: tuple(map(float, v)) for x, v in zip(index, w, strict=True)}, [float(t) for t in theta]
 
 
 def _scorer(model: MODEL):
@@ -148,7 +202,8 @@ def _scorer(model: MODEL):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(theta)
         for batch in batches:
-            scores = [sum(weights[w] for w in sorted(set(words_of(t.as_py() or "")) & weights.keys())) for t in batch.column(1)]
+            found = (Counter(w for w in words_of(t.as_py() or "") if w in weights) for t in batch.column(1))
+            scores = [sum(weights[w][level_of(n) - 1] for w, n in sorted(f.items())) for f in found]
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float)[:, None] - cuts[None, :], -30, 30)))
             yield pa.record_batch(
                 [batch.column(0), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])],

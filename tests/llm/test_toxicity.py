@@ -45,3 +45,35 @@ def test_clean_texts_stay(spark):
     rows = [(i, f"plain words number {i} " + ("you awful thing " * (1 + i % 3) if i % 4 == 0 else "and so on")) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in tox.drop_toxic(docs, labels).collect()} == {i for i in range(120) if i % 4}
+
+
+def test_one_word_is_enough(spark):
+    """Toxic held-out texts with one distinct insult word are rejected in every language, once or repeated; clean ones stay."""
+    r = np.random.default_rng(3)
+    insults = [f"insult{k}" for k in range(10)]
+    filler = {lang: [f"{lang}{k}" for k in range(60)] for lang in ("en", "de", "fr", "es")}
+    rows, labels, single = [], [], {}
+    for i in range(2400):
+        lang = list(filler)[i % 4]
+        words, toxic = list(r.choice(filler[lang], 40)), int(i % 9 == 0)
+        if toxic:
+            # as in the tables: few toxic texts have one insult word, most have several
+            kinds = 1 if r.random() < 0.03 or i >= 2000 else int(r.integers(2, 7))
+            chosen = list(r.choice(insults, kinds, replace=False))
+            words += chosen * (1 if i % 2 else 8)
+            if kinds == 1:
+                single[i] = lang
+        elif r.random() < 0.05:
+            # a word that goes with toxic texts, but is in clean ones too
+            words.append("doubtful")
+        if toxic and r.random() < 0.3:
+            words.append("doubtful")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame(labels[:2000], "doc_id long, quality int, toxic int")
+    model = tox.fit_toxicity(docs, given)
+    said = {x.doc_id for x in tox.score_toxicity(docs, model).where(f"p_toxic >= {tox.REJECT_FROM}").select("row.doc_id").collect()}
+    held = {i for i in single if i >= 2000}
+    assert {single[i] for i in held} == set(filler) and held <= said
+    assert not [i for i, _, toxic in labels if i in said and not toxic]
