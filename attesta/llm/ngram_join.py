@@ -165,7 +165,7 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-PROFILE = "doc_id long, n long, unit long, prefix_key long, prefix array<long>"
+PROFILE = "doc_id long, text_key long, n long, unit long, prefix_key long, prefix array<long>"
 
 
 def _profiles(common: np.ndarray):
@@ -180,7 +180,7 @@ def _profiles(common: np.ndarray):
                 head = order_keys(s, common)[: len(s) - least_overlap(len(s)) + 1]
                 unit.append(signature(s)), key.append(signature(np.append(head, len(s)))), prefix.append(head)
             cols = [pa.array(n, pa.int64()), pa.array(unit, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n", "unit", "prefix_key", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(2), *cols], names=["doc_id", "text_key", "n", "unit", "prefix_key", "prefix"])
 
     return run
 
@@ -329,12 +329,12 @@ def labelled(labels: DataFrame | None, df: DataFrame, unit: str, name: str) -> D
 
 
 def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, component), a row for each row of docs.
+    """(doc_id, n_shingles, component_id, component, text_key), a row for each row of docs.
 
     Words of the whole text, A-Z lower-cased, give the set of distinct 5-word shingles; with fewer words the whole
     sequence is the one shingle; null texts and texts without words have none and are linked with nothing. Documents
     link from a Jaccard similarity of 0.8. component_id is the smallest doc_id that links reach, component a number
-    that differs between components even where ids repeat (null without shingles). A null id joins components but is
+    that differs between components even where ids repeat (null without shingles), text_key the text's xxhash64. A null id joins components but is
     never their smallest id unless they have no other. Repeated rows and equal texts are one unit; an empty table gives
     no rows.
     """
@@ -342,7 +342,7 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common = commonness(docs.select("text"))
-    profiles = written(docs.mapInArrow(_profiles(common), PROFILE), "profiles")
+    profiles = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profiles(common), PROFILE), "profiles")
     sized = profiles.where("n > 0")
     units = sized.groupBy("unit", "n", "prefix_key").agg(F.min("doc_id").alias("doc_id"))
     group = W.partitionBy("prefix_key")
@@ -473,26 +473,33 @@ def finished(profiles: DataFrame, units: DataFrame, labels: DataFrame | None) ->
     mine = labelled(labels, units.select("unit", "doc_id"), "unit", "component")
     least = mine.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     mine = mine.select("unit", "component").join(least, "component")
-    return profiles.select("doc_id", "n", "unit").join(mine, "unit", "left").select(
+    return profiles.select("doc_id", "text_key", "n", "unit").join(mine, "unit", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "component",
+        "text_key",
     )
 
 
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; documents without words all stay.
 
-    An id names a document; rows that repeat an id and a text are one. While the ids that go are few, they are broadcast
-    and texts stay where they are.
+    An id and a text name a document: rows that repeat both are one, and rows of one id, or of none, with other texts go
+    or stay by their own components. Among documents of the smallest id, or all without ids, the least hash of the text
+    stays. While the documents that go are few, they are broadcast and texts stay where they are.
     """
     found = written(ngram_join(docs, id_col=id_col, text_col=text_col, **options), "joined")
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "gone")
+    linked = found.where("n_shingles > 0")
+    first = linked.where("doc_id <=> component_id").select("component", "doc_id", "text_key")
+    several = first.groupBy("component").agg(F.min("text_key").alias("l"), F.max("text_key").alias("h")).where("l <> h")
+    later = linked.where("not (doc_id <=> component_id)").select("doc_id", "text_key")
+    gone = later.unionByName(first.join(several, "component").where("text_key <> l").select("doc_id", "text_key"))
+    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_key"))
+    out = docs.join(gone, same, "left_anti")
     n = found.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(LOWEST))).alias("ids")).first()
     if n.rows > n.ids:
         once = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))

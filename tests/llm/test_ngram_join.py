@@ -114,3 +114,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (60, 50), (7, 7), (90, 91), (91, 90)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 60: 40, 90: 90, 91: 90}
+
+
+def test_one_of_each_by_row(spark):
+    """Rows of one id, or without ids, go or stay by their own components."""
+    words = [f"w{k}" for k in range(300)]
+    a, b, c, d = (" ".join(words[k : k + 60]) for k in (0, 70, 140, 210))
+    near = lambda t: t.replace(" ", "  ", 1) + " end"
+    rows = [(1, a), (None, near(a)), (None, b), (None, None), (None, ""), (5, near(a)), (5, c), (None, d), (None, near(d)), (7, near(c) + " x")]
+    kept = nj.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [tuple(r) for r in kept if r.text not in (d, near(d))]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, None), (None, ""), (5, c)], key=str)
+    assert len(kept) == len(got) + 1
