@@ -1,8 +1,9 @@
 """N-gram Jaccard join of documents: grouped prefix join, exact, with components in place of all pairs.
 
 1. Documents with equal shingle sets are one unit; units with the same size and the same prefix are one group.
-2. Shingles are ordered by how common they are, then by hash; of a set of n, a partner shares one of the first
-   n - ceil(0.8 n) + 1. A fixed-size sketch that counts every shingle of the corpus gives the order; it decides only
+2. Of a set of n in some order, a partner shares one of the first n - ceil(0.8 n) + 1. Prefixes are first taken by hash
+   and their shingles counted exactly; units with one that is in more than SHORT prefixes have further ones counted, as
+   many as may take its place, and prefixes are picked again with all that is common at the end. The order decides only
    how many candidates there are, never which links are found.
 3. A shared prefix shingle lists groups. Each member of a list is first verified against one hub of the list. What hubs
    link is one component, and pairs inside a component need no further look.
@@ -29,14 +30,13 @@ from .components import components
 WORDS = 5
 #: Links: intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Counters of the sketch, and the parts in which they are summed. Shingles in the upper half of the hashes are hardly
-#: ever in a prefix, so they take no counter.
-SKETCH_BITS = 22
-SKETCH_PARTS = 1024
-_HALF = np.uint64(1 << 63)
 ROUNDS = 1
-#: Lists with at most so many members are paired with themselves.
+#: Lists with at most so many members are paired with themselves; shingles in more prefixes are common.
 SHORT = 16
+#: The commonest shingles, of 9 bytes each, go to all tasks; where more are common, the others are ordered by hash.
+MOST_COMMON = 1 << 20
+#: Steps in which a common shingle's count is kept, for each doubling.
+STEPS = 8
 #: Ids of candidates that may be broadcast, of 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LOWEST = -(2**63)
@@ -107,52 +107,44 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield shingle_set(t.as_py())
 
 
-def counter_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64)
+#: Sorted common shingles (the upper 56 bits of their hashes) and how common each is, from 1 to 127.
+Common = tuple[np.ndarray, np.ndarray]
+NONE_COMMON: Common = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
-def order_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Sorted keys of a set in the common order: how common in the high byte, then the hash."""
-    low = s[s < _HALF]
-    rank = np.concatenate([common[counter_of(low)], np.zeros(len(s) - len(low), dtype=np.uint8)]).astype(np.int64)
-    return np.sort(rank << 56 | (s >> np.uint64(8)).astype(np.int64))
+def places(tokens: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, where it would be among the common ones, and whether it is there."""
+    if not len(common[0]):
+        return np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=bool)
+    at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+    return at, common[0][at] == tokens
 
 
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    for batch in batches:
-        for s in _sets(batch.column(0)):
-            counts[counter_of(s[s < _HALF])] += 1  # hashes of a set rarely share a counter
-    parts = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
-    used = np.flatnonzero(parts.any(axis=1))
-    yield pa.record_batch([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "counts"])
-
-
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            values = np.frombuffer(counts, dtype="<u2").astype(np.int64)
-            total[part] = total[part] + values if part in total else values
-    keys = sorted(total)
-    yield pa.record_batch(
-        [pa.array(keys, pa.int32()), pa.array([total[k].astype("<i8").tobytes() for k in keys], pa.binary())], names=["part", "counts"]
-    )
+def order_keys(s: np.ndarray, common: Common) -> np.ndarray:
+    """Sorted keys of a sorted set in the common order: how common in the high byte, then the hash."""
+    keys = (s >> np.uint64(8)).astype(np.int64)
+    at, there = places(keys, common)
+    if there.any():
+        keys[there] |= common[1][at[there]] << 56
+        keys.sort()
+    return keys
 
 
-def commonness(texts: DataFrame) -> np.ndarray:
-    """One byte a counter: 0 for ordinary shingles, more for counters far above the mean, in powers of two.
-
-    The sketch has a fixed size, 2 ** SKETCH_BITS counters; tasks add theirs part by part before it comes to the driver.
-    """
-    partial = texts.mapInArrow(_sketch, "part int, counts binary")
-    rows = partial.repartition(min(SKETCH_PARTS, max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part").mapInArrow(_summed, "part int, counts binary")
-    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))
-    for r in rows.toLocalIterator():
-        counts[r.part] = np.frombuffer(r.counts, dtype="<i8")
-    counts = counts.ravel()
-    least = counts.mean() + max(16.0, 6 * counts.mean() ** 0.5)
-    return np.where(counts >= least, 1 + np.log2(np.maximum(counts / least, 1)), 0).astype(np.uint8)
+def commonness(counted: DataFrame) -> Common:
+    """The common ones of (token, times), a row for each token; where they are too many, the commonest of them."""
+    level = F.least(F.floor(F.log2(F.col("times") / SHORT) * STEPS) + 1, F.lit(127)).cast("int")
+    counted = written(counted.where(F.col("times") > SHORT).select("token", level.alias("level")), "counted")
+    least, room = 128, MOST_COMMON
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    table = counted.where(F.col("level") >= least).toArrow()
+    discard(counted)
+    tokens, levels = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "level"))
+    order = np.argsort(tokens)
+    return tokens[order], levels[order]
 
 
 def least_overlap(n):
@@ -165,32 +157,74 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-PROFILE = "doc_id long, text_key long, n long, unit long, prefix_key long, prefix array<long>"
+PROFILE = "doc_id long, text_key long, n long, unit long, prefix array<long>"
+HEAD = "unit long, n long, prefix array<long>"
+
+
+def prefix_of(s: np.ndarray, common: Common) -> np.ndarray:
+    return order_keys(s, common)[: len(s) - least_overlap(len(s)) + 1]
+
 
+def _long_lists(values: list[np.ndarray | None]) -> pa.Array:
+    return pa.array(values, pa.list_(pa.int64()))
+
+
+def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, unit, prefix = [], [], []
+        for s in _sets(batch.column(1)):
+            n.append(len(s)), unit.append(signature(s) if len(s) else None), prefix.append(prefix_of(s, NONE_COMMON) if len(s) else None)
+        cols = [pa.array(n, pa.int64()), pa.array(unit, pa.int64()), _long_lists(prefix)]
+        yield pa.record_batch([batch.column(0), batch.column(2), *cols], names=["doc_id", "text_key", "n", "unit", "prefix"])
+
+
+def _with_common(common: Common, wanted: bool):
+    """Of heads in the order of hashes, those with or without a common shingle in the prefix."""
 
-def _profiles(common: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, unit, key, prefix = [], [], [], []
-            for s in _sets(batch.column(1)):
-                n.append(len(s))
-                if not len(s):
-                    unit.append(None), key.append(None), prefix.append(None)
-                    continue
-                head = order_keys(s, common)[: len(s) - least_overlap(len(s)) + 1]
-                unit.append(signature(s)), key.append(signature(np.append(head, len(s)))), prefix.append(head)
-            cols = [pa.array(n, pa.int64()), pa.array(unit, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), batch.column(2), *cols], names=["doc_id", "text_key", "n", "unit", "prefix_key", "prefix"])
+            prefix = batch.column(2)
+            there = np.concatenate([[0], np.cumsum(places(prefix.flatten().to_numpy(zero_copy_only=False), common)[1])])
+            ends = np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))])
+            keep = pa.array((np.diff(there[ends]) > 0) == wanted)
+            yield pa.record_batch([c.filter(keep) for c in batch.columns], names=batch.schema.names)
+
+    return run
+
+
+def _token_counts(common: Common):
+    """(token, times) of the sets of each batch of texts, as far as prefixes without common shingles would reach."""
+
+    def counted(s: np.ndarray) -> np.ndarray:
+        keys = order_keys(s, NONE_COMMON)
+        size = len(s) - least_overlap(len(s)) + 1
+        rare = size - int(places(keys[:size], common)[1].sum())
+        return keys[: size * size * 3 // (2 * rare) + 8] if rare else keys
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [counted(s) for s in _sets(batch.column(0))]
+            token, times = np.unique(np.concatenate([*sets, NONE_COMMON[0]]), return_counts=True)
+            yield pa.record_batch([pa.array(token, pa.int64()), pa.array(times, pa.int64())], names=["token", "times"])
+
+    return run
+
+
+def _heads(common: Common):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in _sets(batch.column(0)) if len(s)]
+            cols = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _long_lists([prefix_of(s, common) for s in sets])]
+            yield pa.record_batch(cols, names=["unit", "n", "prefix"])
 
     return run
 
 
 def _packed_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text, and the unit that it belongs to."""
+    """The unit and the set of each text."""
     for batch in batches:
-        sets = list(_sets(batch.column(1)))
-        cols = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.record_batch([batch.column(0), *cols], names=["at", "unit", "packed"])
+        sets = list(_sets(batch.column(0)))
+        yield pa.record_batch([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["unit", "packed"])
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -228,7 +262,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
 
-def difference(hub: np.ndarray, s: np.ndarray, common: np.ndarray) -> tuple[int, bool, np.ndarray]:
+def difference(hub: np.ndarray, s: np.ndarray, common: Common) -> tuple[int, bool, np.ndarray]:
     """Size of the difference of a set and its hub, whether they link, and the prefix of the difference.
 
     Sets link if and only if their difference is at most d / k of their sizes' sum, with d = DEN - NUM and k = DEN + NUM.
@@ -249,7 +283,7 @@ def difference(hub: np.ndarray, s: np.ndarray, common: np.ndarray) -> tuple[int,
 DIFFERENCE = "hub long, unit long, n long, size long, near boolean, prefix array<long>"
 
 
-def _differences(common: np.ndarray):
+def _differences(common: Common):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, size, near, prefix = [], [], [], []
@@ -269,19 +303,51 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-class Verifier:
-    """Checks pairs of units: by their prefixes first, and what may link by whole sets."""
+class Texts:
+    """The texts of units, each from the one document that stands for it."""
 
-    def __init__(self, docs: DataFrame, profiles: DataFrame, candidates: DataFrame):
-        """docs: (doc_id, text); candidates: (unit, doc_id), a document for each unit that may be asked for."""
+    def __init__(self, docs: DataFrame, rows: DataFrame):
+        """docs: (doc_id, text, text_key); rows: (doc_id, text_key, n, unit)."""
         at = F.coalesce("doc_id", F.lit(LOWEST)).alias("at")
-        self.docs, self.candidates = docs.select(at, "text"), written(candidates.select(at, "unit"), "candidates")
-        heads = profiles.select(at, "unit", "n", "prefix").join(few(self.candidates), ["at", "unit"])
-        self.heads = self._once(written(heads.select("unit", "n", "prefix"), "heads"), self.candidates.count())
+        self.docs = docs.select(at, "text_key", "text")
+        standing = rows.where("n > 0").groupBy("unit").agg(F.min(F.struct(at, "text_key")).alias("doc"), F.min("doc_id").alias("doc_id"))
+        self.of = written(standing.select("unit", "doc.*", "doc_id"), "of")
+
+    def read(self, units: DataFrame, name: str) -> DataFrame:
+        """(text) of units, whose ids are written first; more than once where rows repeat an id and a text."""
+        asked = written(self.of.join(units, "unit", "left_semi").select("at", "text_key").distinct(), name)
+        return self.docs.join(few(asked), ["at", "text_key"], "left_semi").select("text")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """One of the rows of each unit, which are all the same."""
+    return df.dropDuplicates(["unit"])
+
+
+def picked_again(texts: Texts, heads: DataFrame) -> tuple[DataFrame, Common]:
+    """Heads with prefixes in the common order, which comes with them; heads given in the order of hashes."""
+    common = commonness(heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")))
+    if len(common[0]):
+        some = written(heads.mapInArrow(_with_common(common, True), HEAD).select("unit"), "some")
+        counted = texts.read(some, "counted_docs").mapInArrow(_token_counts(common), "token long, times long")
+        common = commonness(counted.groupBy("token").agg(F.sum("times").alias("times")))
+        discard(some)
+    if not len(common[0]):
+        return heads, common
+    changed = written(heads.mapInArrow(_with_common(common, True), HEAD).select("unit"), "changed")
+    again = texts.read(changed, "changed_docs").mapInArrow(_heads(common), HEAD).join(few(changed), "unit", "left_semi")
+    out = written(heads.mapInArrow(_with_common(common, False), HEAD).unionByName(once(again)), "heads")
+    discard(heads, changed)
+    return out, common
 
-    def _once(self, df: DataFrame, n: int) -> DataFrame:
-        """One row a unit, also where rows repeat an id and a text."""
-        return df.dropDuplicates(["unit"]) if df.count() > n else df
+
+class Verifier:
+    """Checks pairs of units: by their prefixes first, and what may link by whole sets."""
+
+    def __init__(self, texts: Texts, heads: DataFrame, candidates: DataFrame):
+        """candidates: (unit) of those that may be asked for."""
+        self.texts = texts
+        self.heads = written(heads.join(few(written(candidates, "candidates")), "unit", "left_semi"), "asked_heads")
 
     def _meet(self, table: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
         """(a, b, columns of a, columns of b). While pairs are few, a table isn't shuffled for those that no pair asks for."""
@@ -293,23 +359,24 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         may = written(self._meet(self.heads, pairs, "n", "prefix").mapInArrow(_bounded, "a long, b long"), "may")
-        out = written(self._with_sets(may).mapInArrow(_verify, "u long, v long"), "links")
+        out = self._with_sets(may, _verify, "u long, v long", "links")
         discard(pairs, may)
         return out
 
-    def differences(self, pairs: DataFrame, common: np.ndarray) -> DataFrame:
+    def differences(self, pairs: DataFrame, common: Common) -> DataFrame:
         """What sets b apart from its hub a, for each of the pairs."""
         pairs = written(pairs, "hub_pairs")
-        return written(self._with_sets(pairs).mapInArrow(_differences(common), DIFFERENCE), "differences")
+        out = self._with_sets(pairs, _differences(common), DIFFERENCE, "differences")
+        discard(pairs)
+        return out
 
-    def _with_sets(self, may: DataFrame) -> DataFrame:
-        """(a, b, packed_a, packed_b) of a written table of pairs."""
-        asked = may.select(F.col("a").alias("unit")).unionByName(may.select(F.col("b").alias("unit"))).distinct()
-        asked = written(self.candidates.join(asked, "unit", "left_semi"), "asked")
-        n = asked.count()
-        docs = self.docs.join(F.broadcast(asked.select("at").distinct()), "at", "left_semi") if n <= BROADCAST_ROWS else self.docs
-        sets = docs.mapInArrow(_packed_sets, "at long, unit long, packed binary").join(few(asked), ["at", "unit"])
-        return self._meet(self._once(written(sets.select("unit", "packed"), "sets"), n), may, "packed")
+    def _with_sets(self, pairs: DataFrame, task, schema: str, name: str) -> DataFrame:
+        """What task makes of (a, b, packed_a, packed_b) of a written table of pairs."""
+        asked = written(pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct(), "asked")
+        sets = written(once(self.texts.read(asked, "asked_docs").mapInArrow(_packed_sets, "unit long, packed binary").join(few(asked), "unit", "left_semi")), "sets")
+        out = written(self._meet(sets, pairs, "packed").mapInArrow(task, schema), name)
+        discard(sets, asked)
+        return out
 
 
 def alike_in_size(a: Column, b: Column) -> Column:
@@ -340,32 +407,37 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    common = commonness(docs.select("text"))
-    profiles = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_profiles(common), PROFILE), "profiles")
-    sized = profiles.where("n > 0")
-    units = sized.groupBy("unit", "n", "prefix_key").agg(F.min("doc_id").alias("doc_id"))
-    group = W.partitionBy("prefix_key")
-    units = written(units.withColumn("gid", F.min("unit").over(group)).withColumn("members", F.count("*").over(group)), "units")
-    leaders = units.where("unit = gid").select("unit", F.col("doc_id").alias("_doc"))
-    heads = sized.select("unit", "doc_id", "n", "prefix").join(leaders, "unit").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
-    tokens = heads.select("unit", "n", F.posexplode("prefix").alias("place", "token"))
-    inside = units.where("members > 1").select("unit", "n", F.lit(-1).alias("place"), F.col("prefix_key").alias("token"))
-    every = tokens.unionByName(inside).withColumn("entries", F.count("*").over(W.partitionBy("token", F.col("place") < 0)))
-    lists = one_of_each(written(every.where("entries > 1").select("token", "unit", "n", "place", "entries"), "all_lists"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    profiles = written(docs.select("doc_id", "text", "text_key").mapInArrow(_profiles, PROFILE), "profiles")
+    rows = written(profiles.drop("prefix"), "rows")
+    texts = Texts(docs, rows)
+    heads = written(once(profiles.where("n > 0").select("unit", "n", "prefix")), "heads")
+    discard(profiles)
+    heads, common = picked_again(texts, heads)
+    keyed = written(heads.select("unit", "n", F.xxhash64("n", "prefix").alias("prefix_key")), "keyed")
+    groups = keyed.groupBy("prefix_key").agg(F.min("unit").alias("gid"), F.count("*").alias("members"))
+    units = written(keyed.join(groups, "prefix_key"), "units")
+    others = written(units.where("unit <> gid").select("unit"), "others")
+    tokens = heads.join(few(others), "unit", "left_anti").select("unit", "n", F.posexplode("prefix").alias("place", "token"))
+    listed = tokens.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1")
+    inside = units.where("members > 1").select(F.col("prefix_key").alias("token"), "unit", "n", F.lit(-1).alias("place"), F.col("members").alias("entries"))
+    every = tokens.join(listed, "token").select("token", "unit", "n", "place", "entries")
+    lists = one_of_each(written(every.unionByName(inside), "all_lists"))
+    release(spark)
     if lists.isEmpty():
-        return finished(profiles, units, None)
+        return finished(rows, units, texts.of, None)
     asked = lists.select(F.col("unit").alias("gid")).distinct()
-    members = units.join(asked, "gid", "left_semi")
-    verifier = Verifier(docs, profiles, members.select("unit", "doc_id"))
+    verifier = Verifier(texts, heads, units.join(asked, "gid", "left_semi").select("unit"))
+    discard(heads)
     labels = None
     for r in range(rounds):
-        mine = labelled(labels, lists, "unit", "label")
-        hub = F.max(F.struct(*hub_order(r), "unit", "n", "place", "label")).over(W.partitionBy("token", F.col("place") < 0))
-        pairs = mine.withColumn("hub", hub).where(
+        mine = labelled(labels, lists, "unit", "label").withColumn("kind", F.col("place") < 0)
+        # a list's hub comes by an aggregate and a join, so a list of very many members is combined early and may be split
+        hubs = mine.groupBy("token", "kind").agg(F.max(F.struct(*hub_order(r), "unit", "n", "place", "label")).alias("hub"))
+        pairs = mine.join(hubs, ["token", "kind"]).where(
             (F.col("hub.label") != F.col("label"))
             & alike_in_size(F.col("n"), F.col("hub.n"))
-            & ((F.col("place") < 0) | first_shared(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+            & (F.col("kind") | first_shared(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
         )
         links = verifier.links(pairs.select(F.col("hub.unit").alias("a"), F.col("unit").alias("b")).distinct())
         labels = joined(labels, links)
@@ -374,7 +446,8 @@ def ngram_join(docs: DataFrame, *, rounds: int = ROUNDS, id_col: str = "doc_id",
     differences = verifier.differences(hub_pairs, common)
     labels = joined(labels, differences.where("near").select(F.col("hub").alias("u"), F.col("unit").alias("v")))
     pairs = short.unionByName(apart_from_hubs(differences, labels)).distinct()
-    return finished(profiles, units, joined(labels, verifier.links(pairs)))
+    labels = joined(labels, verifier.links(pairs))
+    return finished(rows, units, texts.of, labels)
 
 
 def one_of_each(lists: DataFrame) -> DataFrame:
@@ -469,11 +542,11 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(components(edges), "labels")
 
 
-def finished(profiles: DataFrame, units: DataFrame, labels: DataFrame | None) -> DataFrame:
-    mine = labelled(labels, units.select("unit", "doc_id"), "unit", "component")
+def finished(rows: DataFrame, units: DataFrame, of: DataFrame, labels: DataFrame | None) -> DataFrame:
+    mine = labelled(labels, units.select("unit"), "unit", "component").join(of, "unit")
     least = mine.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     mine = mine.select("unit", "component").join(least, "component")
-    return profiles.select("doc_id", "text_key", "n", "unit").join(mine, "unit", "left").select(
+    return rows.join(mine, "unit", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -502,9 +575,9 @@ def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = docs.join(gone, same, "left_anti")
     n = found.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(LOWEST))).alias("ids")).first()
     if n.rows > n.ids:
-        once = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
+        one = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        out = out.select(row.alias("row"), F.row_number().over(once).alias("k")).where("k = 1").select("row.*")
+        out = out.select(row.alias("row"), F.row_number().over(one).alias("k")).where("k = 1").select("row.*")
     return out
 
 

@@ -96,13 +96,12 @@ def test_unbounded_ways(spark, docs, texts, monkeypatch):
 def test_differences_share_prefixes():
     """Any two linked sets that aren't both linked with the hub have a shared key in both prefixes."""
     r = np.random.default_rng(1)
-    common = np.zeros(1 << nj.SKETCH_BITS, dtype=np.uint8)
     base = r.integers(0, 2**64, 90, dtype=np.uint64)
     seen = 0
     for _ in range(3000):
         odd = np.unique(np.concatenate([base[r.random(90) < 0.85], r.integers(0, 2**64, r.integers(0, 12), dtype=np.uint64)]))
         x, y = (np.unique(np.concatenate([odd[r.random(len(odd)) < 0.97], r.integers(0, 2**64, r.integers(0, 9), dtype=np.uint64)])) for _ in "xy")
-        (_, a, p), (_, b, q) = (nj.difference(np.sort(base), s, common) for s in (x, y))
+        (_, a, p), (_, b, q) = (nj.difference(np.sort(base), s, nj.NONE_COMMON) for s in (x, y))
         assert a == nj.similar(x, np.sort(base))
         if nj.similar(x, y) and not (a and b):
             seen += 1
