@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
+#: Rows that go to a Python worker at once, at most; rows carry whole texts.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -58,7 +66,9 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, wherever they run."""
+    """Send this package to the Python workers, wherever they run, and bound the batches that they get."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ARROW_ROWS:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -76,6 +86,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; after the last one, memory that the worker no longer uses goes back to the system before the next task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

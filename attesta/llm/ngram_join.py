@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, release, ship, written
+from .common import discard, documents, freed, release, ship, written
 from .components import components
 
 WORDS = 5
@@ -170,7 +170,7 @@ def _long_lists(values: list[np.ndarray | None]) -> pa.Array:
 
 
 def _profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         n, unit, prefix = [], [], []
         for s in _sets(batch.column(1)):
             n.append(len(s)), unit.append(signature(s) if len(s) else None), prefix.append(prefix_of(s, NONE_COMMON) if len(s) else None)
@@ -182,7 +182,7 @@ def _with_common(common: Common, wanted: bool):
     """Of heads in the order of hashes, those with or without a common shingle in the prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             prefix = batch.column(2)
             there = np.concatenate([[0], np.cumsum(places(prefix.flatten().to_numpy(zero_copy_only=False), common)[1])])
             ends = np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))])
@@ -202,7 +202,7 @@ def _token_counts(common: Common):
         return keys[: size * size * 3 // (2 * rare) + 8] if rare else keys
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             sets = [counted(s) for s in _sets(batch.column(0))]
             token, times = np.unique(np.concatenate([*sets, NONE_COMMON[0]]), return_counts=True)
             yield pa.record_batch([pa.array(token, pa.int64()), pa.array(times, pa.int64())], names=["token", "times"])
@@ -212,7 +212,7 @@ def _token_counts(common: Common):
 
 def _heads(common: Common):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             sets = [s for s in _sets(batch.column(0)) if len(s)]
             cols = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _long_lists([prefix_of(s, common) for s in sets])]
             yield pa.record_batch(cols, names=["unit", "n", "prefix"])
@@ -222,7 +222,7 @@ def _heads(common: Common):
 
 def _packed_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The unit and the set of each text."""
-    for batch in batches:
+    for batch in freed(batches):
         sets = list(_sets(batch.column(0)))
         yield pa.record_batch([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["unit", "packed"])
 
@@ -250,14 +250,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         rows = zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True)
         keep = [may_link(n, a.values.to_numpy(), m, b.values.to_numpy()) for n, a, m, b in rows]
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         keep = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
@@ -285,7 +285,7 @@ DIFFERENCE = "hub long, unit long, n long, size long, near boolean, prefix array
 
 def _differences(common: Common):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             n, size, near, prefix = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s = np.frombuffer(y.as_py(), "<u8")

@@ -1,13 +1,14 @@
 """Hierarchical residual best-fit packing of token pieces into sequences.
 
-Each partition tokenizes its documents, packs the pieces best-fit (largest first) and closes the bins that are nearly
-full. The others travel, with their pieces, as items of their fill up a tree: tasks of a level merge the open bins of
-several tasks below by best fit again, until one task at the top has what is left.
+Documents are tokenized and cut; pieces are dealt to partitions at random, so that each sees pieces of all lengths, and
+packed best-fit there (largest first). Bins that are nearly full, or that no other bin can still go with, are closed. The
+others travel, with their pieces, as items of their fill up a tree: tasks of a level merge the open bins of several tasks
+below by best fit again, until one task at the top has what is left. After best fit a task has at most one bin that is no
+more than half full, and each merge takes such a bin; so that one goes up with the emptiest of the others, a fixed number.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship, written
+from .common import documents, freed, pieces_for, ship, written
 
 CAPACITY = 2048
 END = 0
@@ -26,6 +27,10 @@ END = 0
 NEARLY_FULL = 4
 #: Tasks whose open bins one task of the next level merges.
 FAN_IN = 16
+#: Bins over half full that a task sends up, for those that are less full in other tasks.
+HOSTS = 64
+#: Pieces that one task packs.
+PIECES = 50_000
 VOCABULARY = "byte_bpe_50k"
 #: Words whose ids a Python worker keeps; then it starts anew.
 KEPT_WORDS = 400_000
@@ -43,33 +48,21 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n0-
 
 
 class Ids:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, the same as the tokenizers library gives."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, all made by the tokenizers library.
+
+    In texts of the characters of PLAIN, words are split here and the ids of a word are kept.
+    """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers as files
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(files.path(f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding(vocabulary, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._json = files.path(f"{vocabulary}.json")
-        self._full = None
+        self._full = Tokenizer.from_file(files.path(f"{vocabulary}.json"))
         self._words: dict[str, bytes] = {}
 
-    def full(self, text: str) -> bytes:
-        """By the tokenizers library itself."""
-        if self._full is None:
-            from tokenizers import Tokenizer
-
-            self._full = Tokenizer.from_file(self._json)
-        return np.array(self._full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def __call__(self, text: str) -> bytes:
-        if "<|endoftext|>" in text:
-            return self.full(text)
-        encode = self._fast.encode_ordinary
-        if not _PLAIN.fullmatch(text):
-            return np.array(encode(text), dtype="<u4").tobytes()
+        if "<|endoftext|>" in text or not _PLAIN.fullmatch(text):
+            return np.array(self._full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words, kept = _SPLIT.findall(text), self._words
         try:
             return b"".join(map(kept.__getitem__, words))
@@ -77,9 +70,9 @@ class Ids:
             pass
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = b"".join(x.to_bytes(4, "little") for x in encode(w))
+        new = [w for w in dict.fromkeys(words) if w not in kept]
+        for w, e in zip(new, self._full.encode_batch(new, add_special_tokens=False), strict=True):
+            kept[w] = np.array(e.ids, dtype="<u4").tobytes()
         return b"".join(map(kept.__getitem__, words))
 
 
@@ -123,11 +116,18 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _emit(rows: list[tuple], level: int, capacity: int, nearly_full: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """rows: (fill, six lists), each an item; packs them and yields one row a bin."""
+def _emit(rows: list[tuple], level: int, capacity: int, least: int, hosts: int) -> Iterator[pa.RecordBatch]:
+    """rows: (fill, six lists), each an item; packs them and yields one row a bin.
+
+    Open stay the bin that is at most half full, and of the others those with the most room, if it is for `least` tokens.
+    """
     task = TaskContext.get().partitionId()
+    packed = best_fit([r[0] for r in rows], capacity)
+    fills = [sum(rows[i][0] for i in members) for members in packed]
+    roomy = sorted((f, b) for b, f in enumerate(fills) if capacity // 2 < f <= capacity - least)
+    opened = {b for _, b in roomy[:hosts]} | {b for b, f in enumerate(fills) if f <= capacity // 2 and f <= capacity - least}
     out: list[list] = [[] for _ in range(4 + len(_PARTS))]
-    for b, members in enumerate(best_fit([r[0] for r in rows], capacity)):
+    for b, members in enumerate(packed):
         lists: list[list] = [[] for _ in _PARTS]
         fill = 0
         for i in members:
@@ -136,7 +136,7 @@ def _emit(rows: list[tuple], level: int, capacity: int, nearly_full: int, last:
                 lists[k] += parts[k]
             lists[5] += [x + fill for x in parts[5]]
             fill += size
-        for k, v in enumerate(((level << 56) | (task << 28) | b, fill, not last and capacity - fill > nearly_full, task, *lists)):
+        for k, v in enumerate(((level << 56) | (task << 28) | b, fill, b in opened, task, *lists)):
             out[k].append(v)
         if len(out[0]) == 2000:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
@@ -144,24 +144,39 @@ def _emit(rows: list[tuple], level: int, capacity: int, nearly_full: int, last:
     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
 
 
-def _tokenize_and_pack(vocabulary: str, capacity: int, nearly_full: int):
+PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
+
+
+def _tokenize(vocabulary: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = ids_of(vocabulary), []
-        end = END.to_bytes(4, "little")
-        for batch in batches:
+        ids, end = ids_of(vocabulary), END.to_bytes(4, "little")
+        for batch in freed(batches):
+            out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids(text.as_py() or "") + end
+                data = memoryview(ids(text.as_py() or "") + end)
                 for k, (start, n) in enumerate(cut(len(data) // 4, capacity)):
-                    rows.append((n, [doc_id], [k], [start], [n], [zlib.crc32(memoryview(data)[4 * start : 4 * (start + n)])], [0]))
-        yield from _emit(rows, 0, capacity, nearly_full, False)
+                    for c, v in zip(out, (doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])), strict=True):
+                        c.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, _PARTS, strict=False)], names=[n for n, _ in _PARTS[:5]])
 
     return run
 
 
-def _merge(level: int, capacity: int, nearly_full: int, last: bool):
+def _pack(capacity: int, least: int, hosts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for batch in batches for r in batch.select(["fill", *(n for n, _ in _PARTS)]).to_pylist()]
-        yield from _emit(rows, level, capacity, nearly_full, last)
+        rows = []
+        for batch in freed(batches):
+            for doc_id, k, start, n, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((n, [doc_id], [k], [start], [n], [crc], [0]))
+        yield from _emit(rows, 0, capacity, least, hosts)
+
+    return run
+
+
+def _merge(level: int, capacity: int, least: int, hosts: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(r.values()) for batch in freed(batches) for r in batch.select(["fill", *(n for n, _ in _PARTS)]).to_pylist()]
+        yield from _emit(rows, level, capacity, least, hosts)
 
     return run
 
@@ -173,51 +188,48 @@ def pack_documents(
     capacity: int = CAPACITY,
     nearly_full: int = NEARLY_FULL,
     fan_in: int = FAN_IN,
-    top_bins: int = 20_000,
+    hosts: int = HOSTS,
+    pieces: int = PIECES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece of each row of docs.
 
-    A document is the ids of its whole text (null: empty) and END; longer ones than the capacity are cut into pieces of
-    the capacity, the first of which may be shorter. Offsets are gapless from 0 in each sequence. Each row of docs is
-    packed, also one with a repeated or null id; an empty table gives no rows. Open bins go up the tree while a level
-    still saves a fiftieth of them; a level of at most top_bins open bins goes to one task. What a task holds is bounded
-    by a partition's pieces, at higher levels by fan_in times the open bins of a task.
+    A document is the ids of its whole text (null: empty, so END alone) and END; longer ones than the capacity are cut
+    into pieces of the capacity, the first of which may be shorter. Offsets are gapless from 0 in each sequence. Each row
+    of docs is packed, also one with a repeated or null id or a repeated text; other columns of any name play no role; an
+    empty table gives no rows. Open bins go up the tree to its one root, at every size. A task holds about `pieces` pieces, at higher
+    levels at most fan_in * (hosts + 1) bins. Bins with no room for the shortest piece or open bin, or with at most
+    nearly_full free tokens, are closed.
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    level, tables = 0, []
-    bins = written(source.mapInArrow(_tokenize_and_pack(vocabulary, capacity, nearly_full), BIN), "bins_0")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    cuts = written(source.mapInArrow(_tokenize(vocabulary, capacity), PIECE), "pieces")
+    short = cuts.where(F.col("length") < capacity)
+    state = short.agg(F.count("*").alias("n"), F.min("length").alias("least")).first()
+    # whole pieces are sequences of their own; the numbers of others are not negative
+    alone = cuts.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    least, nodes, level, tables = state.least or 1, pieces_for(state.n, pieces), 0, []
+    work, task = short.repartition(nodes), _pack(capacity, max(least, nearly_full + 1), hosts)
     while True:
-        state = bins.where("open").agg(F.count("*").alias("n"), (F.max("node") + 1).alias("nodes")).first()
-        if not state.n:
+        bins = written(work.mapInArrow(task, BIN), f"bins_{level}")
+        state = bins.where("open").agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
+        if nodes == 1 or not state.n:
             tables.append(bins)
             break
         tables.append(bins.where("not open"))
-        level += 1
-        nodes = 1 if state.n <= top_bins else max(1, -(-state.nodes // fan_in))
-        dealt = bins.where("open").withColumn("node", F.floor(F.col("node") * F.lit(nodes) / F.lit(state.nodes)).cast("int"))
-        dealt = dealt.coalesce(1) if nodes == 1 else dealt.repartition(nodes, "node")
-        merged = written(dealt.mapInArrow(_merge(level, capacity, nearly_full, nodes == 1), BIN), f"bins_{level}")
-        if nodes > 1 and merged.count() > 0.98 * state.n:
-            tables.append(merged)
-            break
-        bins = merged
+        level, before, nodes = level + 1, nodes, pieces_for(nodes, fan_in)
+        node = F.floor(F.col("node") * F.lit(nodes) / F.lit(before)).cast("int")
+        work = bins.where("open").repartition(nodes, node) if nodes > 1 else bins.where("open").coalesce(1)
+        task = _merge(level, capacity, max(state.least, nearly_full + 1), hosts)
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
     names = [n for n, _ in _PARTS]
-    return every.select("bin", F.explode(F.arrays_zip(*names)).alias("p")).select(
-        "p.doc_id",
-        "p.piece",
-        "p.start",
-        F.col("p.length").cast("long").alias("length"),
-        "p.ids_crc32",
-        F.col("bin").alias("sequence_id"),
-        F.col("p.offset").cast("long").alias("offset"),
-    )
+    packed = every.select("bin", F.explode(F.arrays_zip(*names)).alias("p")).select("p.*", F.col("bin").alias("sequence_id"))
+    columns = [*names[:3], F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset")]
+    return packed.select(*columns).unionByName(alone.select(*columns))
 
 
 def op10_packing(spark, sf_dir):

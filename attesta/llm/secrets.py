@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a randomness test battery for strings that no pattern names.
 
-A candidate is a run of token characters that mixes letters with digits or cases. Its encoding (hex, base32, base36,
-base62, base64) gives an alphabet; three tests ask whether it may be random in it: chi-squared uniformity of the
-symbols, Wald-Wolfowitz runs about the middle of the alphabet, and serial correlation of neighbours. Short strings
-pass such tests whatever they are, so a string that passes is reported only if ordinary writing of its length would
-hardly look as uniform: its chi-squared is set against the non-central distribution that letters of prose give, and
-these p-values go through Benjamini-Hochberg control over the whole corpus, in strata of encoding and length.
+A candidate is a run of token characters that mixes letters with digits or cases, or a part of one between marks. Its
+encoding (hex, base32, base36, base62, base64) gives an alphabet; three tests ask whether it may be random in it:
+chi-squared uniformity of the symbols, Wald-Wolfowitz runs about the middle of the alphabet, and serial correlation of
+neighbours. Short strings pass such tests whatever they are, so a string that passes is reported only if ordinary writing
+would hardly give it: the chance of its neighbours in the corpus, divided by their chance in the encoding, is a p-value
+(ordinary writing reaches 1 / p with a chance of p at most), and these go through Benjamini-Hochberg control over the
+whole corpus, in strata of encoding and length. Runs inside spans of patterns are tested too, as evidence for these.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, ship, written
+from .common import documents, freed, ship, written
 
 KINDS = ("assign", "access", "hex", "random")
 #: kind, pattern, group whose length counts, least length; fixed values.
@@ -34,6 +35,10 @@ BATTERY_LEVEL = 0.001
 FALSE_DISCOVERY_RATE = 0.01
 #: p-values are counted in steps of this many to a power of ten.
 STEPS = 20
+#: Ordinary writing is how often characters of MARKED follow each other in the corpus (candidates aside), with so many
+#: pairs a character from LETTERS and the shares below; and at any place, with this chance, any character whatever.
+PRIOR_PAIRS = 1000
+ANY = 0.05
 #: Relative frequency of a to z in English prose, in thousandths; fixed values.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 #: Share of digits, capitals and marks in ordinary mixed strings.
@@ -53,10 +58,18 @@ ENCODINGS = (
 )
 
 
-def ordinary(alphabet: str) -> list[float]:
-    """Symbol frequencies of ordinary writing over an alphabet."""
+MARKED = DECIMAL + UPPER + LOWER + "+/_-"
+_SPLIT = re.compile(r"[+/_-]+")
+_PART = re.compile("[A-Za-z0-9]{%d,}" % LEAST_LENGTH)
+_CODE = np.full(256, len(MARKED), dtype=np.int64)
+_CODE[np.frombuffer(MARKED.encode(), dtype=np.uint8)] = np.arange(len(MARKED))
+_WIDTH = len(MARKED) + 1
+
+
+def single_shares() -> np.ndarray:
+    """Shares of the characters of MARKED in ordinary writing, as far as no corpus tells."""
     raw = []
-    for c in alphabet:
+    for c in MARKED:
         if c in DECIMAL:
             raw.append(DIGITS / 10)
         elif c in LOWER:
@@ -64,12 +77,45 @@ def ordinary(alphabet: str) -> list[float]:
         elif c in UPPER:
             raw.append(CAPITALS * LETTERS[ord(c) - 65] / sum(LETTERS))
         else:
-            raw.append(MARKS / 2)
-    return [x / sum(raw) for x in raw]
+            raw.append(MARKS / 4)
+    return np.array(raw)
+
+
+def costs(pairs: np.ndarray) -> np.ndarray:
+    """-log chance of a character of MARKED after another (or after anything else), from counts of such pairs."""
+    counts = pairs[:, :-1] + PRIOR_PAIRS * single_shares()
+    return -np.log((1 - ANY) * counts / counts.sum(axis=1, keepdims=True) + ANY / len(MARKED))
+
+
+def _plain(m: re.Match) -> str:
+    """A run without candidates."""
+    return " " if encoding_of(m[0]) is not None else _PART.sub(lambda p: p[0] if encoding_of(p[0]) is None else " ", m[0])
+
 
+def _pairs(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each character, or anything else, comes before each in a task's texts, candidates left out."""
+    total = np.zeros(_WIDTH * _WIDTH, dtype=np.int64)
+    for batch in freed(texts):
+        for text in batch.column(0):
+            plain = RUN.sub(_plain, text.as_py() or "")
+            codes = _CODE[np.frombuffer(plain.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+            total += np.bincount(codes[:-1] * _WIDTH + codes[1:], minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
 
-#: name, symbols, place of each symbol, non-centrality of ordinary writing for each character.
-TABLE = [(name, frozenset(a), {c: i for i, c in enumerate(a)}, len(a) * sum((q - 1 / len(a)) ** 2 for q in ordinary(a))) for name, a in ENCODINGS]
+
+def fit_ordinary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """costs() of neighbours in all texts; the table that comes to the driver has one row a pair of characters."""
+    ship(docs.sparkSession)
+    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_pairs, "pair int, n long")
+    pairs = np.zeros(_WIDTH * _WIDTH)
+    for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.pair] = r.n
+    return costs(pairs.reshape(_WIDTH, _WIDTH))
+
+
+#: name, symbols, place of each symbol.
+TABLE = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
 
 
 def normal_sf(z: float) -> float:
@@ -87,12 +133,12 @@ def encoding_of(s: str) -> int | None:
     digits, lower, upper = any(c in DECIMAL for c in chars), any(c in LOWER for c in chars), any(c in UPPER for c in chars)
     if not (digits and (lower or upper)) and not (lower and upper and re.search(r"[a-z][A-Z]", s)):
         return None
-    return next((k for k, (_, symbols, _, _) in enumerate(TABLE) if chars <= symbols), None)
+    return next((k for k, (_, symbols, _) in enumerate(TABLE) if chars <= symbols), None)
 
 
-def battery(s: str, encoding: int) -> tuple[tuple[float, float, float], float]:
-    """p-values of the three tests if s is random in its encoding, and of its chi-squared if it is ordinary writing."""
-    _, symbols, place, spread = TABLE[encoding]
+def battery(s: str, encoding: int) -> tuple[float, float, float]:
+    """p-values of the three tests if s is random in its encoding."""
+    _, symbols, place = TABLE[encoding]
     at = [place[c] for c in s.rstrip("=")]
     n, k = len(at), len(symbols)
     counts = [0] * k
@@ -113,10 +159,14 @@ def battery(s: str, encoding: int) -> tuple[tuple[float, float, float], float]:
     m = sum(at) / n
     square = sum((x - m) ** 2 for x in at)
     serial = 2 * normal_sf(abs(sum((a - m) * (b - m) for a, b in zip(at, at[1:], strict=False)) / square + 1 / n) * math.sqrt(n)) if square else 0.0
-    d, away = k - 1, n * spread
-    scale = (d + 2 * away) / (d + away)
-    plain = normal_sf(-chi2_z(chi2 / scale, (d + away) ** 2 / (d + 2 * away)))
-    return (uniform, runs, serial), max(plain, 1e-300)
+    return uniform, runs, serial
+
+
+def ordinary_p(s: str, encoding: int, cost: np.ndarray) -> float:
+    """At most this chance has ordinary writing to be as much likelier in the encoding as s is."""
+    codes = _CODE[np.frombuffer(s.rstrip("=").encode(), dtype=np.uint8)]
+    log_p = len(codes) * math.log(len(TABLE[encoding][1])) - cost[np.concatenate([[len(MARKED)], codes[:-1]]), codes].sum()
+    return math.exp(max(min(0.0, log_p), -690.0))
 
 
 def stratum_of(n: int, encoding: int) -> int:
@@ -124,44 +174,63 @@ def stratum_of(n: int, encoding: int) -> int:
     return encoding * 64 + min(63, int(2 * math.log2(n / LEAST_LENGTH)))
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
-    """Base spans (start, kind, end) by start and kind; candidates (start, end, stratum, p) that no base span touches."""
+def judged(s: str, cost: np.ndarray) -> tuple[int, float] | None:
+    """(stratum, p) of a candidate; p is 1 if it fails the battery."""
+    if (encoding := encoding_of(s)) is None:
+        return None
+    p = ordinary_p(s, encoding, cost)
+    return stratum_of(len(s), encoding), p if p < 1 and min(battery(s, encoding)) >= BATTERY_LEVEL else 1.0
+
+
+def candidates(text: str, cost: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end, stratum, p) of each run, or, where one of them is less ordinary, of its long parts between marks."""
+    for m in RUN.finditer(text):
+        s, (start, end) = m.group(), m.span()
+        whole = judged(s, cost)
+        parts, at = [], 0
+        for gap in [*_SPLIT.finditer(s), None]:
+            stop = gap.start() if gap else len(s)
+            if LEAST_LENGTH <= stop - at < len(s) and (found := judged(s[at:stop], cost)):
+                parts.append((start + at, start + stop, *found))
+            at = gap.end() if gap else stop
+        if parts and (whole is None or min(p for *_, p in parts) < whole[1]):
+            yield from parts
+        elif whole:
+            yield start, end, *whole
+
+
+def scan(text: str, cost: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float, int]]]:
+    """Base spans (start, kind, end) by start and kind; candidates (start, end, stratum, p, number of base spans touched)."""
     base = []
     for kind, pattern, group, least in PATTERNS:
         if kind == 0 and ":" not in text and "=" not in text:
             continue
         base += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     base.sort()
-    tried = []
-    for m in RUN.finditer(text):
-        s, (start, end) = m.group(), m.span()
-        if (encoding := encoding_of(s)) is None or any(a < end and start < b for a, _, b in base):
-            continue
-        tests, plain = battery(s, encoding)
-        tried.append((start, end, stratum_of(len(s), encoding), plain if min(tests) >= BATTERY_LEVEL else 1.0))
-    return base, tried
+    return base, [(*c, sum(a < c[1] and c[0] < b for a, _, b in base)) for c in candidates(text, cost)]
 
 
-SCANNED = "base array<struct<start:int,kind:int,end:int>>, tried array<struct<start:int,end:int,stratum:int,p:double>>"
+SCANNED = "struct<base:array<struct<start:int,kind:int,end:int>>,tried:array<struct<start:int,end:int,stratum:int,p:double,within:int>>>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_TRIED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64())]))
+_TRIED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64()), ("within", pa.int32())]))
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first column, and what scan() finds in the second."""
-    for batch in batches:
-        base, tried = [], []
-        for text in batch.column(1):
-            b, t = scan(text.as_py() or "")
-            base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in b])
-            tried.append([dict(zip(("start", "end", "stratum", "p"), x, strict=True)) for x in t])
-        yield pa.record_batch([batch.column(0), pa.array(base, _BASE), pa.array(tried, _TRIED)], names=[batch.schema.names[0], "base", "tried"])
+def _scanner(cost: np.ndarray):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in freed(texts):
+            base, tried = [], []
+            for text in batch:
+                b, t = scan(text.as_py() or "", cost)
+                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in b])
+                tried.append([dict(zip(("start", "end", "stratum", "p", "within"), x, strict=True)) for x in t])
+            yield pa.StructArray.from_arrays([pa.array(base, _BASE), pa.array(tried, _TRIED)], names=["base", "tried"])
 
+    return F.arrow_udf(run, SCANNED)
 
-def scanned(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
-    """(key, base, tried) of each row."""
-    source = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_scan, T.StructType([source.schema["key"], *T._parse_datatype_string(SCANNED).fields]))
+
+def scanned(docs: DataFrame, key: Column, cost: np.ndarray, text_col: str) -> DataFrame:
+    """(key, base, tried) of each row; texts alone go to Python."""
+    return docs.select(key.alias("key"), _scanner(cost)(F.col(f"`{text_col}`")).alias("found")).select("key", "found.*")
 
 
 def step_of(p: Column) -> Column:
@@ -183,16 +252,20 @@ def thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     return {r.stratum: r.step for r in accepted.collect()}
 
 
-def spans_of(least: dict[int, int]) -> Column:
-    """All spans of a scanned row: the base ones and the accepted candidates, by start and kind."""
+def accepted(least: dict[int, int], within: bool) -> Column:
+    """The candidates of a scanned row that are discoveries, inside or outside base spans."""
     if not least:
-        return F.col("base")
+        return F.filter("tried", lambda t: F.lit(False))
     steps = F.create_map(*(F.lit(x) for kv in sorted(least.items()) for x in kv))
-    added = F.transform(
-        F.filter("tried", lambda t: step_of(t["p"]) >= F.coalesce(F.try_element_at(steps, t["stratum"]), F.lit(2**31 - 1))),
-        lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), t["end"].alias("end")),
+    return F.filter(
+        "tried", lambda t: (step_of(t["p"]) >= F.coalesce(F.try_element_at(steps, t["stratum"]), F.lit(2**31 - 1))) & ((t["within"] > 0) == F.lit(within))
     )
-    return F.sort_array(F.concat("base", added))
+
+
+def spans_of(least: dict[int, int]) -> Column:
+    """All spans of a scanned row: the base ones and the discoveries outside of them, by start and kind."""
+    span = lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), t["end"].alias("end"))
+    return F.sort_array(F.concat("base", F.transform(accepted(least, False), span)))
 
 
 def listed(spans: Column) -> Column:
@@ -201,27 +274,32 @@ def listed(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, spans), a row for each row of docs: arrays of (start, kind, end) in code points, end exclusive.
+    """(doc_id, base, spans, n_proven), a row for each row of docs: arrays of (start, kind, end) in code points, end exclusive.
 
-    Whole texts are scanned; null is empty and has no spans. Spans of different kinds may overlap; candidates that touch
-    a base span are left to it. Repeated rows get the same spans; a null id stays null; an empty table gives no rows.
-    Only the spans, never the texts, are written between the scan and the control of false discoveries.
+    n_proven is the number of candidates inside base spans that the battery and the control of false discoveries accept
+    too. Whole texts are scanned, of any length; null is empty and has no spans. Spans of different kinds may overlap;
+    candidates that touch a base span add no span. Repeated rows and equal texts get the same spans; a null id stays null;
+    other columns of any name play no role; an empty table gives no rows. Only the spans, never the texts, are written
+    between the scan and the control of false discoveries.
     """
-    ship(docs.sparkSession)
-    found = written(scanned(docs, F.col(id_col).cast("long"), text_col), "secret_spans")
-    return found.select(F.col("key").alias("doc_id"), "base", spans_of(thresholds(found, rate)).alias("spans"))
+    cost = fit_ordinary(docs, text_col)
+    found = written(scanned(docs, F.col(f"`{id_col}`").cast("long"), cost, text_col), "secret_spans")
+    least = thresholds(found, rate)
+    return found.select(F.col("key").alias("doc_id"), "base", spans_of(least).alias("spans"), F.size(accepted(least, True)).cast("long").alias("n_proven"))
 
 
 def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """docs with each span of secrets in the text replaced by a mark, in the same columns.
 
-    Overlapping spans are replaced together. Texts without secrets, null ones included, stay as they are; an n_chars
-    column follows the new text. The scan runs twice: once for the thresholds, of which only counts are kept.
+    Overlapping spans are replaced together. Texts without secrets, null and empty ones included, stay as they are; an
+    n_chars column follows the new text. Texts may be of any length; rows are kept each, repeated ones and those of one
+    text alike; extra columns of any name stay; an empty table gives no rows. The scan runs twice: once for the
+    thresholds, of which only counts are kept.
     """
-    ship(docs.sparkSession)
-    least = thresholds(scanned(docs, F.lit(0), text_col), rate)
+    cost = fit_ordinary(docs, text_col)
+    least = thresholds(scanned(docs, F.lit(0), cost, text_col), rate)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = scanned(docs, row, text_col).select("key", spans_of(least).alias("spans"))
+    found = scanned(docs, row, cost, text_col).select("key", spans_of(least).alias("spans"))
     text = F.col("key").getField(text_col)
     cut = F.aggregate(
         "spans",
@@ -250,4 +328,5 @@ def op2_secrets(spark, sf_dir):
         count(2).alias("n_hex"),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        "n_proven",
     )

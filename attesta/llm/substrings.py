@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, ship, written
+from .common import documents, freed, ship, written
 
 LENGTH = 400
 GRAM = 16
@@ -31,7 +31,7 @@ TAIL = LENGTH - NEIGHBOURS - LEAD + 1
 #: Longer texts are parsed in parts of so many strings.
 PART = 1 << 18
 #: Dictionary phrases with one trigger that are put side by side in one task; beyond, Spark groups their strings.
-SIDE_BY_SIDE = 20_000
+SIDE_BY_SIDE = 500
 #: Rows of ids that may be broadcast, of 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LOWEST = -(2**63)
@@ -100,7 +100,7 @@ PARSED = "key long, phrase long, at long, tie long, x long, lo int, hi int"
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         docs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2)), strict=True)
         out: list[list] = [[] for _ in range(7)]
         for at, tie, data in docs:
@@ -115,7 +115,7 @@ PHRASE = "key long, m long, at long, tie long, x long, lo int, hi int, bytes bin
 
 def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the phrases that are asked for in each text."""
-    for batch in batches:
+    for batch in freed(batches):
         out: list[list] = [[] for _ in range(8)]
         for at, tie, data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             for p in asked:
@@ -165,7 +165,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((g["at"], g["tie"], a, b + LENGTH))
         return out
 
-    for batch in batches:
+    for batch in freed(batches):
         done: list[tuple[int, int, int, int]] = []
         for row in batch.to_pylist():
             if held and held[0]["key"] != row["key"]:
@@ -190,7 +190,7 @@ STRING = "high long, low long, m long, at long, tie long, start long"
 
 def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All 400-byte strings of phrases, by hash."""
-    for batch in batches:
+    for batch in freed(batches):
         out: list[list] = [[] for _ in range(6)]
         for g in batch.to_pylist():
             for s in range(g["hi"], g["lo"] + 1):
@@ -220,7 +220,7 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         out: list[list] = [[] for _ in range(4)]
         for data, spans in zip(_bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             gone = merged((s["start"], s["stop"]) for s in spans)

@@ -2,7 +2,8 @@
 
 Distinct pre-tokens of a batch are visited in sorted order, which walks their trie depth first: the path to the current
 node is all that is kept, a forward score is computed once for each prefix that several pre-tokens share, and the count
-at a pre-token's last node is stored. No shuffle: each task has its own trie.
+at a pre-token's last node is stored and kept for later batches of the worker. No shuffle: each batch has its own trie.
+Tokenizers aren't trained here, so a piece's score follows from its rank in the public vocabulary.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, ship
+from .common import WORD, documents, freed, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Zipf-Mandelbrot shift: the score of the piece of rank r is -log((r + SHIFT) * H), with H the sum of 1 / (r + SHIFT).
@@ -96,17 +97,16 @@ def model_of(name: str) -> Unigram:
 def _counter(vocabulary: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary)
-        for batch in batches:
+        for batch in freed(batches):
             out: tuple[list, ...] = ([], [], [])
-            texts = batch.column(1)
-            for at in range(0, len(texts), 64):
-                words = [_WORDS.findall(t or "") for t in texts.slice(at, 64).to_pylist()]
-                model.count(w for ws in words for w in ws)
-                for ws in words:
-                    total = sum(map(model.counts.__getitem__, ws))
-                    out[0].append(len(ws))
-                    out[1].append(total & ((1 << BYTES_FROM) - 1))
-                    out[2].append(total >> BYTES_FROM)
+            # the words of the whole batch first, so that their trie is walked once
+            model.count({w for t in batch.column(1) for w in _WORDS.findall(t.as_py() or "")})
+            for t in batch.column(1):
+                words = _WORDS.findall(t.as_py() or "")
+                total = sum(map(model.counts.__getitem__, words))
+                out[0].append(len(words))
+                out[1].append(total & ((1 << BYTES_FROM) - 1))
+                out[2].append(total >> BYTES_FROM)
             yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["doc_id", "n_pretokens", "n_tokens", "n_byte_tokens"])
 
     return run
@@ -115,8 +115,9 @@ def _counter(vocabulary: str):
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, n_byte_tokens), a row for each row of docs.
 
-    Pre-tokens are the words of the whole text (null: none), each with a mark before it. Empty texts count 0 and empty
-    tables give no rows; each repeated row is counted; a null id stays null. Other columns of docs play no role.
+    Pre-tokens are the words of the whole text (null: none), of any length, each with a mark before it. Empty texts count
+    0 and empty tables give no rows; each repeated row is counted, equal texts alike, and ties between segmentations go to
+    the longest last piece; a null id stays null. Other columns of docs, of any name, play no role.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

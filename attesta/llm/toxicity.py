@@ -19,13 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, ship
+from .common import documents, freed, ship
 
-#: Bounds of what is fitted on: labelled rows (the lowest hashes of the id), words of the model.
+#: Bound of what is fitted on: labelled rows (the lowest hashes of the id).
 SAMPLE_ROWS = 20_000
-MOST_WORDS = 4_096
 #: A word of the model is in at least so many sampled documents, and its chi-squared with toxic or not is at least this
 #: (1 degree of freedom; 24 is passed by one word in a million that has nothing to do with it).
 LEAST_DOCS = 5
@@ -98,7 +96,7 @@ def fit_ordinal(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.nd
 
 
 def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in freed(batches):
         words = [[{"word": w, "level": level_of(n)} for w, n in Counter(words_of(t or "")).items()] for t in batch.column(2).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, _WORDS)], names=["row", "grade", "words"])
 
@@ -144,14 +142,15 @@ def fit_toxicity(
     labels: DataFrame,
     *,
     sample_rows: int = SAMPLE_ROWS,
-    most_words: int = MOST_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> MODEL:
     """Weights of words and the thresholds, from at most sample_rows labelled documents.
 
-    Labels without a toxic value and documents without labels play no role. With no labelled row, or one class only, no
-    word has a weight and no document is toxic.
+    Labels without a toxic value or id, and documents without labels, play no role; of labels that repeat an id one
+    counts, while rows that repeat an id are each fitted on. Null and empty texts have no words; long ones are read whole;
+    other columns of any name play no role. With no labelled row, empty tables or one class only, no word has a weight and
+    no document is toxic.
     """
     ship(docs.sparkSession)
     kept = labels.select(F.col("doc_id").alias("_id"), "toxic").where("toxic is not null and _id is not null").dropDuplicates(["_id"])
@@ -176,8 +175,6 @@ def fit_toxicity(
             .where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") < n))
             .select("word", chi2.alias("chi2"))
             .where(F.col("chi2") >= LEAST_CHI2)
-            .orderBy(F.desc("chi2"), "word")
-            .limit(most_words)
             .collect()
         )
         if not model_words:
@@ -196,38 +193,43 @@ def fit_toxicity(
     return {x: tuple(map(float, v)) for x, v in zip(index, w, strict=True)}, [float(t) for t in theta]
 
 
+SCORE = pa.struct([("severity", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64())])
+
+
 def _scorer(model: MODEL):
     weights, theta = model
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cuts = np.array(theta)
-        for batch in batches:
-            found = (Counter(w for w in words_of(t.as_py() or "") if w in weights) for t in batch.column(1))
+        for batch in freed(texts):
+            found = (Counter(w for w in words_of(t.as_py() or "") if w in weights) for t in batch)
             scores = [sum(weights[w][level_of(n) - 1] for w, n in sorted(f.items())) for f in found]
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float)[:, None] - cuts[None, :], -30, 30)))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])],
-                names=["row", "severity", "grade", "p_toxic"],
-            )
+            columns = [pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])]
+            yield pa.StructArray.from_arrays(columns, fields=list(SCORE))
 
-    return run
+    return F.arrow_udf(run, "struct<severity:double,grade:int,p_toxic:double>")
 
 
 def score_toxicity(docs: DataFrame, model: MODEL, *, text_col: str = "text") -> DataFrame:
     """(row, severity, grade, p_toxic), a row for each row of docs, which is kept as the struct row.
 
     severity is the expected grade, grade the number of thresholds passed, p_toxic the chance of grade 1 or more. Whole
-    texts are read; null and empty ones have no words and get the grade of a text without known words. Each repeated row
-    is scored; empty tables give no rows. The model is at most MOST_WORDS words.
+    texts are read, of any length, and alone go to Python; null and empty ones have no words and get the grade of a text
+    without known words. Each repeated row is scored, rows with equal texts alike; extra columns of any name stay in the
+    struct; empty tables give no rows. The model has all words of the fitted sample that pass its thresholds.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in (("severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType())))])
-    return source.mapInArrow(_scorer(model), schema)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), _scorer(model)(F.col(f"`{text_col}`")).alias("score")).select("row", "score.*")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, reject_from: float = REJECT_FROM) -> DataFrame:
-    """The rows of docs that are not toxic, in the same columns."""
+    """The rows of docs that are not toxic, in the same columns.
+
+    Each row is judged by its whole text, so equal texts and repeated rows go or stay together; null and empty texts stay,
+    and so do extra columns of any name. An empty table, or one that no label goes with, stays as it is.
+    """
     return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("p_toxic") < reject_from).select("row.*")
 
 

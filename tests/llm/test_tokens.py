@@ -61,12 +61,21 @@ def test_packing(docs, texts):
 
 
 def test_packing_tree(docs, texts):
-    """Many partitions, and levels of several tasks."""
-    rows = packing.pack_documents(docs.repartition(20), fan_in=3, top_bins=0).collect()
+    """Many tasks, and levels of several."""
+    rows = packing.pack_documents(docs, fan_in=3, pieces=20, hosts=4).collect()
     n = check_packing(rows, texts)
     assert n <= math.ceil(sum(r.length for r in rows) / packing.CAPACITY) * 1.05 + 1
 
 
+def test_packing_of_clustered_lengths(spark):
+    """Long and short documents that lie in different files meet."""
+    rows = [(i, "a " * (1098 if i < 200 else 898)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    got = packing.pack_documents(df, pieces=100).collect()
+    lengths = {r.length for r in got}
+    assert lengths == {1100, 900} and check_packing(got, dict(rows)) <= 220  # apart they take 300
+
+
 def test_packing_odd_rows(odd, nothing):
     rows = packing.pack_documents(odd).collect()
     assert sum(r.doc_id == 5 for r in rows) == 2 and sum(r.doc_id in (2, 3) for r in rows) == 2
