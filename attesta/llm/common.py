@@ -23,7 +23,7 @@ GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows that go to a Python worker at once, at most; rows carry whole texts.
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _shipped: set[str] = set()

@@ -44,7 +44,7 @@ def mix_sources(
             F.col(source_col).isNull().alias("s_null"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
             _size(text_col).alias("size"),
-            _key(id_col, seed).alias("key"),
+            _key(id_col, text_col, seed).alias("key"),
         ),
         "mix_sizes",
     )
@@ -78,8 +78,9 @@ def _size(text_col: str) -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
-def _key(id_col: str, seed: str) -> Column:
-    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+def _key(id_col: str, text_col: str, seed: str) -> Column:
+    """From the id and the text, so that rows of one id, or of none, are spread too."""
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(text_of(text_col)))
     return F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -87,25 +88,36 @@ def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_
     """The rows of docs as often as the mix takes them, in the same columns; a row taken in part keeps its first words.
 
     What a row gives follows from the epochs of its source and from where the last epoch is cut, so texts are joined with
-    one row a source and not moved. Rows that repeat an id and a size at the cut are cut alike. An n_chars column follows a
-    text that is cut.
+    one row a source and not moved, but for rows that repeat both the id and the text of the one at a cut; these are
+    numbered. Null sources are one source; null and empty texts have no words and are never taken; long ones are cut in
+    whole words; extra columns of any name stay; an empty table gives no rows. An n_chars column follows a text that is cut.
     """
     mix = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     extra = F.col("taken") - F.col("size") * F.col("epochs")
     place = F.struct("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
-    cuts = mix.groupBy("s_null", "s_val").agg(
-        F.first("epochs").alias("epochs"), F.min(F.when((F.col("size") > 0) & (extra < F.col("size")), F.struct(place.alias("place"), extra.alias("extra")))).alias("cut")
+    tied = mix.where("size > 0").withColumn("extra", extra).withColumn("place", place).groupBy("s_null", "s_val", "place").agg(
+        F.first("epochs").alias("epochs"), F.min("extra").alias("least"), F.sum("extra").alias("extra"), F.count("*").alias("rows"), F.first("size").alias("size")
     )
+    # the first place that isn't taken in whole, what its rows have in all, and how many they are
+    at_cut = F.min(F.when(F.col("least") < F.col("size"), F.struct("place", "extra", "rows")))
+    cuts = tied.groupBy("s_null", "s_val").agg(F.first("epochs").alias("epochs"), at_cut.alias("cut"))
     cuts = written(cuts, "mix_cuts")
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(source_col).isNull().alias("s_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
-        F.struct(_key(id_col, seed).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), _size(text_col).alias("size")).alias("place"),
+        F.struct(_key(id_col, text_col, seed).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), _size(text_col).alias("size")).alias("place"),
     )
     rows = rows.join(cuts, ["s_null", "s_val"]).where("place.size > 0")
-    part = F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut.place")), F.col("place.size")).when(F.col("place") == F.col("cut.place"), F.col("cut.extra")).otherwise(0)
-    rows = rows.withColumn("part", part)
+    same = F.coalesce(F.col("place") == F.col("cut.place"), F.lit(False))
+    part = F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut.place")), F.col("place.size")).when(same, F.col("cut.extra")).otherwise(0)
+    if cuts.where("cut.rows > 1").isEmpty():
+        rows = rows.withColumn("part", part)
+    else:
+        nth = F.row_number().over(W.partitionBy("s_null", "s_val").orderBy(F.lit(0))) - 1
+        size = F.col("place.size")
+        again = rows.where(same).withColumn("part", F.greatest(F.lit(0), F.least(size, F.col("cut.extra") - nth * size)))
+        rows = rows.where(~same).withColumn("part", part).unionByName(again)
     copies = F.concat(
         F.array_repeat(F.col("place.size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
     )
@@ -162,7 +174,7 @@ def op8_mixing(spark, sf_dir):
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 15) AS key
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1:' || md5(coalesce(text, ''))), 1, 15) AS key
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

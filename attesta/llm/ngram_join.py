@@ -50,7 +50,7 @@ _GAP[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _C = np.uint64(0xBF58476D1CE4E5B9)
-_PART = 1 << 20
+_PART = 1 << 17
 _powers: list[np.ndarray] = []
 
 

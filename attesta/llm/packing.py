@@ -33,7 +33,7 @@ HOSTS = 64
 PIECES = 50_000
 VOCABULARY = "byte_bpe_50k"
 #: Words whose ids a Python worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 BIN = "bin long, fill int, open boolean, node int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>, offset array<int>"
 _PARTS = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int32()))

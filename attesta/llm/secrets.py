@@ -64,6 +64,8 @@ _PART = re.compile("[A-Za-z0-9]{%d,}" % LEAST_LENGTH)
 _CODE = np.full(256, len(MARKED), dtype=np.int64)
 _CODE[np.frombuffer(MARKED.encode(), dtype=np.uint8)] = np.arange(len(MARKED))
 _WIDTH = len(MARKED) + 1
+#: Bytes of a text whose pairs are counted at once.
+PART = 1 << 17
 
 
 def single_shares() -> np.ndarray:
@@ -98,8 +100,10 @@ def _pairs(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in freed(texts):
         for text in batch.column(0):
             plain = RUN.sub(_plain, text.as_py() or "")
-            codes = _CODE[np.frombuffer(plain.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-            total += np.bincount(codes[:-1] * _WIDTH + codes[1:], minlength=len(total))
+            data = np.frombuffer(plain.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            for at in range(0, len(data) - 1, PART):
+                codes = _CODE[data[at : at + PART + 1]]
+                total += np.bincount(codes[:-1] * _WIDTH + codes[1:], minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
 
@@ -210,31 +214,35 @@ def scan(text: str, cost: np.ndarray) -> tuple[list[tuple[int, int, int]], list[
     return base, [(*c, sum(a < c[1] and c[0] < b for a, _, b in base)) for c in candidates(text, cost)]
 
 
-SCANNED = "struct<base:array<struct<start:int,kind:int,end:int>>,tried:array<struct<start:int,end:int,stratum:int,p:double,within:int>>>"
+SCANNED = "key long, base array<struct<start:int,kind:int,end:int>>, tried array<struct<start:int,end:int,stratum:int,p:double,within:int>>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _TRIED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64()), ("within", pa.int32())]))
 
 
 def _scanner(cost: np.ndarray):
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in freed(texts):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
             base, tried = [], []
-            for text in batch:
+            for text in batch.column(1):
                 b, t = scan(text.as_py() or "", cost)
                 base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in b])
                 tried.append([dict(zip(("start", "end", "stratum", "p", "within"), x, strict=True)) for x in t])
-            yield pa.StructArray.from_arrays([pa.array(base, _BASE), pa.array(tried, _TRIED)], names=["base", "tried"])
+            yield pa.record_batch([batch.column(0), pa.array(base, _BASE), pa.array(tried, _TRIED)], names=["key", "base", "tried"])
 
-    return F.arrow_udf(run, SCANNED)
+    return run
 
 
 def scanned(docs: DataFrame, key: Column, cost: np.ndarray, text_col: str) -> DataFrame:
-    """(key, base, tried) of each row; texts alone go to Python."""
-    return docs.select(key.alias("key"), _scanner(cost)(F.col(f"`{text_col}`")).alias("found")).select("key", "found.*")
+    """(key, base, tried) of each row; key is a long."""
+    return docs.select(key.cast("long").alias("key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_scanner(cost), SCANNED)
 
 
-def step_of(p: Column) -> Column:
+def step(p: float) -> int:
     """The number of the step that p lies in, counted from 1 downwards; p is at most 10 ** (-step / STEPS)."""
+    return math.floor(-math.log10(p) * STEPS)
+
+
+def step_of(p: Column) -> Column:
     return F.floor(-F.log10(p) * STEPS).cast("int")
 
 
@@ -283,11 +291,41 @@ def find_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, id_col:
     between the scan and the control of false discoveries.
     """
     cost = fit_ordinary(docs, text_col)
-    found = written(scanned(docs, F.col(f"`{id_col}`").cast("long"), cost, text_col), "secret_spans")
+    found = written(scanned(docs, F.col(f"`{id_col}`"), cost, text_col), "secret_spans")
     least = thresholds(found, rate)
     return found.select(F.col("key").alias("doc_id"), "base", spans_of(least).alias("spans"), F.size(accepted(least, True)).cast("long").alias("n_proven"))
 
 
+def redacted(text: str, cost: np.ndarray, least: dict[int, int], mark: str) -> str:
+    """The text with each of its spans, overlapping ones together, replaced by a mark."""
+    base, tried = scan(text, cost)
+    spans = [(a, b) for a, _, b in base] + [(a, b) for a, b, s, p, within in tried if not within and s in least and step(p) >= least[s]]
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def _redactor(cost: np.ndarray, least: dict[int, int], mark: str, text_at: int, sizes_at: list[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            columns, texts = batch.columns, batch.column(text_at)
+            new = [None if not t.is_valid else redacted(t.as_py(), cost, least, mark) for t in texts]
+            changed = [k for k, (t, n) in enumerate(zip(texts, new, strict=True)) if n is not None and t.as_py() != n]
+            if changed:
+                columns[text_at] = pa.array(new, texts.type)
+                for at in sizes_at:
+                    sizes = columns[at].to_pylist()
+                    for k in changed:
+                        sizes[k] = len(new[k])
+                    columns[at] = pa.array(sizes, columns[at].type)
+            yield pa.record_batch(columns, schema=batch.schema)
+
+    return run
+
+
 def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """docs with each span of secrets in the text replaced by a mark, in the same columns.
 
@@ -298,24 +336,7 @@ def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark:
     """
     cost = fit_ordinary(docs, text_col)
     least = thresholds(scanned(docs, F.lit(0), cost, text_col), rate)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = scanned(docs, row, cost, text_col).select("key", spans_of(least).alias("spans"))
-    text = F.col("key").getField(text_col)
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("end"), F.lit("").alias("done")),
-        lambda s, x: F.when(
-            x["start"] >= s["end"],
-            F.struct(x["end"].alias("end"), F.concat(s["done"], F.substring(text, s["end"] + 1, x["start"] - s["end"]), F.lit(mark)).alias("done")),
-        ).otherwise(F.struct(F.greatest(s["end"], x["end"]).alias("end"), s["done"].alias("done"))),
-        lambda s: F.concat(s["done"], F.substring(text, s["end"] + 1, F.length(text))),
-    )
-    found = found.withColumn("changed", F.when(F.size("spans") > 0, cut))
-    out = {c: F.col("key").getField(c) for c in docs.columns}
-    out[text_col] = F.coalesce("changed", out[text_col])
-    if "n_chars" in out:
-        out["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), out["n_chars"])
-    return found.select(*(v.alias(c) for c, v in out.items()))
+    return docs.mapInArrow(_redactor(cost, least, mark, docs.columns.index(text_col), [k for k, c in enumerate(docs.columns) if c == "n_chars"]), docs.schema)
 
 
 def op2_secrets(spark, sf_dir):

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, freed, ship
 
@@ -193,35 +194,35 @@ def fit_toxicity(
     return {x: tuple(map(float, v)) for x, v in zip(index, w, strict=True)}, [float(t) for t in theta]
 
 
-SCORE = pa.struct([("severity", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64())])
-
-
-def _scorer(model: MODEL):
+def _scorer(model: MODEL, text_col: str):
     weights, theta = model
 
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(theta)
-        for batch in freed(texts):
-            found = (Counter(w for w in words_of(t.as_py() or "") if w in weights) for t in batch)
+        for batch in freed(batches):
+            found = (Counter(w for w in words_of(t.as_py() or "") if w in weights) for t in batch.column(0).field(text_col))
             scores = [sum(weights[w][level_of(n) - 1] for w, n in sorted(f.items())) for f in found]
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, dtype=float)[:, None] - cuts[None, :], -30, 30)))
-            columns = [pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])]
-            yield pa.StructArray.from_arrays(columns, fields=list(SCORE))
+            yield pa.record_batch(
+                [batch.column(0), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype("int32")), pa.array(above[:, 0])],
+                names=["row", "severity", "grade", "p_toxic"],
+            )
 
-    return F.arrow_udf(run, "struct<severity:double,grade:int,p_toxic:double>")
+    return run
 
 
 def score_toxicity(docs: DataFrame, model: MODEL, *, text_col: str = "text") -> DataFrame:
     """(row, severity, grade, p_toxic), a row for each row of docs, which is kept as the struct row.
 
     severity is the expected grade, grade the number of thresholds passed, p_toxic the chance of grade 1 or more. Whole
-    texts are read, of any length, and alone go to Python; null and empty ones have no words and get the grade of a text
-    without known words. Each repeated row is scored, rows with equal texts alike; extra columns of any name stay in the
-    struct; empty tables give no rows. The model has all words of the fitted sample that pass its thresholds.
+    texts are read, of any length; null and empty ones have no words and get the grade of a text without known words. Each
+    repeated row is scored, rows with equal texts alike; extra columns of any name stay in the struct; empty tables give
+    no rows. The model has all words of the fitted sample that pass its thresholds.
     """
     ship(docs.sparkSession)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return docs.select(row.alias("row"), _scorer(model)(F.col(f"`{text_col}`")).alias("score")).select("row", "score.*")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in (("severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType())))])
+    return source.mapInArrow(_scorer(model, text_col), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, reject_from: float = REJECT_FROM) -> DataFrame:

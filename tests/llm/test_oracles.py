@@ -56,3 +56,14 @@ def test_taken_odd_rows(odd, nothing):
     out = take_mix(odd)
     assert out.dtypes == odd.dtypes and out.count() > 0
     assert take_mix(nothing).count() == 0
+
+
+def test_repeated_rows_at_the_cut(spark):
+    """Rows without ids and rows that repeat each other are taken to the exact budget."""
+    rows = [(None, "one two three", "a")] * 40 + [(None, f"w{k} x y z", "a") for k in range(20)] + [(k, "p q " * 30, "b") for k in range(20)] + [(7, "t u", None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    budget = {r.source: r.words for r in mix_sources(docs).selectExpr("if(s_null, null, s_val) source", "taken").groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "words").collect()}
+    got = {}
+    for r in take_mix(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == {k: v for k, v in budget.items() if v}

@@ -40,3 +40,16 @@ def test_stages(spark):
 
 def test_run(spark):
     assert cp.run(spark, DIR).count() > 0 and cp.ORACLE_SQL is None and 4 <= len(cp.STAGES) <= 5
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, nothing):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names; and an empty table."""
+    for docs in (odd, nothing):
+        start, columns = docs, docs.dtypes
+        for k, (name, stage) in enumerate(cp.STAGES):
+            docs = written(stage(spark, docs, DIR), name)
+            if k + 1 < len(cp.STAGES):
+                assert docs.dtypes == columns
+            if name == "toxicity":
+                assert docs.count() == start.count()
+    assert docs.count() == 0
