@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from .. import storage
 from ..ingest import ingest
 from ..operators.discover import discover
-from ..session import Session
+from ..session import Session, new_id
 
 
 @dataclass(frozen=True)
@@ -88,13 +87,17 @@ class Score:
 
 
 def run_case(spark: SparkSession, case: Case) -> Score:
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / f"{case.name}.csv"
-        pd.DataFrame(case.build(np.random.default_rng(case.seed))).to_csv(path, index=False)
-        session = Session(spark, folder)
-        report = discover(session.table(ingest(session, str(path)).dataset_id))
-        pairs = [frozenset(d.columns) for d in report.discoveries]
-        return Score(case.name, len(case.planted), len(case.planted & set(pairs)), sum(p not in case.planted for p in pairs), report.ledger.below_floor)
+    folder = f"{storage.scratch(spark)}/evals"
+    path = f"{folder}/{new_id(case.name)}.csv"
+    storage.write_text(spark, path, pd.DataFrame(case.build(np.random.default_rng(case.seed))).to_csv(index=False))
+    session = Session(spark, folder)
+    try:
+        report = discover(session.table(ingest(session, path).dataset_id))
+    finally:
+        storage.delete(spark, path)
+        storage.delete(spark, session.folder)
+    pairs = [frozenset(d.columns) for d in report.discoveries]
+    return Score(case.name, len(case.planted), len(case.planted & set(pairs)), sum(p not in case.planted for p in pairs), report.ledger.below_floor)
 
 
 def rates(scores: list[Score]) -> dict[str, float]:

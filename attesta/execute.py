@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-import shutil
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions.textsafe import cell_text, cut_bytes, md_cell, sanitize
 from .session import Artifact, Session, new_id
-from .sources.names import unique_output
-from .sqlgate import check_sql
+from .sources.names import quoted, unique_output
+from .sqlgate import UnsafeSql, check_analyzed, check_sql
 
 PREVIEW_ROWS = 50
 PREVIEW_BYTES = 4096
 
 
-def preview(df: DataFrame, rows: int) -> str:
-    """Markdown of the first rows; taken from the plan itself, so an ordered query shows in order."""
+def first_rows(data: DataFrame) -> list:
+    """The first rows of stored data in the order in which they were written: by file, then by place in it."""
+    place = F.struct(F.length("_metadata.file_name"), "_metadata.file_name", "_metadata.row_index").alias("_place")
+    row = F.struct(*(F.col(quoted(c)) for c in data.columns)).alias("_row")
+    some = data.select(row, place).where(F.col("_place.row_index") < PREVIEW_ROWS)
+    return [r[0] for r in some.orderBy("_place").limit(PREVIEW_ROWS).collect()]
+
+
+def preview(data: DataFrame, rows: int) -> str:
+    """Markdown of the first rows of a stored result."""
     if not rows:
         return "_0 rows_"
-    shown = df.limit(PREVIEW_ROWS).collect()
+    shown = first_rows(data)
     cells = lambda xs: "| " + " | ".join(md_cell(sanitize(x)) for x in xs) + " |"
-    lines = [cells(df.columns), "|" + "---|" * len(df.columns), *(cells(map(cell_text, r)) for r in shown)]
+    lines = [cells(data.columns), "|" + "---|" * len(data.columns), *(cells(map(cell_text, r)) for r in shown)]
     if rows > len(shown):
         lines.append(f"_showing {len(shown)} of {rows} rows_")
     return cut_bytes("\n".join(lines), PREVIEW_BYTES)
 
 
 def store(session: Session, df: DataFrame, kind: str, source: str, **more) -> Artifact:
-    """Writes a result in one pass that also counts it, and registers its artifact."""
+    """Writes a result in one pass that also counts it, and registers its artifact; the preview is read from what is stored."""
     rid = new_id("art")
     path = session.path("artifacts", f"{rid}.parquet")
     df = df.toDF(*unique_output(df.columns))
@@ -37,9 +44,9 @@ def store(session: Session, df: DataFrame, kind: str, source: str, **more) -> Ar
     try:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         rows = seen.get["rows"]
-        text = preview(df, rows)
+        text = preview(session.spark.read.schema(df.schema).parquet(path), rows)
     except Exception:
-        shutil.rmtree(path, ignore_errors=True)
+        storage.delete(session.spark, path)
         raise
     kinds = [f.dataType.simpleString() for f in df.schema]
     record = Artifact(rid, kind, source, "ok", rows, df.columns, kinds, f"artifacts/{rid}.parquet", preview=text, **more)
@@ -57,6 +64,8 @@ def run_sql(session: Session, sql: str) -> Artifact:
     """Runs one read-only query. Refused statements raise and leave nothing; failures are artifacts too."""
     sql = check_sql(session.spark, sql)
     try:
-        return store(session, session.spark.sql(sql), "sql", sql)
+        return store(session, check_analyzed(session.spark.sql(sql)), "sql", sql)
+    except UnsafeSql:
+        raise
     except Exception as e:
         return failed(session, "sql", sql, str(e).partition("JVM stacktrace")[0])

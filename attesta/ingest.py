@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from pathlib import PurePosixPath as Path
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
 from .session import ColumnInfo, Dataset, Session, new_id
 from .sources.names import normalize
 from .sources.tabular import IngestError, read_csv, read_excel, read_parquet
@@ -18,7 +19,7 @@ READERS = {".csv": ("csv", read_csv), ".parquet": ("parquet", read_parquet), ".x
 def ingest(session: Session, path: str, name: str | None = None) -> Dataset:
     """Reads a file once with safe names and fixed types into Parquet and registers it; rows are counted as they are written."""
     suffix = Path(path).suffix.lower()
-    if not Path(path).exists():
+    if not storage.exists(session.spark, str(path)):
         raise IngestError(f"file not found: {path}")
     if suffix not in READERS:
         raise IngestError(f"unsupported file type {suffix!r} (supported: {', '.join(READERS)})")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..execute import run_sql
 from ..functions.pvalues import benjamini_hochberg, chi2_tail
 from ..functions.textsafe import sanitized
@@ -178,28 +176,33 @@ def discover_ledger(spark, sf_dir):
 
 def ingest_csv(spark, sf_dir):
     """Customers by way of a CSV file: names, types and values survive."""
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    table(spark, sf_dir, "customer").withColumnRenamed("c_name", "C Name!").write.csv(f"{folder}/customer.csv", header=True)
-    session = Session(spark, folder)
-    return session.table(ingest(session, f"{folder}/customer.csv").dataset_id)
+    session = Session(spark, storage.scratch(spark))
+    table(spark, sf_dir, "customer").withColumnRenamed("c_name", "C Name!").write.csv(f"{session.folder}/customer.csv", header=True)
+    return session.table(ingest(session, f"{session.folder}/customer.csv").dataset_id)
 
 
 def sql_artifact(spark, sf_dir):
     """The stored result of a guarded query."""
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    session = Session(spark, folder)
+    session = Session(spark, storage.scratch(spark))
     d = ingest(session, f"{sf_dir}/orders.parquet")
-    r = run_sql(session, f'SELECT o_orderstatus, count(*) AS n, count(*) AS n FROM "{d.dataset_id}" GROUP BY 1')
+    return stored(session, f'SELECT o_orderstatus, count(*) AS n, count(*) AS n FROM "{d.dataset_id}" GROUP BY 1')
+
+
+def stored(session: Session, text: str) -> DataFrame:
+    """The artifact's data of a text that goes through the gate and run_sql."""
+    r = run_sql(session, text)
+    if r.status != "ok":
+        raise RuntimeError(r.error)
     return session.data(r)
 
 
 def same_sql(name, spark, sf_dir):
+    """A text of the dialect, through run_sql, over the tables by name."""
     tables, text = SAME[name] if name in SAME else SPARK_OWN[name][:2]
+    session = Session(spark, storage.scratch(spark))
     for t in tables.split():
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(text)
+    return stored(session, text)
 
 
 _OWN = {

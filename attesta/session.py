@@ -9,10 +9,11 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import storage
+
 #: Settings that queries of analysts rely on.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -124,18 +125,18 @@ _KINDS = {"datasets": (Dataset, "dataset_id", UnknownDataset), "artifacts": (Art
 
 
 class Session:
-    """One investigation. Reopening a folder gives the same registries and views."""
+    """One investigation in a folder of any store that Spark reads. Reopening it gives the same registries and views."""
 
-    def __init__(self, spark: SparkSession, base: str | Path, session_id: str | None = None):
+    def __init__(self, spark: SparkSession, base, session_id: str | None = None):
         self.spark = spark
         for k, v in CONF.items():
             spark.conf.set(k, v)
         self.session_id = session_id or new_id("sess")
-        self.folder = Path(base) / self.session_id
+        self.base = str(base).rstrip("/")
+        self.folder = f"{self.base}/{self.session_id}"
         self.records: dict[str, dict] = {}
         for kind, (make, key, _) in _KINDS.items():
-            (self.folder / kind).mkdir(parents=True, exist_ok=True)
-            found = (make(**json.loads(p.read_text("utf-8"))) for p in sorted((self.folder / kind).glob("*.json")))
+            found = (make(**json.loads(storage.read_text(spark, p))) for p in storage.listed(spark, f"{self.folder}/{kind}", ".json"))
             self.records[kind] = {getattr(r, key): r for r in found}
         for d in self.datasets():
             self.table(d.dataset_id).createOrReplaceTempView(d.dataset_id)
@@ -145,7 +146,7 @@ class Session:
         kind, key = next((k, i) for k, (make, i, _) in _KINDS.items() if isinstance(record, make))
         rid = getattr(record, key)
         self.records[kind][rid] = record
-        (self.folder / kind / f"{rid}.json").write_text(json.dumps(asdict(record), indent=1), "utf-8")
+        storage.write_text(self.spark, f"{self.folder}/{kind}/{rid}.json", json.dumps(asdict(record), indent=1))
 
     def _get(self, kind: str, rid: str):
         try:
@@ -177,10 +178,10 @@ class Session:
         return self._list("findings")
 
     def path(self, kind: str, rid: str) -> str:
-        return str(self.folder / kind / rid)
+        return f"{self.folder}/{kind}/{rid}"
 
     def table(self, dataset_id: str) -> DataFrame:
         return self.spark.read.parquet(self.path("datasets", dataset_id))
 
     def data(self, artifact: Artifact) -> DataFrame:
-        return self.spark.read.parquet(str(self.folder / artifact.data_path))
+        return self.spark.read.parquet(f"{self.folder}/{artifact.data_path}")

@@ -69,13 +69,21 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, as where a quoted cell goes on in the next one.
+
+    Only then must a file be read in one piece; else Spark may split it.
+    """
+    return not spark.read.text(path).where(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'))) % 2).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """(typed rows with columns c0, c1, ..., header) of a CSV file with a header row."""
     first = spark.read.text(path).limit(1).collect()
     if not first or not first[0][0].strip():
         raise IngestError(f"{path}: a header row is required")
     sep = max(DELIMITERS, key=lambda d: (first[0][0].count(d), -DELIMITERS.index(d)))
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": str(has_open_quotes(spark, path)).lower()}
     head = spark.read.csv(path, header=False, inferSchema=False, **options).limit(1).collect()[0]
     header = ["" if x is None else x for x in head]
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
@@ -93,15 +101,13 @@ def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
 
 def read_excel(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(typed rows, header) of the first sheet; a row each comes through a data source, types are inferred as for CSV."""
-    from .xlsx import XlsxSource, header_of
+    """(typed rows, header) of the first sheet; types are inferred as for CSV."""
+    from .xlsx import read_sheet
 
-    header = header_of(path)
-    if not header:
+    rows, header = read_sheet(spark, path)
+    if rows is None:
         raise IngestError(f"{path}: no header row")
-    spark.dataSource.register(XlsxSource)
-    schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    df = with_inferred_types(spark.read.format("xlsx").schema(schema).load(path))
+    df = with_inferred_types(rows)
     dated = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     if dated:
         whole = df.agg(*(F.count_if(F.date_trunc("day", F.col(c)) != F.col(c)).alias(c) for c in dated)).first()

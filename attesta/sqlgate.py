@@ -1,98 +1,115 @@
 """The gate of run_sql: one read-only query, no files, no Java calls.
 
-Spark's own parser decides what a statement is: any plan node, subqueries included, that is a command, writes, or runs a
-script is refused. Reading files by name in FROM is off in the session (spark.sql.runSQLOnFiles). Textual rules refuse
-what other engines would read as files, so that the same queries are refused everywhere.
+Everything is decided on the plans that Spark itself makes. Of the parsed plan, subqueries included, only nodes of queries
+pass; names that are only known at run time, unknown table functions and functions that call Java don't. Texts that look
+like files are refused as a choice, since analysts who write them expect a file to be read. Reading files by name in FROM
+is off in the session (spark.sql.runSQLOnFiles). Once a query is analysed, its expressions are looked through again.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class UnsafeSql(ValueError):
     pass
 
 
-#: First words of statements that are never queries; fixed values.
-STATEMENTS = frozenset(
-    "pragma set reset call attach detach use install load export import copy checkpoint force begin commit rollback update delete insert "
-    "create drop alter truncate vacuum analyze".split()
+#: What the parser makes of queries, and of the two kinds of statements that only tell of tables.
+QUERY_NODES = frozenset(
+    """Aggregate CurrentNamespace Deduplicate DescribeColumn DescribeRelation Distinct Except Expand Filter Generate
+    GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project
+    Repartition RepartitionByExpression RebalancePartitions Sample ShowColumns ShowTables Sort SubqueryAlias Union
+    UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedNamespace UnresolvedPivot UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableOrView UnresolvedTableValuedFunction UnresolvedWith
+    Unpivot Window WithWindowDefinition""".split()
 )
-#: Functions that read files or the network here or in other engines, and those that call Java; fixed values.
-FUNCTIONS = frozenset(
-    "read_csv read_csv_auto read_parquet parquet_scan read_json read_json_auto read_json_objects read_json_objects_auto read_ndjson "
-    "read_ndjson_auto read_ndjson_objects read_text read_blob glob sniff_csv parquet_metadata parquet_schema parquet_file_metadata "
-    "parquet_full_metadata parquet_kv_metadata parquet_bloom_probe csv_sniff delta_scan iceberg_scan iceberg_metadata iceberg_snapshots "
-    "arrow_scan read_arrow shapefile_meta st_read st_read_meta read_xlsx java_method reflect try_reflect".split()
-)
-_TOKEN = re.compile(
-    r"""--[^\n]*|/\*.*?(?:\*/|\Z)|(?P<text>'(?:[^'\\]|\\.|'')*'?)|(?P<name>"(?:[^"]|"")*"?|`(?:[^`]|``)*`?)|(?P<other>.)""", re.DOTALL
-)
-_CALL = re.compile(r"([A-Za-z_]\w*)\s*\(")
-_FROM_TEXT = re.compile(r"\b(?:from|join)\s+\x00", re.IGNORECASE)
-_PATH = re.compile(r"^\s*(?:~|\.{0,2}/|[a-z]:[\\/]|\\\\)|\.(?:csv|tsv|psv|parquet|pq|json|jsonl|ndjson|xlsx|xls|arrow|feather|orc|avro|db|duckdb|sqlite|wal)\s*$", re.IGNORECASE)
-_QUERY_PACKAGES = ("org.apache.spark.sql.catalyst.plans.logical.", "org.apache.spark.sql.catalyst.analysis.")
-_REFUSED_NODES = re.compile(r"Command|Insert|Create|Replace|Drop|Alter|Delete|Update|Merge|Cache|Explain|CompoundBody|ScriptTransformation|Set|Load|Refresh|Truncate|Analyze|Repair|AddPartition|Execute")
-_ALLOWED_NODES = re.compile(r"SetOperation|UnresolvedSubqueryColumnAliases|OffsetAndLimit|DescribeRelation|DescribeColumn|ShowTables|ShowColumns")
-
-
-def scan(sql: str) -> tuple[str, list[str]]:
-    """(sql without comments, texts replaced by NUL and quoted names bare; the texts)."""
-    texts: list[str] = []
-    out = []
-    for m in _TOKEN.finditer(sql):
-        if m["text"] is not None:
-            body = m["text"][1:].removesuffix("'") if len(m["text"]) > 1 else ""
-            texts.append(body.replace("''", "'"))
-            out.append("\x00")
-        elif m["name"] is not None:
-            out.append(f" {m['name'].strip(chr(34) + '`')} ")
-        else:
-            out.append(m["other"] if m["other"] is not None else " ")
-    return "".join(out), texts
-
-
-def _nodes(plan, seen: list[str]) -> None:
-    """Class names of all nodes of a logical plan, those of plans inside expressions included."""
-    seen.append(plan.getClass().getName())
+#: Functions that call Java; fixed values.
+JAVA_FUNCTIONS = frozenset(("java_method", "reflect", "try_reflect"))
+JAVA_EXPRESSIONS = frozenset(("CallMethodViaReflection", "TryReflect", "Invoke", "StaticInvoke", "NewInstance"))
+#: Endings of data files; fixed values.
+FILE_ENDINGS = frozenset((".arrow", ".avro", ".csv", ".db", ".duckdb", ".feather", ".json", ".jsonl", ".ndjson", ".orc", ".parquet", ".pq", ".psv", ".sqlite", ".tsv", ".wal", ".xls", ".xlsx"))
+
+
+def _each(scala) -> Iterator:
+    it = scala.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _kind(node) -> str:
+    return node.getClass().getName().rpartition(".")[2].strip("$").rpartition("$")[2]
+
+
+def plans_of(plan) -> Iterator:
+    """All nodes of a logical plan, those of plans inside expressions and of named subqueries included."""
+    yield plan
     for group in (plan.children(), plan.innerChildren(), plan.subqueries()):
-        it = group.iterator()
-        while it.hasNext():
-            child = it.next()
-            if hasattr(child, "getClass") and child.getClass().getName().startswith(_QUERY_PACKAGES):
-                _nodes(child, seen)
+        for child in _each(group):
+            if hasattr(child, "innerChildren") and hasattr(child, "subqueries"):
+                yield from plans_of(child)
+
+
+def expressions_of(plan) -> Iterator:
+    """All expressions of one node."""
+    todo = list(_each(plan.expressions()))
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += _each(e.children())
+
+
+def looks_like_file(text: str) -> bool:
+    text = text.strip()
+    rooted = text.startswith(("/", "~", "./", "../", "\\\\")) or re.match(r"[A-Za-z]:[\\/]", text)
+    return bool(rooted) or PurePosixPath(text).suffix.lower() in FILE_ENDINGS
+
+
+def _check_expression(e) -> None:
+    kind = _kind(e)
+    if kind == "UnresolvedFunction":
+        name = [str(x) for x in _each(e.nameParts())][-1].lower()
+        if name in JAVA_FUNCTIONS:
+            raise UnsafeSql(f"function {name!r} calls Java and is not allowed")
+    elif "UnresolvedIdentifier" in kind:
+        raise UnsafeSql("names made at run time, IDENTIFIER(...), are not allowed")
+    elif kind in JAVA_EXPRESSIONS:
+        raise UnsafeSql(f"{kind} calls Java and is not allowed")
+    elif kind == "Literal" and e.dataType().typeName() == "string" and e.value() is not None and looks_like_file(str(e.value().toString())):
+        raise UnsafeSql(f"string literal {str(e.value().toString())[:60]!r} looks like a file path and is not allowed")
 
 
 def check_sql(spark: SparkSession, sql: str) -> str:
     """The stripped statement; UnsafeSql if it is not a single read-only query."""
-    sql = sql.strip()
-    bare, texts = scan(sql)
-    if not bare.strip().strip(";"):
+    sql = sql.strip().rstrip("; \n\t")
+    if not sql:
         raise UnsafeSql("empty SQL statement")
-    first = re.search(r"[A-Za-z_]\w*", bare)
-    if first and first[0].lower() in STATEMENTS:
-        raise UnsafeSql(f"statement keyword {first[0].upper()!r} is not allowed in run_sql")
-    if ";" in bare.strip().rstrip(";"):
-        raise UnsafeSql("exactly one statement is allowed")
-    for m in _CALL.finditer(bare):
-        if m[1].lower() in FUNCTIONS:
-            raise UnsafeSql(f"function {m[1].lower()!r} reads files or the network, or calls Java, and is not allowed")
-    if _FROM_TEXT.search(bare):
-        raise UnsafeSql("a string literal cannot be a table source")
-    for t in texts:
-        if _PATH.search(t):
-            raise UnsafeSql(f"string literal {t[:60]!r} looks like a file path and is not allowed")
+    state = spark._jsparkSession.sessionState()
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.rstrip("; \n\t"))
+        plan = state.sqlParser().parsePlan(sql)
     except Exception as e:
-        raise UnsafeSql(f"could not parse SQL: {str(getattr(e, 'desc', e)).splitlines()[0][:300]}") from e
-    seen: list[str] = []
-    _nodes(plan, seen)
-    for name in seen:
-        short = name.rpartition(".")[2]
-        if (_REFUSED_NODES.search(short) and not _ALLOWED_NODES.search(short)) or ".command." in name:
-            raise UnsafeSql(f"only SELECT queries are allowed, got {short}")
-    return sql.rstrip("; \n\t")
+        raise UnsafeSql(f"not a single query that Spark can parse: {str(getattr(e, 'desc', e)).splitlines()[0][:300]}") from e
+    for node in plans_of(plan):
+        kind = _kind(node)
+        if kind not in QUERY_NODES:
+            raise UnsafeSql(f"only SELECT queries are allowed, got {kind}")
+        if kind == "UnresolvedTableValuedFunction":
+            name = [str(x) for x in _each(node.name())][-1]
+            if not spark.catalog.functionExists(name):
+                raise UnsafeSql(f"unknown table function {name!r}; none that reads files or the network is allowed")
+        for e in expressions_of(node):
+            _check_expression(e)
+    return sql
+
+
+def check_analyzed(df: DataFrame) -> DataFrame:
+    """df; UnsafeSql if its analysed plan calls Java, whatever the names in the text were."""
+    for node in plans_of(df._jdf.queryExecution().analyzed()):
+        for e in expressions_of(node):
+            if _kind(e) in JAVA_EXPRESSIONS:
+                raise UnsafeSql(f"{_kind(e)} calls Java and is not allowed")
+    return df

@@ -9,13 +9,13 @@ from attesta.session import Session, UnknownDataset
 from attesta.sources.names import normalize, unique_output
 from attesta.sources.tabular import IngestError
 
-TRIO = pd.DataFrame(
+VISITS = pd.DataFrame(
     {
-        "id": [1, 2, 3, 4, 5, 6],
-        "category": list("abacba"),
-        "amount": [10.5, 20.25, 10.5, 99.0, 0.5, 7.75],
-        "day": [date(2024, 1, d) for d in range(1, 7)],
-        "qty": pd.array([3, None, 7, 2, None, 5], dtype="Int64"),
+        "visit": [101, 102, 103, 104],
+        "ward": ["north", "south", "south", "east"],
+        "weight_kg": [71.5, 64.25, 80.0, 58.75],
+        "seen_on": [date(2023, 11, d) for d in (3, 9, 21, 30)],
+        "nights": pd.array([2, None, 0, None], dtype="Int64"),
     }
 )
 KINDS = ["bigint", "string", "double", "date", "bigint"]
@@ -40,26 +40,47 @@ def write_xlsx(path, header, rows):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
 
 
-def trio(folder, kind):
-    path = folder / f"trio.{kind}"
+def visits(folder, kind):
+    path = folder / f"visits.{kind}"
     if kind == "csv":
-        TRIO.to_csv(path, index=False)
+        VISITS.to_csv(path, index=False)
     elif kind == "parquet":
-        TRIO.to_parquet(path, index=False)
+        VISITS.to_parquet(path, index=False)
     else:
-        rows = [[None if v is pd.NA else v for v in r] for r in TRIO.itertuples(index=False, name=None)]
-        write_xlsx(path, list(TRIO.columns), rows)
+        rows = [[None if v is pd.NA else v for v in r] for r in VISITS.itertuples(index=False, name=None)]
+        write_xlsx(path, list(VISITS.columns), rows)
     return str(path)
 
 
 @pytest.mark.parametrize("kind", ["csv", "parquet", "xlsx"])
 def test_formats_agree(session, tmp_path, kind):
-    d = ingest(session, trio(tmp_path, kind))
+    d = ingest(session, visits(tmp_path, kind))
     assert [c.type for c in d.columns] == KINDS
-    assert (d.row_count, d.name, d.source_format) == (6, "trio", kind)
-    rows = session.table(d.dataset_id).orderBy("id").collect()
-    assert [r.qty for r in rows] == [3, None, 7, 2, None, 5]
-    assert rows[0].day == date(2024, 1, 1)
+    assert (d.row_count, d.name, d.source_format) == (4, "visits", kind)
+    rows = session.table(d.dataset_id).orderBy("visit").collect()
+    assert [r.nights for r in rows] == [2, None, 0, None]
+    assert rows[0].seen_on == date(2023, 11, 3)
+
+
+def test_blank_rows_and_sheet_order(session, tmp_path):
+    """Blank rows between others are rows, whether the sheet has them or only counts on; the workbook says which sheet is first."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = f'<row r="1">{cell("day")}</row><row r="2">{cell("2023-05-01")}</row><row r="3"><c/></row><row r="5">{cell("2023-05-04")}</row><row r="6"/>'
+    with zipfile.ZipFile(tmp_path / "two.xlsx", "w") as z:
+        link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {link}><sheets><sheet name="b" r:id="rId7"/><sheet name="a" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row>{cell("other")}</row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+    d = ingest(session, str(tmp_path / "two.xlsx"))
+    assert (d.row_count, [c.type for c in d.columns], d.columns[0].name) == (4, ["date"], "day")
+    assert [str(r.day) for r in session.table(d.dataset_id).collect() if r.day] == ["2023-05-01", "2023-05-04"]
+
+
+def test_quoted_line_breaks(session, tmp_path):
+    d = ingest(session, csv(tmp_path, 'k,v\n1,"two\nlines"\n2,"a ""b"" c"\n'))
+    assert [r.v for r in session.table(d.dataset_id).orderBy("k").collect()] == ["two\nlines", 'a "b" c']
 
 
 def test_header_rules():
@@ -81,7 +102,7 @@ def test_duplicate_and_exotic_headers(session, tmp_path):
     assert d.names_for("revenue") == ["revenue", "revenue_2"]
     assert d.original_for("revenue_2") == "revenue"
     d = ingest(session, csv(tmp_path, 'café,weird|name,"with,comma"\n1,2,3\n', "e.csv"))
-    again = Session(session.spark, session.folder.parent, session.session_id)
+    again = Session(session.spark, session.base, session.session_id)
     assert [c.original_name for c in again.dataset(d.dataset_id).columns] == ["café", "weird|name", "with,comma"]
 
 

@@ -28,7 +28,7 @@ def test_worked_example(tools):
     assert (bad["status"], bad["unbacked_numbers"]) == ("refuted", ["2024"])
     state = tools.investigation_state()
     assert [f["status"] for f in state["findings"]] == ["verified", "refuted"]
-    again = Tools(Session(tools.session.spark, tools.session.folder.parent, tools.session.session_id))
+    again = Tools(Session(tools.session.spark, tools.session.base, tools.session.session_id))
     assert again.investigation_state() == state
     assert again.get_artifact(r["artifact_id"])["row_count"] == 2
     with pytest.raises(UnknownArtifact):
@@ -72,13 +72,22 @@ def test_gate_accepts(session, sql):
     "sql",
     ["", "SELECT 1 +", "SELECT 1; SELECT 2", "CREATE TABLE t AS SELECT 1", "INSERT INTO t VALUES (1)", "COPY t TO 'x'", "ATTACH 'x'", "DELETE FROM t", "PRAGMA x", "/* c */ PRAGMA x", "CALL x()",
      "SELECT * FROM read_csv('x')", "SELECT '/*' AS m, * FROM read_parquet('x')", 'SELECT * FROM "read_csv"(\'x\')', "SELECT * FROM 'a.csv'", "SELECT 1 FROM t JOIN 'b.parquet'", "SELECT '/etc/passwd'",
-     "SELECT 'it\\'s' AS a, reflect('java.lang.System', 'exit') AS b", "EXPLAIN SELECT 1", "CACHE TABLE t", "SELECT TRANSFORM(a) USING 'cat' FROM t", "BEGIN SELECT 1; END"],
+     "SELECT 'it\\'s' AS a, reflect('java.lang.System', 'exit') AS b", "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.home')", "SELECT IDENTIFIER('java_' || 'method')('java.lang.System','exit')", "SELECT * FROM IDENTIFIER('a' || 'b')",
+     "WITH a AS (SELECT java_method('x','y') AS b) SELECT * FROM a", "SELECT (SELECT max(try_reflect('x','y'))) AS m", "SELECT transform(array(1), x -> reflect('a','b'))", "SELECT 1 WHERE EXISTS (SELECT * FROM read_json('x'))", "EXECUTE IMMEDIATE 'SELECT 1'", "SET a = 1",
+     "EXPLAIN SELECT 1", "CACHE TABLE t", "SELECT TRANSFORM(a) USING 'cat' FROM t", "BEGIN SELECT 1; END"],
 )
 def test_gate_refuses(session, sql):
     with pytest.raises(UnsafeSql):
         check_sql(session.spark, sql)
 
 
+def test_preview_is_the_receipt(tools):
+    """What is shown is what is stored, also where a second run would give something else."""
+    r = tools.run_sql("SELECT current_timestamp() AS t, rand() AS x, uuid() AS u FROM range(3)")
+    stored = tools.session.data(tools.session.artifact(r["artifact_id"])).collect()
+    assert all(row.u in r["preview"] for row in stored)
+
+
 def test_preview(tools):
     r = tools.run_sql("SELECT id AS n, id AS n FROM range(100) ORDER BY id DESC")
     assert r["columns"] == ["n", "n_1"] and "_showing 50 of 100 rows_" in r["preview"] and r["preview"].splitlines()[2] == "| 99 | 99 |"
