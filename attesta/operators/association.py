@@ -6,6 +6,7 @@ the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.pvalues import chi2_tail, spearman_tail
-from .ordered import average_ranks
+from ..sources.names import quoted
+from .ordered import average_ranks, counted
 
 MIN_ROWS = 20
 MIN_GROUP = 5
@@ -29,7 +31,7 @@ class Outcome:
 
 def number(df: DataFrame, name: str) -> Column:
     """A column as double; dates and timestamps by their place in time."""
-    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    kind, c = df.schema[name].dataType, F.col(quoted(name))
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -46,8 +48,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho): Pearson's correlation of average ranks. Equal pairs are counted before they meet their ranks."""
     pairs = complete_pairs(df, number(df, x), number(df, y))
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("w"))
-    ranks_a = average_ranks(pairs, "a", "ra").drop("count")
-    ranks_b = average_ranks(pairs, "b", "rb").drop("count")
+    ranks_a = average_ranks(counted(pairs, "a"), "a", "ra").drop("count")
+    ranks_b = average_ranks(counted(pairs, "b"), "b", "rb").drop("count")
     total = pairs.agg(F.count("*").alias("n"))
     ranked = cells.join(ranks_a, "a").join(ranks_b, "b").join(F.broadcast(total))
     mid = (F.col("n") + 1) / 2
@@ -60,11 +62,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def kruskal(df: DataFrame, value: str, group: str, min_group: int = MIN_GROUP, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row (n, k, h, epsilon_sq): tie-corrected H over the groups that have enough rows."""
-    pairs = complete_pairs(df, F.col(f"`{group}`").cast("string"), number(df, value))
+    pairs = complete_pairs(df, F.col(quoted(group)).cast("string"), number(df, value))
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= min_group).select("a")
     cells = pairs.join(sizes, "a").groupBy("a", "b").agg(F.count("*").alias("w"))
     kept = cells.groupBy("b").agg(F.sum("w").alias("count"))
-    ranks = ranks_of_counts(kept)
+    ranks = average_ranks(kept, "b", "rank")
     sums = cells.join(ranks.select("b", "rank"), "b").groupBy("a").agg(F.sum("w").alias("size"), F.sum(F.col("w") * F.col("rank")).alias("r"))
     by_group = sums.agg(F.count("*").alias("k"), F.sum("size").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("size")).alias("s"))
     t = F.col("count").cast("double")
@@ -78,26 +80,29 @@ def kruskal(df: DataFrame, value: str, group: str, min_group: int = MIN_GROUP, m
     return row.withColumn("epsilon_sq", F.when(F.col("h").isNotNull(), F.greatest(F.lit(0.0), F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k")))))
 
 
-def ranks_of_counts(counts: DataFrame) -> DataFrame:
-    """(b, rank) from (b, count) of distinct values."""
-    from .ordered import running_total
-
-    return running_total(counts, "b", "count", "_before").select("b", (F.col("_before") + (F.col("count") + 1) / 2).alias("rank"))
-
-
 def chi_square(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row (n, r, c, chi2, v): Yates' correction for 2 x 2 tables; empty cells count."""
-    pairs = complete_pairs(df, F.col(f"`{x}`").cast("string"), F.col(f"`{y}`").cast("string"))
+    """One row (n, r, c, chi2, v): Yates' correction for 2 x 2 tables; empty cells count.
+
+    Outside of 2 x 2 tables chi-squared is n * (sum of o * o / (row * column) - 1), which needs no empty cell, so margins
+    of any size are joined with the cells that there are. In a 2 x 2 table all four cells differ from what is expected by
+    |o11 * o22 - o12 * o21| / n.
+    """
+    pairs = complete_pairs(df, F.col(quoted(x)).cast("string"), F.col(quoted(y)).cast("string"))
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
-    shape = cells.agg(F.sum("o").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    # margins have at most max_cardinality rows each
-    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(shape))
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    d = F.abs(F.coalesce("o", F.lit(0)) - e)
-    yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.least(F.lit(0.5), d)).otherwise(0.0)
-    out = grid.agg(F.max("n").alias("n"), F.max("r").alias("r"), F.max("c").alias("c"), F.sum((d - yates) * (d - yates) / e).alias("x2"))
-    least = F.least("r", "c")
+    share = F.col("o").cast("double") * F.col("o") / (F.col("ra").cast("double") * F.col("cb"))
+    met = cells.join(rows, "a").join(cols, "b").agg(
+        F.sum("o").alias("n"), F.sum(share).alias("s"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
+        F.min(F.struct("ra", "a")).alias("low_a"), F.min(F.struct("cb", "b")).alias("low_b"), F.max(F.struct("ra", "a")).alias("high_a"), F.max(F.struct("cb", "b")).alias("high_b"),
+    )
+    n, least = F.col("n").cast("double"), F.least("r", "c")
+    plain = F.greatest(F.lit(0.0), n * (F.col("s") - 1))
+    # of a 2 x 2 table the statistic without correction is n * det ** 2 / (product of the margins)
+    product = F.col("low_a.ra").cast("double") * F.col("high_a.ra") * F.col("low_b.cb") * F.col("high_b.cb")
+    d = F.sqrt(plain * product / n) / n
+    yates = d - F.least(F.lit(0.5), d)
+    corrected = yates * yates * n * n * n / product
+    out = met.withColumn("x2", F.when((F.col("r") == 2) & (F.col("c") == 2), corrected).otherwise(plain))
     enough = (least >= 2) & (F.col("n") >= min_rows)
     return out.select(
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
@@ -108,18 +113,23 @@ def chi_square(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> DataF
     )
 
 
+def finite_outcome(statistic: float, p_value: float, effect: float, n: int) -> Outcome | None:
+    """An outcome, unless a number of it isn't finite."""
+    return Outcome(statistic, p_value, effect, n) if all(map(math.isfinite, (statistic, p_value, effect))) else None
+
+
 def spearman_outcome(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> Outcome | None:
     r = spearman(df, x, y).first()
     if r.rho is None or r.n < min_rows:
         return None
-    return Outcome(r.rho, spearman_tail(r.rho, r.n), abs(r.rho), r.n)
+    return finite_outcome(r.rho, spearman_tail(r.rho, r.n), abs(r.rho), r.n)
 
 
 def kruskal_outcome(df: DataFrame, value: str, group: str, min_group: int = MIN_GROUP, min_rows: int = MIN_ROWS) -> Outcome | None:
     r = kruskal(df, value, group, min_group, min_rows).first()
-    return None if r.h is None else Outcome(r.h, chi2_tail(r.h, r.k - 1), r.epsilon_sq, r.n)
+    return None if r.h is None else finite_outcome(r.h, chi2_tail(r.h, r.k - 1), r.epsilon_sq, r.n)
 
 
 def chi_square_outcome(df: DataFrame, x: str, y: str, min_rows: int = MIN_ROWS) -> Outcome | None:
     r = chi_square(df, x, y, min_rows).first()
-    return None if r.chi2 is None else Outcome(r.chi2, chi2_tail(r.chi2, (r.r - 1) * (r.c - 1)), r.v, r.n)
+    return None if r.chi2 is None else finite_outcome(r.chi2, chi2_tail(r.chi2, (r.r - 1) * (r.c - 1)), r.v, r.n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.names import quoted
 from .ordered import with_previous
 
 MONTH_FROM_SECONDS = 28 * 86_400
@@ -40,7 +41,7 @@ def micros(c: Column) -> Column:
 
 def distinct_times(df: DataFrame, name: str) -> DataFrame:
     """Distinct instants of a column, as microseconds t."""
-    c = parsed_time(F.col(f"`{name}`"), df.schema[name].dataType)
+    c = parsed_time(F.col(quoted(name)), df.schema[name].dataType)
     return df.select(micros(c).alias("t")).where("t is not null").distinct()
 
 

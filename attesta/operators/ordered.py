@@ -1,49 +1,84 @@
 """Order-dependent operators over a whole column without a single-partition window.
 
 Rows are dealt to ranges of the ordering value, cut at approximate quantiles; a window inside each range is completed
-by one row for each range before it.
+by one row for each range before it. The number of ranges grows with the rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Values that a range holds about, and the most ranges that there are.
+PER_RANGE = 500_000
+MOST_RANGES = 4096
+#: Cuts that a row is compared with at once; more are looked up in two steps.
+STEP = 64
+
+
+def ranges_for(rows: int) -> int:
+    return min(MOST_RANGES, -(-rows // PER_RANGE))
 
 
-def range_of(df: DataFrame, value: Column, n: int = RANGES) -> Column:
-    """Number of the range that a value lies in; n quantiles are all that comes to the driver."""
-    found = df.select(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000)).first()[0]
-    if not found:
+def range_of(df: DataFrame, value: Column, n: int) -> Column:
+    """Number of the range of n that a value lies in; n quantiles are all that comes to the driver."""
+    if n <= 1:
         return F.lit(0)
-    cuts = F.array(*(F.lit(x) for x in sorted(set(found))))
-    return F.size(F.filter(cuts, lambda c: c <= value))
+    found = df.select(F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
+    cuts = sorted(set(found or ()))
+    below = lambda some: F.size(F.filter(F.array(*map(F.lit, some)), lambda c: c <= value)) if some else F.lit(0)
+    if len(cuts) <= STEP:
+        return below(cuts)
+    groups = [cuts[i : i + STEP] for i in range(0, len(cuts), STEP)]
+    nth = below([g[0] for g in groups])
+    inside = F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), nth - 1)
+    return F.when(nth > 0, (nth - 1) * STEP + F.size(F.filter(inside, lambda c: c <= value))).otherwise(0)
 
 
-def running_total(df: DataFrame, value: str, amount: str, name: str, n: int = RANGES) -> DataFrame:
+def running_total(df: DataFrame, value: str, amount: str, name: str, n: int | None = None) -> DataFrame:
     """df, whose values are distinct, with the sum of the amounts of all lower values."""
+    n = ranges_for(df.count()) if n is None else n
     ranged = df.withColumn("_range", range_of(df, F.col(value), n))
+    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    if n <= 1:
+        return ranged.withColumn(name, within).drop("_range")
     sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     sums = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(sums), "_range")
-    return out.withColumn(name, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_range", "_base")
+    return ranged.join(F.broadcast(sums), "_range").withColumn(name, F.col("_base") + within).drop("_range", "_base")
 
 
-def with_previous(df: DataFrame, value: str, name: str, n: int = RANGES) -> DataFrame:
+def with_previous(df: DataFrame, value: str, name: str, n: int | None = None) -> DataFrame:
     """df, whose values are distinct, with the next lower value of each."""
+    n = ranges_for(df.count()) if n is None else n
     ranged = df.withColumn("_range", range_of(df, F.col(value), n))
+    inside = F.lag(value).over(W.partitionBy("_range").orderBy(value))
+    if n <= 1:
+        return ranged.withColumn(name, inside).drop("_range")
     tops = ranged.groupBy("_range").agg(F.max(value).alias("_top"))
     tops = tops.select("_range", F.lag("_top").over(W.orderBy("_range")).alias("_below"))  # one row a range
-    inside = W.partitionBy("_range").orderBy(value)
-    out = ranged.join(F.broadcast(tops), "_range")
-    return out.withColumn(name, F.coalesce(F.lag(value).over(inside), "_below")).drop("_range", "_below")
+    return ranged.join(F.broadcast(tops), "_range").withColumn(name, F.coalesce(inside, "_below")).drop("_range", "_below")
+
+
+def average_ranks(counts: DataFrame, value: str, name: str, n: int | None = None) -> DataFrame:
+    """(value, count, rank) from (value, count) of distinct values: tied rows share the mean of their places, counted from 1."""
+    return running_total(counts, value, "count", "_before", n).select(value, "count", (F.col("_before") + (F.col("count") + 1) / 2).alias(name))
+
+
+def counted(df: DataFrame, value: str) -> DataFrame:
+    """(value, count) of the distinct values of a column."""
+    return df.groupBy(value).agg(F.count("*").alias("count"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, count, rank) of each distinct value: tied rows share the mean of their places, counted from 1."""
-    counts = df.groupBy(value).agg(F.count("*").alias("count"))
-    return running_total(counts, value, "count", "_before").select(value, "count", (F.col("_before") + (F.col("count") + 1) / 2).alias(name))
+def values_at(counts: DataFrame, value: str, places: list[int]) -> dict[int, object]:
+    """The values at some places of a column in order, counted from 0, from (value, count) of its distinct values."""
+    if not places:
+        return {}
+    at, end = F.col("_before"), F.col("_before") + F.col("count")
+    wanted = reduce(lambda a, b: a | b, ((at <= p) & (end > p) for p in places))
+    rows = running_total(counts, value, "count", "_before").where(wanted).collect()
+    return {p: r[value] for p in places for r in rows if r["_before"] <= p < r["_before"] + r["count"]}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.names import quoted
 from ..session import Claim, Finding, Session, new_id
 
 #: A number in prose: sign, currency, digits with thousands, decimals, percent; fixed value.
@@ -35,7 +36,7 @@ class Verdict:
 
 def text_equals(df: DataFrame, name: str, text: str) -> Column:
     """Whether a column's text is `text`; numbers are compared as numbers, so that the filter reaches the scan."""
-    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    kind, c = df.schema[name].dataType, F.col(quoted(name))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         try:
             value = float(text)
@@ -48,7 +49,7 @@ def text_equals(df: DataFrame, name: str, text: str) -> Column:
 def keyed_cell(df: DataFrame, column: str, where: dict[str, str]) -> DataFrame:
     """The cells of a column in the rows whose columns have the given texts."""
     tests = [text_equals(df, k, v) for k, v in where.items()]
-    return df.where(reduce(lambda a, b: a & b, tests, F.lit(True))).select(F.col(f"`{column}`").alias("cell"))
+    return df.where(reduce(lambda a, b: a & b, tests, F.lit(True))).select(F.col(quoted(column)).alias("cell"))
 
 
 def as_number(value: object) -> float | None:

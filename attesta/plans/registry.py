@@ -14,7 +14,7 @@ from ..functions.textsafe import sanitized
 from ..ingest import ingest
 from ..operators import association, coverage, profile, verify
 from ..operators.discover import discover
-from ..operators.ordered import average_ranks, with_previous
+from ..operators.ordered import average_ranks, counted, with_previous
 from ..session import Session
 from ..sources.names import normalize
 from .texts import SAME, SPARK_OWN
@@ -34,33 +34,17 @@ BASIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMBERS, "l_re
 
 
 def profile_basics(spark, sf_dir):
-    """One row a column: rows, non-null and distinct values, null rate. Distinct values of all columns by one grouping."""
-    df = table(spark, sf_dir, "lineitem").select(*BASIC)
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in BASIC))
-    counts = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column").agg(
-        F.sum("n").cast("long").alias("n_rows"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("non_null"),
-        F.count("value").cast("long").alias("n_distinct"),
-        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
-    )
+    """What a profile of lineitem says of rows, nulls and distinct values of each column."""
+    report = profile.profile(table(spark, sf_dir, "lineitem").select(*BASIC))
+    rows = [(c.name, report.row_count, report.row_count - c.null_count, c.distinct_count, c.null_rate) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, n_rows long, non_null long, n_distinct long, null_rate double")
 
 
 def profile_numbers(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(*NUMBERS)
-    b = profile.basics(df)
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.round(f"mean_{i}", 6).alias("mean"),
-            F.round(F.col(f"q_{i}")[1], 6).alias("median"),
-            F.round(f"std_{i}", 6).alias("std"),
-            F.round(F.col(f"q_{i}")[0], 6).alias("p5"),
-            F.round(F.col(f"q_{i}")[2], 6).alias("p95"),
-        )
-        for i, c in enumerate(NUMBERS)
-    ]
-    return b.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """The same profile's statistics of numbers."""
+    report = profile.profile(table(spark, sf_dir, "lineitem").select(*NUMBERS))
+    rows = [(c.name, *(round(x, 6) for x in (c.numeric.mean, c.numeric.median, c.numeric.std, c.numeric.p5, c.numeric.p95))) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, mean double, median double, std double, p5 double, p95 double")
 
 
 def profile_min_max(spark, sf_dir):
@@ -108,7 +92,7 @@ def gap_examples(spark, sf_dir):
 
 
 def ranks(spark, sf_dir):
-    return average_ranks(table(spark, sf_dir, "customer").select("c_acctbal"), "c_acctbal", "rank").select("c_acctbal", F.col("count").cast("long").alias("n"), "rank")
+    return average_ranks(counted(table(spark, sf_dir, "customer"), "c_acctbal"), "c_acctbal", "rank").select("c_acctbal", F.col("count").cast("long").alias("n"), "rank")
 
 
 def spearman(spark, sf_dir):
@@ -133,7 +117,7 @@ def chi_square_yates(spark, sf_dir):
 
 
 def chi_square_tail(spark, sf_dir):
-    """p-values of a two-degree chi-squared over the order counts of customers, against their closed form."""
+    """p-values of a two-degree chi-squared, against their closed form; no table is read."""
     rows = [(i, round(chi2_tail(i / 2, 2), 12)) for i in range(1, 41)]
     return spark.createDataFrame(rows, "i long, p double")
 
