@@ -108,7 +108,7 @@ def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
         F.struct(_key(id_col, text_col, seed).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), _size(text_col).alias("size")).alias("place"),
     )
-    rows = rows.join(cuts, ["s_null", "s_val"]).where("place.size > 0")
+    rows = rows.join(cuts, ["s_null", "s_val"])
     same = F.coalesce(F.col("place") == F.col("cut.place"), F.lit(False))
     part = F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut.place")), F.col("place.size")).when(same, F.col("cut.extra")).otherwise(0)
     if cuts.where("cut.rows > 1").isEmpty():
@@ -118,9 +118,8 @@ def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_
         size = F.col("place.size")
         again = rows.where(same).withColumn("part", F.greatest(F.lit(0), F.least(size, F.col("cut.extra") - nth * size)))
         rows = rows.where(~same).withColumn("part", part).unionByName(again)
-    copies = F.concat(
-        F.array_repeat(F.col("place.size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
-    )
+    # no filter on sizes before, which Spark would move below the projection and so count words twice
+    copies = F.filter(F.concat(F.array_repeat(F.col("place.size"), F.col("epochs").cast("int")), F.array("part")), lambda words: words > 0)
     rows = rows.select("row", "place", F.explode(copies).alias("words"))
     text = F.col("row").getField(text_col)
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({GAP.replace('+', '*')}{WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), "")

@@ -182,13 +182,14 @@ def fit_toxicity(
             return nothing
         index = sorted(r.word for r in model_words)
         table = F.broadcast(docs.sparkSession.createDataFrame(list(zip(index, range(len(index)), strict=True)), "word string, at int"))
-        hits = every.join(table, "word").select("row", "at", "level").toPandas()
-        grades = sample.select("row", "grade").orderBy("row").toPandas()
+        hits = every.join(table, "word").select("row", "at", "level").toArrow()
+        grades = sample.select("row", "grade").orderBy("row").toArrow()
     finally:
         sample.unpersist()
-    hits = hits.sort_values(["row", "at"]).to_numpy()
-    hits[:, 0] = np.searchsorted(grades["row"].to_numpy(), hits[:, 0])
-    toxic = grades["grade"].to_numpy()
+    hits = np.column_stack([c.to_numpy() for c in hits.columns]).astype(np.int64)
+    hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+    hits[:, 0] = np.searchsorted(grades.column("row").to_numpy(), hits[:, 0])
+    toxic = grades.column("grade").to_numpy().astype(np.int64)
     w, theta = fit_words(hits, toxic, len(index))
     theta[0] -= lowering(hits, toxic, len(index))
     return {x: tuple(map(float, v)) for x, v in zip(index, w, strict=True)}, [float(t) for t in theta]
