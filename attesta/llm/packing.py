@@ -32,8 +32,8 @@ HOSTS = 64
 #: Pieces that one task packs.
 PIECES = 50_000
 VOCABULARY = "byte_bpe_50k"
-#: Words whose ids a Python worker keeps; then it starts anew.
-KEPT_WORDS = 200_000
+#: Words whose ids a Python worker keeps, the first that it meets, as common ones are; of others ids are made each time.
+KEPT_WORDS = 340_000
 
 BIN = "bin long, fill int, open boolean, node int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>, offset array<int>"
 _PARTS = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int32()))
@@ -58,6 +58,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self._full = Tokenizer.from_file(files.path(f"{vocabulary}.json"))
+        self._line_end = self._full.encode("\n", add_special_tokens=False).ids[0]
         self._words: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -68,12 +69,19 @@ class Ids:
             return b"".join(map(kept.__getitem__, words))
         except KeyError:
             pass
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
         new = [w for w in dict.fromkeys(words) if w not in kept]
-        for w, e in zip(new, self._full.encode_batch(new, add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(kept.__getitem__, words))
+        lines = [w for w in new if w.strip(" ") and "\n" not in w]
+        # lines of one word each are split between words and at line ends only, so one call serves all
+        ids = np.array(self._full.encode("\n".join(lines), add_special_tokens=False).ids, dtype="<u4")
+        found: dict[str, bytes] = {}
+        for w, part in zip(lines, np.split(ids, np.flatnonzero(ids == self._line_end)), strict=bool(lines)):
+            found[w] = part[bool(found) :].tobytes()
+        for w in new:
+            if w not in found:
+                found[w] = np.array(self._full.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(kept) + len(found) <= KEPT_WORDS:
+            kept.update(found)
+        return b"".join([kept.get(w) or found[w] for w in words])
 
 
 _ids: dict[str, Ids] = {}
