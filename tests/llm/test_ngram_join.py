@@ -125,3 +125,10 @@ def test_one_of_each_by_row(spark):
     got = [tuple(r) for r in kept if r.text not in (d, near(d))]
     assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, None), (None, ""), (5, c)], key=str)
     assert len(kept) == len(got) + 1
+
+
+def test_against_all_pairs_of_more(spark):
+    """All of sf0.01, by the query."""
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.op1_ngram_join(spark, folder).collect()} == brute(rows)
