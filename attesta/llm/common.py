@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of code points other than space, tab and the line controls.
@@ -106,3 +107,33 @@ def text_of(col: str = "text") -> Column:
 def pieces_for(n_rows: int, per_piece: int) -> int:
     """How many pieces of about per_piece rows n_rows make; at least one."""
     return max(1, -(-n_rows // per_piece))
+
+
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a hint to broadcast it, if it has been counted to have at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, *, group: tuple[str, ...] = (), rows_per_range: int = 50_000) -> DataFrame:
+    """df, written, with the column `nth`: the place of a row, from 0, in its group by the order given.
+
+    Rows are sorted in ranges of about equal counts; a place is the row's place in its range plus the counts of the
+    ranges before. The order starts with the group's columns. Rows that the order leaves equal are spread by their
+    place in the input, so many equal rows don't meet in one range; df has to come from stored tables. df must not
+    have columns named nth, _mid, _tie or _range.
+    """
+    n = pieces_for(df.count(), rows_per_range)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*order, F.col("_tie").asc()]
+    ranged = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_mid", F.monotonically_increasing_id())
+    ranged = written(ranged.select(*df.columns, F.shiftright("_mid", 33).alias("_range"), F.col("_mid").bitwiseAND((1 << 33) - 1).alias("_mid")), name)
+    found = ranged.groupBy(*group, "_range").agg(F.min("_mid").alias("_first"), F.count("*").alias("_rows"))
+    # a row for each range of a group
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = found.select(*group, "_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    bases = written(bases, f"{name}_ranges")
+    return ranged.join(small(bases), [*group, "_range"]).select(*df.columns, (F.col("_base") + F.col("_mid")).alias("nth"))

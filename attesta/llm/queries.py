@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, ngram_join, packing, quality, secrets, sharding, substrings, token_counts, toxicity
+from . import fingerprints, importance, manifest, mixing, ngram_join, packing, quality, secrets, sharding, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_packing": packing.op10_packing,
+        "op11_importance": importance.op11_importance,
+        "op13_manifest": manifest.op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.oracle(), "op8_mixing": mixing.ORACLE}
+    return {"op3_quality": quality.oracle(), "op8_mixing": mixing.ORACLE, "op11_importance": importance.ORACLE, "op13_manifest": manifest.ORACLE}

@@ -11,7 +11,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     got = q.queries()[name](spark, DIR)
     cols = sorted(got.columns)
     want = c.sql(q.oracle_sql()[name]).project(", ".join(cols)).fetchall()
