@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, importance, manifest, mixing, ngram_join, packing, quality, secrets, sharding, substrings, token_counts, toxicity
+from . import fingerprints, importance, manifest, mixing, ngram_join, packing, privacy, quality, secrets, sharding, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_packing": packing.op10_packing,
         "op11_importance": importance.op11_importance,
+        "op12_personal_data": privacy.op12_personal_data,
         "op13_manifest": manifest.op13_manifest,
     }
 
