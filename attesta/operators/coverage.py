@@ -79,8 +79,13 @@ def label_of(seconds: int) -> str:
 
 
 def coverage(df: DataFrame, name: str) -> Coverage | None:
-    """Coverage of a date column; None if it has no date. Steps of four weeks and more count in calendar months."""
-    times = distinct_times(df, name).persist()
+    """Coverage of a date column; None if it has no date."""
+    return coverage_of(distinct_times(df, name))
+
+
+def coverage_of(times: DataFrame) -> Coverage | None:
+    """Coverage of distinct instants t in microseconds. Steps of four weeks and more count in calendar months."""
+    times = times.persist()
     try:
         ends = times.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
         if ends.a is None:

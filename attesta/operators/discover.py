@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..execute import store
 from ..functions.pvalues import benjamini_hochberg
 from ..session import Session
-from .association import Outcome, chi_square_outcome, kruskal_outcome, spearman_outcome
-from .profile import comparable
+from ..sources.names import quoted
+from .frequencies import unpivoted
+from .pairs import Outcome, number, outcomes
 
 METRICS = {"spearman": "abs Spearman rho", "kruskal": "epsilon-squared", "chi_square": "Cramer's V"}
 
@@ -28,7 +28,6 @@ class Config:
     min_group: int = 5
     max_probes: int = 200
     floors: dict = field(default_factory=lambda: {"spearman": 0.3, "kruskal": 0.06, "chi_square": 0.1})
-    parallel: int = 8
 
 
 @dataclass
@@ -59,37 +58,48 @@ class Ledger:
     alpha: float = 0.1
 
 
+@dataclass
+class Judged:
+    """A probe that was looked at: insufficient, not_significant, below_floor, finding_cap or surfaced."""
+
+    test: str
+    columns: tuple[str, str]
+    outcome: Outcome
+    fate: str
+
+
 @dataclass
 class Report:
     discoveries: list[Discovery]
     ledger: Ledger
+    judged: list[Judged] = field(default_factory=list)
 
 
 def classify(df: DataFrame, most: int) -> tuple[list[str], list[str]]:
     """(columns that are ranked, columns that group): numbers and times of two values or more, others of 2 to `most`.
 
-    One aggregation tells how many distinct values each column has: a ranked one by its ends, a grouping one by a set
-    that is cut off beyond the bound.
+    One aggregation tells of ranked columns whether they vary, and of the others about how many values they have; those
+    that may have few enough are counted together in one more pass.
     """
-    ranked, grouping, asks = [], [], []
-    for i, f in enumerate(df.schema):
-        c = comparable(df, f.name)
-        if isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            x = F.when(~F.isnan(c.cast("double")), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
-            asks.append((F.min(x) < F.max(x)).alias(f"d_{i}"))
-        else:
-            asks.append(F.approx_count_distinct(c).alias(f"d_{i}"))
+    is_ranked = [isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema]
+    asks = []
+    for i, (f, r) in enumerate(zip(df.schema, is_ranked, strict=True)):
+        x = number(df, f.name) if r else None
+        asks.append((F.min(x) < F.max(x) if r else F.approx_count_distinct(_plain(df, f.name))).alias(f"d_{i}"))
     found = df.agg(*asks).first()
-    for i, f in enumerate(df.schema):
-        d = found[f"d_{i}"]
-        if isinstance(d, bool) or d is None:
-            if d:
-                ranked.append(f.name)
-        elif d <= 2 * most + 10:  # far beyond the estimate's error; the few candidates are counted exactly
-            n = df.select(comparable(df, f.name).alias("v")).where("v is not null").distinct().limit(most + 1).count()
-            if 2 <= n <= most:
-                grouping.append(f.name)
-    return ranked, grouping
+    ranked = [f.name for i, f in enumerate(df.schema) if is_ranked[i] and found[f"d_{i}"]]
+    # far beyond the estimate's error
+    maybe = [f.name for i, f in enumerate(df.schema) if not is_ranked[i] and found[f"d_{i}"] <= 2 * most + 10]
+    if not maybe:
+        return ranked, []
+    values = unpivoted(df, maybe).where("l is not null or d is not null or s is not null").distinct()
+    exact = {r.col: r["count"] for r in values.groupBy("col").count().collect()}
+    return ranked, [n for i, n in enumerate(maybe) if 2 <= exact.get(i, 0) <= most]
+
+
+def _plain(df: DataFrame, name: str) -> Column:
+    c = F.col(quoted(name))
+    return F.to_json(c) if isinstance(df.schema[name].dataType, T.MapType) else c
 
 
 def probes(df: DataFrame, config: Config) -> list[tuple[str, str, str]]:
@@ -101,27 +111,17 @@ def probes(df: DataFrame, config: Config) -> list[tuple[str, str, str]]:
     ]
 
 
-def run_probe(df: DataFrame, probe: tuple[str, str, str], config: Config) -> Outcome | None:
-    test, a, b = probe
-    if test == "spearman":
-        return spearman_outcome(df, a, b, config.min_observations)
-    if test == "kruskal":
-        return kruskal_outcome(df, a, b, config.min_group, config.min_observations)
-    return chi_square_outcome(df, a, b, config.min_observations)
-
-
 def strength(effect: float) -> str:
     return "weak" if effect < 0.3 else "moderate" if effect < 0.5 else "strong"
 
 
 def discover(df: DataFrame, config: Config | None = None, session: Session | None = None) -> Report:
-    """Runs probes as concurrent Spark jobs; what survives is ranked by effect and, with a session, gets an artifact each."""
+    """Judges all probes together; what survives is ranked by effect and, with a session, gets an artifact each."""
     config = config or Config()
     generated = probes(df, config)
     chosen = generated[: config.max_probes]
-    with ThreadPoolExecutor(config.parallel) as pool:
-        outcomes = list(pool.map(lambda p: run_probe(df, p, config), chosen))
-    run = [(p, o) for p, o in zip(chosen, outcomes, strict=True) if o is not None]
+    results = outcomes(df, chosen, min_rows=config.min_observations, min_group=config.min_group)
+    run = [(p, o) for p, o in zip(chosen, results, strict=True) if o.statistic is not None]
     rejected = benjamini_hochberg([o.p_value for _, o in run], config.fdr_alpha)
     significant = [x for x, r in zip(run, rejected, strict=True) if r]
     large = [x for x in significant if x[1].effect >= config.floors[x[0][0]]]
@@ -145,4 +145,8 @@ def discover(df: DataFrame, config: Config | None = None, session: Session | Non
         surfaced=len(found),
         alpha=config.fdr_alpha,
     )
-    return Report(found, ledger)
+    fates = dict.fromkeys(chosen, "insufficient")
+    for name, some in (("not_significant", run), ("below_floor", significant), ("finding_cap", large), ("surfaced", shown)):
+        fates |= {p: name for p, _ in some}
+    judged = [Judged(p[0], p[1:], o, fates[p]) for p, o in zip(chosen, results, strict=True)]
+    return Report(found, ledger, judged)

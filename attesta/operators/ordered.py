@@ -6,8 +6,6 @@ by one row for each range before it. The number of ranges grows with the rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,13 +70,3 @@ def average_ranks(counts: DataFrame, value: str, name: str, n: int | None = None
 def counted(df: DataFrame, value: str) -> DataFrame:
     """(value, count) of the distinct values of a column."""
     return df.groupBy(value).agg(F.count("*").alias("count"))
-
-
-def values_at(counts: DataFrame, value: str, places: list[int]) -> dict[int, object]:
-    """The values at some places of a column in order, counted from 0, from (value, count) of its distinct values."""
-    if not places:
-        return {}
-    at, end = F.col("_before"), F.col("_before") + F.col("count")
-    wanted = reduce(lambda a, b: a | b, ((at <= p) & (end > p) for p in places))
-    rows = running_total(counts, value, "count", "_before").where(wanted).collect()
-    return {p: r[value] for p in places for r in rows if r["_before"] <= p < r["_before"] + r["count"]}

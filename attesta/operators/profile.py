@@ -1,4 +1,4 @@
-"""Exact column profiles from one aggregation over all columns and one grouping for each."""
+"""Exact column profiles from one grouping of the values of all columns."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..functions.textsafe import cut, md_cell
-from ..sources.names import quoted
-from .coverage import Coverage, coverage, parsed_time
-from .ordered import counted, values_at
+from .coverage import Coverage, coverage_of, micros, parsed_time
+from .frequencies import KEY, most_frequent, number, value_counts, value_of, values_at
 
 TOP = 5
 DATE_RATE = 0.95
-#: Columns whose jobs run at once.
+QUANTILES = (0.05, 0.5, 0.95)
+#: Date columns whose coverage is found at once.
 PARALLEL = 4
 
 
@@ -114,85 +115,87 @@ def is_date_candidate(c: ColumnProfile) -> bool:
     return c.kind == "temporal" or (c.date_parse_rate is not None and c.date_parse_rate >= DATE_RATE)
 
 
-def finite(c: Column) -> Column:
-    """The value where it is a finite number."""
-    return F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), c)
-
-
-def comparable(df: DataFrame, name: str) -> Column:
-    """A column that can be grouped and ordered; maps by their JSON text."""
-    c = F.col(quoted(name))
-    return F.to_json(c) if isinstance(df.schema[name].dataType, T.MapType) else c
-
-
-def basics(df: DataFrame) -> DataFrame:
-    """One row: count, minimum and maximum of each column, and what numbers and texts have besides."""
-    out: list[Column] = [F.count("*").alias("rows")]
-    for i, f in enumerate(df.schema):
-        c = comparable(df, f.name)
-        out += [F.count(c).alias(f"n_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}")]
-        if kind_of(f.dataType) == "numeric":
-            x = finite(c).cast("double")
-            out += [F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), F.count(x).alias(f"finite_{i}")]
-        elif kind_of(f.dataType) == "text":
-            out.append(F.count(parsed_time(c, f.dataType)).alias(f"dates_{i}"))
-    return df.agg(*out)
-
-
-def top_values(df: DataFrame, name: str, k: int = TOP) -> DataFrame:
-    """(value, count) of the k most frequent values; of ties the lower value first."""
-    counts = df.select(comparable(df, name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
-    return counts.orderBy(F.desc("count"), "value").limit(k)
-
-
-def tops_and_distinct(df: DataFrame, name: str) -> tuple[list[tuple[str, int]], int]:
-    """The most frequent values and the number of distinct ones, from one grouping."""
-    seen = Observation()
-    counts = df.select(comparable(df, name).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
-    rows = counts.observe(seen, F.count(F.lit(1)).alias("distinct")).orderBy(F.desc("count"), "value").limit(TOP).collect()
-    return [(cut(r["value"]), r["count"]) for r in rows], seen.get["distinct"]
-
-
-def quantiles(df: DataFrame, name: str, n: int, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> list[float | None]:
-    """Quantiles of the n finite values of a column, between neighbours in proportion; from counts of values, by place."""
-    if not n:
-        return [None] * len(shares)
-    x = df.select(finite(F.col(quoted(name))).cast("double").alias("x")).where("x is not null")
-    at = [q * (n - 1) for q in shares]
-    found = values_at(counted(x, "x"), "x", sorted({f(a) for a in at for f in (math.floor, math.ceil)}))
-    return [found[math.floor(a)] + (found[math.ceil(a)] - found[math.floor(a)]) * (a - math.floor(a)) for a in at]
+def summaries(counts: DataFrame, texts: list[int]) -> DataFrame:
+    """A row for each column of value_counts(): rows, values, distinct ones, ends, the mean of finite numbers, and how many
+    values of the columns in texts are dates."""
+    some = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    key, x = F.struct(*KEY), number()
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    dates = F.when(F.col("col").isin(texts) & parsed_time(F.col("s"), T.StringType()).isNotNull(), F.col("n"))
+    return counts.groupBy("col").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("n"), F.count_if(some).alias("distinct"),
+        F.min(F.when(some, key)).alias("low"), F.max(F.when(some, key)).alias("high"),
+        F.coalesce(F.sum(F.when(finite, F.col("n"))), F.lit(0)).alias("finite"), F.sum(F.when(finite, x * F.col("n"))).alias("total"),
+        F.coalesce(F.sum(dates), F.lit(0)).alias("dates"),
+    )
+
+
+def deviations(counts: DataFrame, means: dict[int, float]) -> dict[int, float]:
+    """Sums of squared distances of finite numbers from their means."""
+    if not means:
+        return {}
+    table = F.broadcast(counts.sparkSession.createDataFrame(list(means.items()), "col int, mean double"))
+    x = number()
+    off = counts.where(~F.isnan(x) & (F.abs(x) < float("inf"))).join(table, "col").groupBy("col").agg(F.sum(F.col("n") * F.pow(x - F.col("mean"), F.lit(2))).alias("off"))
+    return {r.col: r.off for r in off.collect()}
+
+
+def times_of(counts: DataFrame, i: int, kind: T.DataType) -> DataFrame:
+    """Distinct instants of column i, as microseconds t."""
+    own = counts.where(F.col("col") == i)
+    if isinstance(kind, T.StringType):
+        return own.select(micros(parsed_time(F.col("s"), kind)).alias("t")).where("t is not null").distinct()
+    scale = 86_400_000_000 if isinstance(kind, T.DateType) else 1
+    return own.where("l is not null").select((F.col("l") * scale).alias("t"))
 
 
 def profile(df: DataFrame, dataset_id: str = "", name: str = "", original_names: list[str] | None = None) -> ProfileReport:
-    """Profile of every column. Only aggregates come to the driver; the columns' jobs run side by side."""
-    b = basics(df).first()
-
-    def column(i: int, f: T.StructField) -> ColumnProfile:
-        kind, n = kind_of(f.dataType), b[f"n_{i}"]
-        tops, distinct = tops_and_distinct(df, f.name)
-        text = lambda x: None if x is None else cut("nan" if x != x else x)
+    """Profile of every column, from one table of value counts: df is read once, whatever the number of its columns.
+
+    Only aggregates come to the driver.
+    """
+    kinds = [f.dataType for f in df.schema]
+    texts = [i for i, k in enumerate(kinds) if kind_of(k) == "text"]
+    counts = value_counts(df, df.columns)
+    found = {r.col: r for r in summaries(counts, texts).collect()}
+    tops: dict[int, list[tuple[str, int]]] = {}
+    text = lambda i, cell: None if (x := value_of(kinds[i], cell)) is None else cut("nan" if x != x else x)
+    for r in most_frequent(counts, TOP).orderBy("col", "place").collect():
+        tops.setdefault(r.col, []).append((text(r.col, r), r.n))
+    finite = {i: found[i].finite for i, k in enumerate(kinds) if i in found and kind_of(k) == "numeric" and found[i].finite}
+    at = {i: [q * (n - 1) for q in QUANTILES] for i, n in finite.items()}
+    placed = values_at(counts, {i: [f(a) for a in own for f in (math.floor, math.ceil)] for i, own in at.items()})
+    between = lambda i, a: placed[i, math.floor(a)] + (placed[i, math.ceil(a)] - placed[i, math.floor(a)]) * (a - math.floor(a))
+    means = {i: found[i].total / n for i, n in finite.items()}
+    off = deviations(counts, means)
+
+    rows = max((r.rows for r in found.values()), default=0)
+    columns = []
+    for i, f in enumerate(df.schema):
+        r, n = found.get(i), found[i].n if i in found else 0
         p = ColumnProfile(
             position=i,
             original_name=original_names[i] if original_names else f.name,
             name=f.name,
             type=f.dataType.simpleString(),
-            kind=kind,
-            null_count=b.rows - n,
-            null_rate=(b.rows - n) / b.rows if b.rows else 0.0,
-            distinct_count=distinct,
-            min_value=text(b[f"min_{i}"]),
-            max_value=text(b[f"max_{i}"]),
-            top_values=tops,
+            kind=kind_of(f.dataType),
+            null_count=rows - n,
+            null_rate=(rows - n) / rows if rows else 0.0,
+            distinct_count=r.distinct if r else 0,
+            min_value=text(i, r.low) if r else None,
+            max_value=text(i, r.high) if r else None,
+            top_values=tops.get(i, []),
         )
-        if kind == "numeric":
-            low, middle, high = quantiles(df, f.name, b[f"finite_{i}"])
-            p.numeric = NumberStats(b[f"mean_{i}"], middle, b[f"std_{i}"], low, high)
-        elif kind == "text" and n:
-            p.date_parse_rate = b[f"dates_{i}"] / n
-        if is_date_candidate(p):
-            p.coverage = coverage(df, f.name)
-        return p
-
+        if p.kind == "numeric":
+            low, middle, high = (between(i, a) for a in at[i]) if i in at else (None, None, None)
+            std = math.sqrt(off[i] / (finite[i] - 1)) if finite.get(i, 0) > 1 else None
+            p.numeric = NumberStats(means.get(i), middle, std, low, high)
+        elif p.kind == "text" and n:
+            p.date_parse_rate = r.dates / n
+        columns.append(p)
+    dated = [c for c in columns if is_date_candidate(c)]
     with ThreadPoolExecutor(PARALLEL) as pool:
-        columns = list(pool.map(column, range(len(df.columns)), df.schema))
-    return ProfileReport(dataset_id, name, b.rows, columns)
+        for c, v in zip(dated, pool.map(lambda c: coverage_of(times_of(counts, c.position, kinds[c.position])), dated), strict=True):
+            c.coverage = v
+    storage.discard(counts)
+    return ProfileReport(dataset_id, name, rows, columns)

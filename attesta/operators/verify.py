@@ -1,22 +1,11 @@
-"""Claims against artifact cells, and numbers in prose against claims."""
+"""Findings of a session: their claims against artifact cells, and numbers in their prose against claims."""
 
 from __future__ import annotations
 
-import math
-import re
 from dataclasses import dataclass
-from decimal import Decimal
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..sources.names import quoted
 from ..session import Claim, Finding, Session, new_id
-
-#: A number in prose: sign, currency, digits with thousands, decimals, percent; fixed value.
-NUMBER = r"[-+]?\$?\d[\d,]*(?:\.\d+)?%?"
+from .claims import CLAIM, check_claims, unbacked_numbers
 
 
 @dataclass
@@ -34,80 +23,34 @@ class Verdict:
     unbacked: list[str]
 
 
-def text_equals(df: DataFrame, name: str, text: str) -> Column:
-    """Whether a column's text is `text`; numbers are compared as numbers, so that the filter reaches the scan."""
-    kind, c = df.schema[name].dataType, F.col(quoted(name))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        try:
-            value = float(text)
-        except ValueError:
-            return F.lit(False)
-        return c == F.lit(value) if repr(value) == text or text in ("nan", "inf", "-inf") else F.lit(False)
-    return c.cast("string") == F.lit(text)
-
-
-def keyed_cell(df: DataFrame, column: str, where: dict[str, str]) -> DataFrame:
-    """The cells of a column in the rows whose columns have the given texts."""
-    tests = [text_equals(df, k, v) for k, v in where.items()]
-    return df.where(reduce(lambda a, b: a & b, tests, F.lit(True))).select(F.col(quoted(column)).alias("cell"))
-
-
-def as_number(value: object) -> float | None:
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, (int, float, Decimal, str)):
-        try:
-            x = float(value)
-        except ValueError:
-            return None
-        return x if math.isfinite(x) else None
-    return None
-
-
-def check_claim(session: Session, claim: Claim) -> ClaimCheck:
-    artifact = session.records["artifacts"].get(claim.artifact_id)
-    if artifact is None:
-        return ClaimCheck(claim, False, reason=f"no artifact {claim.artifact_id!r}")
-    if artifact.data_path is None:
-        return ClaimCheck(claim, False, reason="artifact has no tabular result")
-    df = session.data(artifact)
-    unknown = sorted({claim.column, *claim.where} - set(df.columns))
-    if unknown:
-        return ClaimCheck(claim, False, reason=f"unknown column(s): {', '.join(unknown)}")
-    cells = keyed_cell(df, claim.column, claim.where)
-    found = cells.limit(2).collect()
-    if len(found) != 1:
-        return ClaimCheck(claim, False, reason=f"expected exactly 1 matching row, got {cells.count() if found else 0}")
-    actual = as_number(found[0].cell)
-    if actual is None:
-        return ClaimCheck(claim, False, reason=f"cell value {found[0].cell!r} is not numeric")
-    ok = math.isclose(actual, claim.value, rel_tol=claim.rel_tol, abs_tol=claim.abs_tol)
-    return ClaimCheck(claim, ok, actual, "" if ok else f"claimed {claim.value} but artifact cell is {actual}")
-
-
-def prose_numbers(text: Column) -> Column:
-    """All numbers in a text column, as an array."""
-    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-
-
-def is_backed(token: str, values: list[float]) -> bool:
-    """Whether some value, rounded to the decimals shown, is the number."""
-    plain = token.replace("$", "").replace(",", "").rstrip("%")
-    shown, decimals = float(plain), len(plain.partition(".")[2])
-    return any(math.isclose(round(v, decimals), shown, abs_tol=1e-9) for v in values)
-
-
 def add_finding(session: Session, headline: str, claims: list[Claim], detail: str = "") -> Finding:
     f = Finding(new_id("fnd"), headline, detail, claims)
     session.register(f)
     return f
 
 
+def verify_many(session: Session, findings: list[Finding]) -> list[Verdict]:
+    """A verdict for each finding, from the same few jobs for any number of them and one read of each artifact."""
+    spark = session.spark
+    claims = [(f.finding_id, k, c.artifact_id, c.column, dict(c.where), float(c.value), float(c.rel_tol), float(c.abs_tol)) for f in findings for k, c in enumerate(f.claims)]
+    table = spark.createDataFrame(claims, CLAIM)
+    known = {c[2]: session.records["artifacts"].get(c[2]) for c in claims}
+    artifacts = {rid: session.data(a) if a.data_path is not None else None for rid, a in known.items() if a is not None}
+    checks = {(r.finding_id, r.claim): r for r in check_claims(table, artifacts).collect()} if claims else {}
+    prose = spark.createDataFrame([(f.finding_id, f"{f.headline}\n{f.detail}") for f in findings], "finding_id string, prose string")
+    unbacked: dict[str, list[str]] = {}
+    for r in unbacked_numbers(prose, table).orderBy("finding_id", "place").collect():
+        unbacked.setdefault(r.finding_id, []).append(r.token)
+    out = []
+    for f in findings:
+        own = [ClaimCheck(c, r.ok, r.actual, r.reason) for k, c in enumerate(f.claims) for r in [checks[f.finding_id, k]]]
+        loose = unbacked.get(f.finding_id, [])
+        out.append(Verdict(all(c.ok for c in own) and not loose, own, loose))
+    return out
+
+
 def verify(session: Session, finding: Finding) -> Verdict:
-    checks = [check_claim(session, c) for c in finding.claims]
-    values = [c.value for c in finding.claims]
-    unbacked = [m for m in re.findall(NUMBER, f"{finding.headline}\n{finding.detail}") if not is_backed(m, values)]
-    return Verdict(all(c.ok for c in checks) and not unbacked, checks, unbacked)
+    return verify_many(session, [finding])[0]
 
 
 def verify_and_record(session: Session, finding_id: str) -> Verdict:

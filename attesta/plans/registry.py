@@ -12,11 +12,14 @@ from ..execute import run_sql
 from ..functions.pvalues import benjamini_hochberg, chi2_tail
 from ..functions.textsafe import sanitized
 from ..ingest import ingest
-from ..operators import association, coverage, profile, verify
+from ..operators import coverage, profile
+from ..operators.claims import prose_numbers as prose_tokens
 from ..operators.discover import discover
+from ..operators.pairs import outcomes
 from ..operators.ordered import average_ranks, counted, with_previous
 from ..session import Session
 from ..sources.names import normalize
+from . import claim_queries, discovery_sql
 from .texts import SAME, SPARK_OWN
 
 
@@ -48,23 +51,29 @@ def profile_numbers(spark, sf_dir):
 
 
 def profile_min_max(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    b = profile.basics(df)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").cast("long").alias("non_null"), F.col(f"min_{i}").cast("double").alias("low"), F.col(f"max_{i}").cast("double").alias("high"))
-        for i, c in enumerate(df.columns)
-    ]
-    return b.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    report = profile.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    rows = [(c.name, report.row_count - c.null_count, float(c.min_value), float(c.max_value)) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, non_null long, low double, high double")
 
 
 def profile_topk(spark, sf_dir):
-    return profile.top_values(table(spark, sf_dir, "part").select("p_brand"), "p_brand")
+    report = profile.profile(table(spark, sf_dir, "part").select("p_brand"))
+    return spark.createDataFrame(report.columns[0].top_values, "value string, count long")
+
+
+TOPS = ("p_brand", "p_size", "p_retailprice")
+
+
+def profile_topk_columns(spark, sf_dir):
+    """The most frequent values of several columns, with their places."""
+    report = profile.profile(table(spark, sf_dir, "part").select(*TOPS))
+    rows = [(c.name, k, float(v) if c.kind == "numeric" else None, v if c.kind == "text" else None, n) for c in report.columns for k, (v, n) in enumerate(c.top_values, 1)]
+    return spark.createDataFrame(rows, "column string, place long, number double, text string, count long")
 
 
 def date_parse_rate(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")
-    b = profile.basics(df)
-    return b.select((F.col("dates_0") / F.col("n_0")).alias("date_rate"), (F.col("dates_1") / F.col("n_1")).alias("priority_rate"))
+    report = profile.profile(table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority"))
+    return spark.createDataFrame([tuple(c.date_parse_rate for c in report.columns)], "date_rate double, priority_rate double")
 
 
 def grain_orders(spark, sf_dir):
@@ -95,48 +104,100 @@ def ranks(spark, sf_dir):
     return average_ranks(counted(table(spark, sf_dir, "customer"), "c_acctbal"), "c_acctbal", "rank").select("c_acctbal", F.col("count").cast("long").alias("n"), "rank")
 
 
+def statistic(spark, df, probe, digits=6):
+    """One probe's row: n, statistic, p-value and effect, rounded."""
+    (o,) = outcomes(df, [probe])
+    cut = lambda x: None if x is None else round(x, digits)
+    return spark.createDataFrame([(o.n, cut(o.statistic), cut(o.p_value), cut(o.effect), o.dof)], "n long, statistic double, p_value double, effect double, dof long")
+
+
 def spearman(spark, sf_dir):
-    r = association.spearman(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
-    return r.select("n", F.round("rho", 6).alias("rho"))
+    r = statistic(spark, table(spark, sf_dir, "lineitem"), ("spearman", "l_quantity", "l_extendedprice"))
+    return r.select("n", F.col("statistic").alias("rho"))
 
 
 def kruskal(spark, sf_dir):
-    r = association.kruskal(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_returnflag"), "l_extendedprice", "l_returnflag")
-    # three groups: with two degrees of freedom the tail is exp(-H / 2)
-    return r.select("n", "k", F.round("h", 4).alias("h"), F.round(F.exp(-F.col("h") / 2), 6).alias("p_value"), F.round("epsilon_sq", 8).alias("epsilon_sq"))
+    r = statistic(spark, table(spark, sf_dir, "lineitem"), ("kruskal", "l_extendedprice", "l_returnflag"), 12)
+    return r.select("n", (F.col("dof") + 1).alias("k"), F.round("statistic", 4).alias("h"), F.round("p_value", 6).alias("p_value"), F.round("effect", 8).alias("epsilon_sq"))
 
 
 def chi_square(spark, sf_dir):
-    r = association.chi_square(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus")
-    return r.select("n", F.round("chi2", 6).alias("chi2"), F.round("v", 6).alias("v"))
+    r = statistic(spark, table(spark, sf_dir, "lineitem"), ("chi_square", "l_returnflag", "l_linestatus"))
+    return r.select("n", F.col("statistic").alias("chi2"), F.col("effect").alias("v"))
 
 
 def chi_square_yates(spark, sf_dir):
-    r = association.chi_square(table(spark, sf_dir, "labels").select("quality", "toxic"), "quality", "toxic")
-    return r.select("n", F.round("chi2", 6).alias("chi2"), F.round("v", 6).alias("v"))
+    r = statistic(spark, table(spark, sf_dir, "labels"), ("chi_square", "quality", "toxic"))
+    return r.select("n", F.col("statistic").alias("chi2"), F.col("effect").alias("v"))
 
 
-def chi_square_tail(spark, sf_dir):
-    """p-values of a two-degree chi-squared, against their closed form; no table is read."""
-    rows = [(i, round(chi2_tail(i / 2, 2), 12)) for i in range(1, 41)]
-    return spark.createDataFrame(rows, "i long, p double")
+def segment_tails(spark, sf_dir):
+    """(nation, p): for each nation, whether its customers are spread evenly over segments, as chi-squared tails."""
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("o"))
+    k = table(spark, sf_dir, "customer").agg(F.count_distinct("c_mktsegment").alias("k"))
+    sums = counts.groupBy("c_nationkey").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o")).alias("q")).join(F.broadcast(k))
+    # one row a nation
+    rows = sums.select("c_nationkey", (F.col("q") * F.col("k") / F.col("n") - F.col("n")).alias("x2"), "k").orderBy("c_nationkey").collect()
+    return [(int(r.c_nationkey), chi2_tail(r.x2, r.k - 1)) for r in rows]
 
 
-P_VALUES = (0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216)
+def chi_square_tail(spark, sf_dir):
+    return spark.createDataFrame([(n, round(p, 9)) for n, p in segment_tails(spark, sf_dir)], "nation long, p double")
 
 
 def bh(spark, sf_dir):
-    kept = benjamini_hochberg(list(P_VALUES), 0.1)
-    return spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(zip(P_VALUES, kept, strict=True))], "i long, p double, rejected boolean")
+    """False-discovery control over the tails of all nations, at a level at which some are rejected."""
+    tails = segment_tails(spark, sf_dir)
+    kept = benjamini_hochberg([p for _, p in tails], 0.8)
+    return spark.createDataFrame([(n, k) for (n, _), k in zip(tails, kept, strict=True)], "nation long, rejected boolean")
+
+
+def orders_of_customers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+
+RANKED, GROUPING = ["o_totalprice", "c_acctbal"], ["o_orderstatus", "c_mktsegment"]
+JOINED_SQL = "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def discover_report(spark, sf_dir):
+    """Each probe of a whole discovery pass, with its statistic, p-value, effect and fate."""
+    report = discover(orders_of_customers(spark, sf_dir).select(*RANKED, *GROUPING))
+    return judged_rows(spark, [(*j.columns, j.test, j.outcome, j.fate) for j in report.judged])
+
+
+def judged_rows(spark, rows, digits=6):
+    cut = lambda x: None if x is None else round(x, digits)
+    out = [(t, a, b, o.n, cut(o.statistic), cut(o.p_value), cut(o.effect), fate) for a, b, t, o, fate in rows]
+    return spark.createDataFrame(out, "test string, left string, right string, n long, statistic double, p_value double, effect double, fate string")
 
 
-def claim_lookup(spark, sf_dir):
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("total"))
-    return verify.keyed_cell(sums, "total", {"l_returnflag": "A", "l_linestatus": "F"})
+def discover_ledger(spark, sf_dir):
+    """The ledger of the same pass: what was generated, held back and surfaced."""
+    ledger = discover(orders_of_customers(spark, sf_dir).select(*RANKED, *GROUPING)).ledger
+    names = ("generated", "probe_cap", "insufficient", "run", "not_significant", "below_floor", "finding_cap", "surfaced")
+    return spark.createDataFrame([tuple(getattr(ledger, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+#: Columns with nulls, and one with a group that is too small on small tables, as (name, Spark SQL, DuckDB SQL).
+GAPS = (
+    ("price", "if(o_orderkey % 7 = 0, null, o_totalprice)", "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END"),
+    ("balance", "if(o_custkey % 5 = 0, double('nan'), c_acctbal)", "CASE WHEN o_custkey % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE c_acctbal END"),
+    ("day", "o_orderdate", "epoch(o_orderdate)"),
+    ("segment", "if(o_orderkey % 11 = 0, null, c_mktsegment)", "CASE WHEN o_orderkey % 11 <> 0 THEN c_mktsegment END"),
+    ("kind", "if(o_orderkey % 4001 = 1, 'rare', o_orderstatus)", "CASE WHEN o_orderkey % 4001 = 1 THEN 'rare' ELSE o_orderstatus END"),
+)
+GAP_PROBES = discovery_sql.probes_of(["price", "balance", "day"], ["segment", "kind"])
+
+
+def discover_pairs(spark, sf_dir):
+    """All statistics of columns with nulls, NaN and a small group: each pair has its own rows and ranks."""
+    df = orders_of_customers(spark, sf_dir).select(*(F.expr(s).alias(n) for n, s, _ in GAPS))
+    return judged_rows(spark, [(a, b, t, o, None) for (t, a, b), o in zip(GAP_PROBES, outcomes(df, GAP_PROBES), strict=True)]).drop("fate")
 
 
 def prose_numbers(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(F.explode(verify.prose_numbers(F.coalesce("text", F.lit("")))).alias("number"))
+    found = table(spark, sf_dir, "documents").select(F.explode(prose_tokens(F.coalesce("text", F.lit("")))).alias("number"))
     return found.groupBy("number").agg(F.count("*").cast("long").alias("n"))
 
 
@@ -144,18 +205,12 @@ def sanitize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(sanitized(F.coalesce("text", F.lit("")))).alias("clean_md5"))
 
 
-HEADERS = ("Revenue (USD)", "revenue usd", "select", "123abc", "", "café", "x", "x", "x", "From")
-
-
 def headers(spark, sf_dir):
-    return spark.createDataFrame([(i, h, n) for i, (h, n) in enumerate(zip(HEADERS, normalize(list(HEADERS)), strict=True))], "i long, header string, name string")
-
-
-def discover_ledger(spark, sf_dir):
-    """The ledger of a whole discovery pass over orders and their customers."""
-    df = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    ledger = discover(df.select("o_totalprice", "c_acctbal", "o_orderstatus", "c_mktsegment")).ledger
-    return spark.createDataFrame([(ledger.generated, ledger.probe_cap, ledger.insufficient, ledger.run)], "generated long, probe_cap long, insufficient long, run long")
+    """Names for headers that are made of the types, brands and names of parts and nations, some of them the same or bad."""
+    brands = [r[0] for r in table(spark, sf_dir, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    nations = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+    found = [*brands, *(b.lower().replace("#", " (") for b in brands), *(f"{k} {n}" for k, n in enumerate(nations)), "select", "", "From", "café"]
+    return spark.createDataFrame([(i, h, n) for i, (h, n) in enumerate(zip(found, normalize(found), strict=True))], "i long, header string, name string")
 
 
 def ingest_csv(spark, sf_dir):
@@ -271,31 +326,48 @@ def _chi2_sql(source: str, a: str, b: str, yates: bool) -> str:
     )
 
 
-def _values(rows) -> str:
-    show = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
-    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+#: Tails with four degrees of freedom have a closed form.
+_TAILS = (
+    "c AS (SELECT c_nationkey, count(*) AS o FROM customer GROUP BY c_nationkey, c_mktsegment), "
+    "x AS (SELECT c_nationkey, sum(o * o) * (SELECT count(DISTINCT c_mktsegment) FROM customer) / sum(o) - sum(o) AS x2 FROM c GROUP BY 1), "
+    "t AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, exp(-x2 / 2) * (1 + x2 / 2) AS p FROM x)"
+)
 
 
 _OWN |= {
     "discover_chi_square_lineitem": (chi_square, _chi2_sql("lineitem", "l_returnflag", "l_linestatus", False)),
     "discover_chi_square_yates_labels": (chi_square_yates, _chi2_sql("labels", "quality", "toxic", True)),
-    "discover_chi_square_tail": (chi_square_tail, "SELECT i, round(exp(-i / 4.0), 12) AS p FROM range(1, 41) AS t(i)"),
+    "discover_chi_square_tail": (chi_square_tail, f"WITH {_TAILS} SELECT nation, round(p, 9) AS p FROM t"),
     "discover_bh_fdr": (
         bh,
-        f"WITH v AS (SELECT CAST(i AS BIGINT) AS i, CAST(p AS DOUBLE) AS p FROM (VALUES {_values(enumerate(P_VALUES))}) AS t(i, p)), "
-        "r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM v), l AS (SELECT coalesce(max(k), 0) AS last FROM r WHERE p <= 0.1 * k / m) "
-        "SELECT i, p, k <= last AS rejected FROM r, l",
+        f"WITH {_TAILS}, r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t), l AS (SELECT coalesce(max(k), 0) AS last FROM r WHERE p <= 0.8 * k / m) "
+        "SELECT nation, k <= last AS rejected FROM r, l",
     ),
+    "discover_report_orders": (discover_report, f"{discovery_sql.pass_sql(JOINED_SQL, RANKED, GROUPING)} SELECT {discovery_sql.rows_sql()}, fate FROM f"),
     "discover_ledger_orders": (
         discover_ledger,
-        "SELECT CAST(1 + 4 + 1 AS BIGINT) AS generated, CAST(0 AS BIGINT) AS probe_cap, CAST(0 AS BIGINT) AS insufficient, CAST(6 AS BIGINT) AS run",
+        f"{discovery_sql.pass_sql(JOINED_SQL, RANKED, GROUPING)} SELECT count(*) AS generated, CAST(0 AS BIGINT) AS probe_cap, count(*) FILTER (fate = 'insufficient') AS insufficient, "
+        "count(*) FILTER (fate <> 'insufficient') AS run, "
+        + ", ".join(f"count(*) FILTER (fate = '{x}') AS {x}" for x in ("not_significant", "below_floor", "finding_cap", "surfaced"))
+        + " FROM f",
+    ),
+    "discover_pairs_with_gaps": (
+        discover_pairs,
+        f"{discovery_sql.statistics_sql('SELECT ' + ', '.join(f'{q} AS {n}' for n, _, q in GAPS) + ' FROM orders JOIN customer ON o_custkey = c_custkey', GAP_PROBES)} SELECT {discovery_sql.rows_sql()} FROM v",
+    ),
+    "profile_topk_part_columns": (
+        profile_topk_columns,
+        " UNION ALL ".join(
+            f"(SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY count(*) DESC, {c}) AS place, {'NULL' if c == 'p_brand' else f'CAST({c} AS DOUBLE)'} AS number, {c if c == 'p_brand' else 'NULL'} AS text, count(*) AS count "
+            f"FROM part WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY place <= 5)"
+            for c in TOPS
+        ),
     ),
     "ingest_csv_customer": (
         ingest_csv,
         "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     ),
     "run_sql_artifact": (sql_artifact, "SELECT o_orderstatus, count(*) AS n, count(*) AS n_1 FROM orders GROUP BY 1"),
-    "claim_keyed_lookup": (claim_lookup, "SELECT round(sum(l_quantity), 2) AS cell FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'"),
     "prose_numbers": (
         prose_numbers,
         r"WITH n AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[-+]?\$?\d[\d,]*(?:\.\d+)?%?')) AS number FROM documents) SELECT number, count(*) AS n FROM n GROUP BY 1",
@@ -306,14 +378,20 @@ _OWN |= {
     ),
     "normalize_headers": (
         headers,
-        f"WITH v AS (SELECT CAST(i AS BIGINT) AS i, header FROM (VALUES {_values(enumerate(HEADERS))}) AS t(i, header)), "
-        "a AS (SELECT *, trim(regexp_replace(lower(header), '[^a-z0-9_]+', '_', 'g'), '_') AS s FROM v), "
+        "WITH p AS (SELECT DISTINCT p_brand AS b FROM part), n AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS k FROM (SELECT DISTINCT n_name FROM nation)), "
+        "h AS (SELECT 1 AS part, b AS o, b AS header FROM p UNION ALL SELECT 2, b, replace(lower(b), '#', ' (') FROM p UNION ALL SELECT 3, n_name, k || ' ' || n_name FROM n "
+        "UNION ALL SELECT 4, o, h FROM (VALUES ('1', 'select'), ('2', ''), ('3', 'From'), ('4', 'café')) AS t(o, h)), "
+        "v AS (SELECT row_number() OVER (ORDER BY part, o) - 1 AS i, header FROM h), "
+        "a AS (SELECT *, regexp_replace(trim(regexp_replace(lower(header), '[^a-z0-9_]+', '_', 'g'), '_'), '_+', '_', 'g') AS s FROM v), "
         "b AS (SELECT *, CASE WHEN s = '' THEN 'col_' || i WHEN s IN ('select', 'from') THEN s || '_' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END AS n FROM a), "
         "c AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY i) AS k FROM b) SELECT i, header, CASE WHEN k = 1 THEN n ELSE n || '_' || k END AS name FROM c",
     ),
 }
 
 
+_OWN |= claim_queries.QUERIES
+
+
 def queries() -> dict:
     out = {k: f for k, (f, _) in _OWN.items()}
     for k in (*SAME, *SPARK_OWN):

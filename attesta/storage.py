@@ -5,18 +5,49 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one of spark.checkpoint.dir, or a local one where that is unset."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one machine may have one of its
+    own; on a cluster that is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="attesta-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/attesta"
+    if base:
+        return base
+    sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="attesta-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return _own[sc.applicationId]
+
+
+def scratch(spark: SparkSession) -> str:
+    """Where this library keeps intermediate tables and sessions of its own."""
+    return f"{shared_folder(spark)}/attesta"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives a lost executor."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attesta_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() which nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_attesta_path", None)
+        if path:
+            delete(df.sparkSession, path.rpartition("/")[0])
 
 
 def _at(spark: SparkSession, path: str):

@@ -4,10 +4,11 @@ import pytest
 
 from attesta.evals import CASES, rates, run_case, scorecard
 from attesta.functions.pvalues import benjamini_hochberg, beta_regularized, chi2_tail, gamma_upper, spearman_tail
-from attesta.operators import association
+from attesta.operators import pairs
 from attesta.operators.discover import Config, discover
 from attesta.operators.ordered import running_total, with_previous
 from attesta.operators.verify import add_finding, verify
+from attesta.plans import discovery_sql
 from attesta.session import Claim
 
 
@@ -42,13 +43,80 @@ def test_running_totals(spark):
     assert [prev[v] for v, _ in rows] == [None, *(v for v, _ in rows[:-1])]
 
 
-def test_spearman_like_pandas(spark):
+def plain_outcome(df, test, a, b, min_rows=20, min_group=5):
+    """(n, statistic) of a probe over a pandas frame, from the definitions; no statistic if data are insufficient."""
+    d = df[[a, b]].dropna()
+    if test == "spearman":
+        enough = len(d) >= min_rows and d[a].nunique() > 1 and d[b].nunique() > 1
+        return len(d), d[a].rank().corr(d[b].rank()) if enough else None
+    if test == "kruskal":
+        d = d.groupby(b).filter(lambda g: len(g) >= min_group)
+        n, groups = len(d), d[b].nunique()
+        if groups < 2 or n < min_rows or d[a].nunique() < 2:
+            return n, None
+        r = d[a].rank()
+        h = 12 / (n * (n + 1)) * (r.groupby(d[b]).sum() ** 2 / d.groupby(b).size()).sum() - 3 * (n + 1)
+        t = d[a].value_counts()
+        return n, h / (1 - (t**3 - t).sum() / (n**3 - n))
+    o = pd.crosstab(d[a], d[b]).to_numpy(float)
+    if min(o.shape, default=0) < 2 or len(d) < min_rows:
+        return len(d), None
+    e = o.sum(1, keepdims=True) @ o.sum(0, keepdims=True) / o.sum()
+    gap = abs(o - e)
+    return len(d), ((gap - (np.minimum(0.5, gap) if o.shape == (2, 2) else 0)) ** 2 / e).sum()
+
+
+@pytest.fixture(scope="module")
+def gappy():
+    """Ties, nulls in different rows of each column, small and absent groups, a constant and an empty column."""
     r = np.random.default_rng(4)
     x = r.integers(0, 12, 400).astype(float)
     y = x + r.integers(0, 9, 400)
-    y[:5] = np.nan
-    row = association.spearman(frame(spark, x=x, y=y), "x", "y").first()
-    assert (row.n, row.rho) == (395, pytest.approx(pd.Series(x[5:]).rank().corr(pd.Series(y[5:]).rank())))
+    z = np.round(r.normal(size=400), 1)
+    y[r.random(400) < 0.2] = np.nan
+    z[:30] = np.nan
+    g = np.array(["a", "b", "c"], dtype=object)[r.integers(0, 3, 400)]
+    g[:3], g[3:40] = "tiny", None
+    h = np.where(r.random(400) < 0.3 + x / 30, "p", "q").astype(object)
+    lone = np.array([None] * 395 + ["u"] * 5, dtype=object)
+    return pd.DataFrame({"x": x, "y": y, "z": z, "k": 1.0, "void": np.nan, "g": g, "h": h, "lone": lone})
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_all_pairs_like_pandas(spark, gappy, monkeypatch, most):
+    """Both ways to look up ranks: joined by value and put together by row, or broadcast."""
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", most)
+    numbers, groups = ["x", "y", "z", "k", "void"], ["g", "h", "lone"]
+    df = spark.createDataFrame(gappy.astype(object).where(gappy.notna(), None), "x double, y double, z double, k double, void double, g string, h string, lone string").repartition(3)
+    probes = discovery_sql.probes_of(numbers, groups)
+    for p, o in zip(probes, pairs.outcomes(df, probes), strict=True):
+        n, want = plain_outcome(gappy, *p)
+        assert (o.n, o.statistic) == (n, None if want is None else pytest.approx(want, abs=1e-9)), p
+    assert pairs.outcomes(df.limit(0), probes) == [pairs.Outcome(0)] * len(probes)
+
+
+def test_names_of_any_kind(spark):
+    df = spark.range(60).selectExpr("id `a.b`", "id * id `c``d`", "if(id % 3 = 0, 'x', 'y') `e f`", "if(id > 30, 'u', 'v') g")
+    found = discover(df).judged
+    assert len(found) == 6 and found[0].outcome.statistic == pytest.approx(1) and found[0].columns == ("a.b", "c`d")
+
+
+def test_scans_do_not_grow_with_pairs(spark, tmp_path):
+    """Six numbers and three groups: 36 probes from one read of the table."""
+    spark.range(500).selectExpr(*(f"(id * {k + 3}) % 101 n{k}" for k in range(6)), *(f"cast(id % {k + 2} as string) g{k}" for k in range(3))).write.parquet(str(tmp_path / "t"))
+    reads = []
+    real = pairs.storage.written
+    df = spark.read.parquet(str(tmp_path / "t"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pairs.storage, "written", lambda d, name: reads.append((name, str(tmp_path) in d._jdf.queryExecution().optimizedPlan().toString() or any(str(tmp_path) in f for f in d.inputFiles()))) or real(d, name))
+        assert len(pairs.outcomes(df, discovery_sql.probes_of([f"n{k}" for k in range(6)], [f"g{k}" for k in range(3)]))) == 36
+    assert [n for n, source in reads if source] == ["pair_cells"]
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_CELLS", 50)
+    with pytest.raises(ValueError, match="too many values"):
+        pairs.outcomes(spark.range(100).selectExpr("double(id) x", "string(id) g"), [("kruskal", "x", "g")])
 
 
 def test_surfaced_and_silent(spark, session):
@@ -67,14 +135,6 @@ def test_surfaced_and_silent(spark, session):
     assert noise.ledger.run == 6 and noise.ledger.surfaced == 0
 
 
-def test_yates_for_two_by_two(spark):
-    a = ["p"] * 30 + ["q"] * 30
-    b = ["u"] * 20 + ["v"] * 10 + ["u"] * 8 + ["v"] * 22
-    row = association.chi_square(frame(spark, a=a, b=b), "a", "b").first()
-    o, e = np.array([[20, 10], [8, 22]]), np.array([[14.0, 16.0], [14.0, 16.0]])
-    assert row.chi2 == pytest.approx(((abs(o - e) - 0.5) ** 2 / e).sum())
-
-
 def test_ledger(spark):
     r = np.random.default_rng(9)
     df = frame(spark, **{f"c{i}": r.normal(size=120) for i in range(6)})

@@ -1,9 +1,9 @@
 import pytest
 
 from attesta.functions.textsafe import cell_text, cut_bytes, sanitize
-from attesta.operators.verify import check_claim, is_backed
+from attesta.operators.verify import verify_many
 from attesta.pysandbox import UnsafePython, check_python
-from attesta.session import Claim, Session, UnknownArtifact
+from attesta.session import Claim, Finding, Session, UnknownArtifact
 from attesta.sqlgate import UnsafeSql, check_sql
 from attesta.tools import Tools
 
@@ -40,27 +40,36 @@ def test_worked_example(tools):
 
 def test_claims(tools):
     r = tools.run_sql(f"SELECT region, count(*) AS n, avg(revenue) AS m, CAST(1.5 AS DECIMAL(3,1)) AS d, '42' AS t, CAST(NULL AS INT) AS e, true AS b, double('inf') AS i FROM {tools.id} GROUP BY region")
-    check = lambda column, value, where=None, artifact=r["artifact_id"]: check_claim(tools.session, Claim("", artifact, column, value, where or {}))
-    west = {"region": "west"}
-    for column, value in (("n", 3), ("d", 1.5), ("t", 42), ("m", 230 / 3)):
-        assert check(column, value, west).ok
-    assert check("n", 3, {"m": repr(230 / 3)}).ok
-    for claim, reason in [
-        (check("n", 4, west), "claimed 4"),
-        (check("n", 3), "got 2"),
-        (check("n", 3, {"region": "north"}), "got 0"),
-        (check("x", 3, west), "unknown column"),
-        (check("n", 3, west, "art_none"), "no artifact"),
-        (check("region", 3, west), "not numeric"),
-        (check("e", 3, west), "not numeric"),
-        (check("b", 1, west), "not numeric"),
-        (check("i", 1, west), "not numeric"),
-    ]:
-        assert not claim.ok and reason in claim.reason
     failed = tools.run_sql("SELECT 1/0 AS x")
     assert failed["status"] == "error" and "DIVIDE_BY_ZERO" in failed["error"]
-    assert "no tabular result" in check("x", 1, None, failed["artifact_id"]).reason
-    assert is_backed("9.58", [9.583333]) and is_backed("$1,200.5", [1200.5]) and not is_backed("99%", [6.0])
+    claim = lambda column, value, where=None, artifact=r["artifact_id"]: Claim("", artifact, column, value, where or {})
+    west = {"region": "west"}
+    cases = [
+        (claim("n", 3, west), ""),
+        (claim("d", 1.5, west), ""),
+        (claim("t", 42, west), ""),
+        (claim("m", 230 / 3, west), ""),
+        (claim("n", 3, {"m": repr(230 / 3)}), ""),
+        (claim("n", 3, {"m": repr(230 / 3), **west}), ""),
+        (claim("n", 4, west), "claimed 4.0 but artifact cell is 3.0"),
+        (claim("n", 3), "expected exactly 1 matching row, got 2"),
+        (claim("n", 3, {"region": "north"}), "expected exactly 1 matching row, got 0"),
+        (claim("n", 3, {"e": "None"}), "expected exactly 1 matching row, got 0"),
+        (claim("x", 3, {"y": "1", **west}), "unknown column(s): x, y"),
+        (claim("n", 3, west, "art_none"), "no artifact 'art_none'"),
+        (claim("region", 3, west), "cell value 'west' is not numeric"),
+        (claim("e", 3, west), "cell value None is not numeric"),
+        (claim("b", 1, west), "cell value True is not numeric"),
+        (claim("i", 1, west), "cell value inf is not numeric"),
+        (claim("x", 1, None, failed["artifact_id"]), "artifact has no tabular result"),
+    ]
+    # one finding each, and one with all: the same verdicts in the same few jobs
+    findings = [Finding(f"f{k}", "see claims", "", [c]) for k, (c, _) in enumerate(cases)] + [Finding("all", "3 of $1,200.5 and 99%, 9.58 and -76.7", "", [c for c, _ in cases] + [claim("n", 9.583333)])]
+    *each, every = verify_many(tools.session, findings)
+    assert [v.checks[0].reason for v in each] == [c.reason for c in every.checks[:-1]] == [reason for _, reason in cases]
+    assert [v.verified for v in each] == [not reason for _, reason in cases] and not every.verified
+    assert every.unbacked == ["$1,200.5", "99%", "-76.7"] and each[0].checks[0].actual == 3.0
+    assert verify_many(tools.session, [Finding("none", "nothing to prove")])[0].verified
 
 
 @pytest.mark.parametrize("sql", ["SELECT 1 AS n", "WITH a AS (SELECT 1 AS n) SELECT n FROM a", "SELECT count(*) FROM (SELECT 1)", "SELECT 'O''Brien' AS \"a\"\"b\"", "SELECT 1 UNION ALL SELECT 2", "SELECT 1;"])
