@@ -117,6 +117,12 @@ def values_at(counts: DataFrame, places: dict[int, list[int]]) -> dict[tuple[int
     x = number()
     finite = counts.where(~F.isnan(x) & (F.abs(x) < float("inf")))
     wanted = F.broadcast(spark.createDataFrame(asked, "col int, places array<long>"))
-    at, end = F.col("before_n"), F.col("before_n") + F.col("n")
-    hits = with_sums_before(finite, ["n"]).join(wanted, "col").select("col", x.alias("x"), F.explode(F.filter("places", lambda p: (at <= p) & (p < end))).alias("place"))
-    return {(r.col, r.place): r.x for r in hits.collect()}
+    # the ranges of a column that hold a place, and what comes before them
+    sums = finite.groupBy("col", "_range").agg(F.sum("n").alias("rows"))
+    earlier = W.partitionBy("col").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    based = sums.withColumn("base", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).join(wanted, "col")
+    held = based.select("col", "_range", "base", F.filter("places", lambda p: (F.col("base") <= p) & (p < F.col("base") + F.col("rows"))).alias("places")).where(F.size("places") > 0)
+    inside = W.partitionBy("col", "_range").orderBy("_mid").rowsBetween(W.unboundedPreceding, -1)
+    rows = finite.join(F.broadcast(held), ["col", "_range"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    found = rows.select("col", x.alias("x"), F.explode(F.filter("places", lambda p: (F.col("at") <= p) & (p < F.col("at") + F.col("n")))).alias("place"))
+    return {(r.col, r.place): r.x for r in found.collect()}

@@ -27,8 +27,8 @@ from .frequencies import ranged, with_sums_before
 
 MIN_ROWS = 20
 MIN_GROUP = 5
-#: Distinct values that have ranks, up to which they are broadcast column by column.
-BROADCAST_ROWS = 500_000
+#: Distinct values of ranked columns, in all, that are broadcast.
+BROADCAST_ROWS = 200_000
 #: Rows of group sizes and cells of contingency tables, in all, that may come to the driver.
 MOST_CELLS = 1_000_000
 
@@ -72,23 +72,40 @@ def _g(i: int) -> Column:
     return F.col(f"g_{i}")
 
 
-def _tally(cells: DataFrame, probes: list[Probe], at: dict[str, int], n_ranked: int) -> dict[tuple[int, str | None, str | None], int]:
-    """Counts of complete rows: of each ranked column (as probe -1, -2, ...), pair, group and cell, in one grouping."""
+def _tally(cells: DataFrame, probes: list[Probe], n_ranked: int) -> tuple[list[int], list[dict[tuple[str | None, str | None], int]]]:
+    """(values of each ranked column, for each probe its complete rows by group or cell).
+
+    Numbers that lack no value have as many rows as each other; pairs of others are counted together, and so are groups.
+    """
+    size, whole = [], []
+    if n_ranked:
+        rows, *size = cells.agg(F.count("*"), *(F.count(_x(i)) for i in range(n_ranked))).first()
+        whole = [n == rows for n in size]
+    found: list[dict] = [{} for _ in probes]
+    both, entries = [], []
     none = F.lit(None).cast("string")
-    entry = lambda p, ok, x=none, y=none: F.when(ok, F.struct(F.lit(p).alias("p"), x.alias("x"), y.alias("y")))
-    out = [entry(-1 - i, _x(i).isNotNull()) for i in range(n_ranked)]
+    entry = lambda p, ok, x, y=none: F.when(ok, F.struct(F.lit(p).alias("p"), x.alias("x"), y.alias("y")))
     for p, (test, a, b) in enumerate(probes):
         if test == "spearman":
-            out.append(entry(p, _x(at[a]).isNotNull() & _x(at[b]).isNotNull()))
+            if whole[a] or whole[b]:
+                found[p] = {(None, None): size[b] if whole[a] else size[a]}
+            else:
+                both.append(F.count_if(_x(a).isNotNull() & _x(b).isNotNull()).alias(f"p_{p}"))
         elif test == "kruskal":
-            out.append(entry(p, _x(at[a]).isNotNull() & _g(at[b]).isNotNull(), _g(at[b])))
+            entries.append(entry(p, _x(a).isNotNull() & _g(b).isNotNull(), _g(b)))
         else:
-            out.append(entry(p, _g(at[a]).isNotNull() & _g(at[b]).isNotNull(), _g(at[a]), _g(at[b])))
-    counts = cells.select(F.explode(F.array_compact(F.array(*out))).alias("e")).groupBy("e").agg(F.count("*").alias("n")).select("e.*", "n")
-    found = counts.limit(MOST_CELLS + 1).collect()
-    if len(found) > MOST_CELLS:
-        raise ValueError(f"grouping columns have too many values: more than {MOST_CELLS} groups and cells in all")
-    return {(r.p, r.x, r.y): r.n for r in found}
+            entries.append(entry(p, _g(a).isNotNull() & _g(b).isNotNull(), _g(a), _g(b)))
+    if both:
+        for name, n in cells.agg(*both).first().asDict().items():
+            found[int(name[2:])] = {(None, None): n}
+    if entries:
+        counts = cells.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.p", "e.x", "e.y").agg(F.count("*").alias("n"))
+        rows = counts.limit(MOST_CELLS + 1).collect()
+        if len(rows) > MOST_CELLS:
+            raise ValueError(f"grouping columns have too many values: more than {MOST_CELLS} groups and cells in all")
+        for r in rows:
+            found[r.p][r.x, r.y] = r.n
+    return size, found
 
 
 def _ranks(cells: DataFrame, conditions: list[list[Column]]) -> DataFrame:
@@ -101,25 +118,33 @@ def _ranks(cells: DataFrame, conditions: list[list[Column]]) -> DataFrame:
     return with_sums_before(ranged(sums, ["col", "v"], "pair_values"), [f"w_{k}" for k in range(most)])
 
 
-def _with_ranks(cells: DataFrame, ranks: DataFrame, n_ranked: int, groups: list[str]) -> DataFrame:
+def _with_ranks(cells: DataFrame, ranks: DataFrame, distinct: list[int], groups: list[str]) -> DataFrame:
     """(r_0, ..., g_0, ...): the arrays of centred ranks of each row's values, and its groups.
 
-    Few distinct values are looked up where the rows are. Else all values of all columns are joined at once, and a row's
-    are put together again by its number.
+    Columns of few distinct values, in all, are looked up where the rows are. Of the others, one is joined by its value;
+    the values of more are joined at once, and a row's are put together again by its number.
     """
-    if ranks.count() <= BROADCAST_ROWS:
-        for i in range(n_ranked):
-            own = ranks.where(F.col("col") == i).select(F.col("v").alias(f"x_{i}"), F.col("d").alias(f"r_{i}"))
-            cells = cells.join(F.broadcast(own), f"x_{i}", "left")
-        return cells.select(*(f"r_{i}" for i in range(n_ranked)), *groups)
-    each = F.array(*(F.struct(F.lit(i).alias("col"), _x(i).alias("v")) for i in range(n_ranked)))
+    few, held = [], 0
+    for i in sorted(range(len(distinct)), key=lambda i: distinct[i]):
+        held += distinct[i]
+        if held <= BROADCAST_ROWS:
+            few.append(i)
+    many = [i for i in range(len(distinct)) if i not in few]
+    of = lambda i: ranks.where(F.col("col") == i).select(F.col("v").alias(f"x_{i}"), F.col("d").alias(f"r_{i}"))
+    for i in few:
+        cells = cells.join(F.broadcast(of(i)), f"x_{i}", "left")
+    kept = [*(f"r_{i}" for i in few), *groups]
+    if len(many) <= 1:
+        for i in many:
+            cells = cells.join(of(i), f"x_{i}", "left")
+        return cells.select(*(f"r_{i}" for i in range(len(distinct))), *groups)
+    each = F.array(*(F.struct(F.lit(i).alias("col"), _x(i).alias("v")) for i in many))
     values = cells.select("row", F.explode(each).alias("e")).select("row", "e.*").where("v is not null")
-    met = values.join(ranks.select("col", "v", "d"), ["col", "v"]).select("row", "col", "d")
-    parts = met
-    if groups:
-        parts = met.unionByName(cells.select("row", F.lit(-1).alias("col"), F.lit(None).cast("array<double>").alias("d"), *groups), allowMissingColumns=True)
-    by_row = [F.first(F.when(F.col("col") == i, F.col("d")), ignorenulls=True).alias(f"r_{i}") for i in range(n_ranked)]
-    return parts.groupBy("row").agg(*by_row, *(F.first(g, ignorenulls=True).alias(g) for g in groups)).drop("row")
+    parts = values.join(ranks.select("col", "v", "d"), ["col", "v"]).select("row", "col", "d")
+    if kept:
+        parts = parts.unionByName(cells.select("row", F.lit(-1).alias("col"), *kept), allowMissingColumns=True)
+    by_row = [F.first(F.when(F.col("col") == i, F.col("d")), ignorenulls=True).alias(f"r_{i}") for i in many]
+    return parts.groupBy("row").agg(*by_row, *(F.first(k, ignorenulls=True).alias(k) for k in kept)).drop("row")
 
 
 def outcomes(df: DataFrame, probes: list[Probe], *, min_rows: int = MIN_ROWS, min_group: int = MIN_GROUP) -> list[Outcome]:
@@ -134,15 +159,12 @@ def outcomes(df: DataFrame, probes: list[Probe], *, min_rows: int = MIN_ROWS, mi
     at = {n: i for i, n in enumerate(ranked)}
     place = lambda n, test, right: grouping.index(n) if test == "chi_square" or right and test == "kruskal" else at[n]
     asked = [(test, place(a, test, False), place(b, test, True)) for test, a, b in probes]
-    own = {i: i for i in range(max(len(ranked), len(grouping)))}
     groups = [f"g_{i}" for i in range(len(grouping))]
     columns = [*(number(df, n).alias(f"x_{i}") for i, n in enumerate(ranked)), *(_group(df, n).alias(f"g_{i}") for i, n in enumerate(grouping))]
-    cells = storage.written(df.select(*columns).withColumn("row", F.monotonically_increasing_id()), "pair_cells")
-    tally = _tally(cells, asked, own, len(ranked))
-    of_probe: dict[int, dict[tuple[str | None, str | None], int]] = {}
-    for (p, x, y), n in tally.items():
-        of_probe.setdefault(p, {})[x, y] = n
-    size = {i: tally.get((-1 - i, None, None), 0) for i in range(len(ranked))}
+    cells = df.select(*columns)
+    if ranked:
+        cells = storage.written(cells.withColumn("row", F.monotonically_increasing_id()), "pair_cells")
+    size, of_probe = _tally(cells, asked, len(ranked))
 
     # for each ranked column its conditions, and how many rows each has; for each probe the condition that it is judged under
     conditions = [[F.lit(True)] for _ in ranked]
@@ -151,7 +173,7 @@ def outcomes(df: DataFrame, probes: list[Probe], *, min_rows: int = MIN_ROWS, mi
     retained: dict[int, dict[str, int]] = {}
     known: dict[tuple[int, str, int], int] = {}
     for p, (test, a, b) in enumerate(asked):
-        found = of_probe.get(p, {})
+        found = of_probe[p]
         if test == "spearman":
             n = sum(found.values())
             for mine, other in ((a, b), (b, a)):
@@ -181,10 +203,12 @@ def outcomes(df: DataFrame, probes: list[Probe], *, min_rows: int = MIN_ROWS, mi
         ranks = storage.written(ranks, "pair_ranks")
         cube = lambda w: w * w * w - w
         each = [f for k in range(most) for f in (F.sum(F.col(f"w_{k}") * F.pow(F.get("d", F.lit(k)), F.lit(2))).alias(f"s_{k}"), F.sum(cube(F.col(f"w_{k}").cast("double"))).alias(f"t_{k}"))]
-        for r in ranks.groupBy("col").agg(*each).collect():
+        distinct = [0] * len(ranked)
+        for r in ranks.groupBy("col").agg(F.count("*").alias("distinct"), *each).collect():
+            distinct[r.col] = r.distinct
             for k in range(most):
                 spread[r.col, k] = r[f"s_{k}"], r[f"t_{k}"]
-        rows = _with_ranks(cells, ranks, len(ranked), groups)
+        rows = _with_ranks(cells, ranks, distinct, groups)
         entries = []
         for p, (test, a, b) in enumerate(asked):
             if test == "chi_square":
@@ -205,12 +229,12 @@ def outcomes(df: DataFrame, probes: list[Probe], *, min_rows: int = MIN_ROWS, mi
     out = []
     for p, (test, a, b) in enumerate(asked):
         if test == "spearman":
-            n = sum(of_probe.get(p, {}).values())
+            n = sum(of_probe[p].values())
             out.append(_spearman(n, sums.get((p, None), 0.0), spread.get((a, under[p, a]), (0.0, 0.0))[0], spread.get((b, under[p, b]), (0.0, 0.0))[0], min_rows))
         elif test == "kruskal":
             out.append(_kruskal({x: (n, sums.get((p, x), 0.0)) for x, n in retained[p].items()}, spread.get((a, under[p, a]), (0.0, 0.0))[1], min_rows))
         else:
-            out.append(_chi_square(of_probe.get(p, {}), min_rows))
+            out.append(_chi_square(of_probe[p], min_rows))
     return out
 
 

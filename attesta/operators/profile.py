@@ -157,17 +157,21 @@ def profile(df: DataFrame, dataset_id: str = "", name: str = "", original_names:
     kinds = [f.dataType for f in df.schema]
     texts = [i for i, k in enumerate(kinds) if kind_of(k) == "text"]
     counts = value_counts(df, df.columns)
-    found = {r.col: r for r in summaries(counts, texts).collect()}
     tops: dict[int, list[tuple[str, int]]] = {}
     text = lambda i, cell: None if (x := value_of(kinds[i], cell)) is None else cut("nan" if x != x else x)
-    for r in most_frequent(counts, TOP).orderBy("col", "place").collect():
-        tops.setdefault(r.col, []).append((text(r.col, r), r.n))
+    with ThreadPoolExecutor(2) as pool:
+        asked = pool.submit(most_frequent(counts, TOP).orderBy("col", "place").collect)
+        found = {r.col: r for r in summaries(counts, texts).collect()}
+        for r in asked.result():
+            tops.setdefault(r.col, []).append((text(r.col, r), r.n))
     finite = {i: found[i].finite for i, k in enumerate(kinds) if i in found and kind_of(k) == "numeric" and found[i].finite}
     at = {i: [q * (n - 1) for q in QUANTILES] for i, n in finite.items()}
-    placed = values_at(counts, {i: [f(a) for a in own for f in (math.floor, math.ceil)] for i, own in at.items()})
-    between = lambda i, a: placed[i, math.floor(a)] + (placed[i, math.ceil(a)] - placed[i, math.floor(a)]) * (a - math.floor(a))
     means = {i: found[i].total / n for i, n in finite.items()}
-    off = deviations(counts, means)
+    with ThreadPoolExecutor(2) as pool:
+        asked = pool.submit(deviations, counts, means)
+        placed = values_at(counts, {i: [f(a) for a in own for f in (math.floor, math.ceil)] for i, own in at.items()})
+        off = asked.result()
+    between = lambda i, a: placed[i, math.floor(a)] + (placed[i, math.ceil(a)] - placed[i, math.floor(a)]) * (a - math.floor(a))
 
     rows = max((r.rows for r in found.values()), default=0)
     columns = []

@@ -46,7 +46,7 @@ def profile_basics(spark, sf_dir):
 def profile_numbers(spark, sf_dir):
     """The same profile's statistics of numbers."""
     report = profile.profile(table(spark, sf_dir, "lineitem").select(*NUMBERS))
-    rows = [(c.name, *(round(x, 6) for x in (c.numeric.mean, c.numeric.median, c.numeric.std, c.numeric.p5, c.numeric.p95))) for c in report.columns]
+    rows = [(c.name, *(round(x, 9) for x in (c.numeric.mean, c.numeric.median, c.numeric.std, c.numeric.p5, c.numeric.p95))) for c in report.columns]
     return spark.createDataFrame(rows, "column string, mean double, median double, std double, p5 double, p95 double")
 
 
@@ -256,8 +256,8 @@ _OWN = {
     "profile_numeric_stats_lineitem": (
         profile_numbers,
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, "
-            f"round(quantile_cont({c}, 0.05), 6) AS p5, round(quantile_cont({c}, 0.95), 6) AS p95 FROM lineitem WHERE isfinite({c})"
+            f"SELECT '{c}' AS \"column\", round(avg({c}), 9) AS mean, round(median({c}), 9) AS median, round(stddev_samp({c}), 9) AS std, "
+            f"round(quantile_cont({c}, 0.05), 9) AS p5, round(quantile_cont({c}, 0.95), 9) AS p95 FROM lineitem WHERE isfinite({c})"
             for c in NUMBERS
         ),
     ),

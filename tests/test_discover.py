@@ -82,9 +82,9 @@ def gappy():
     return pd.DataFrame({"x": x, "y": y, "z": z, "k": 1.0, "void": np.nan, "g": g, "h": h, "lone": lone})
 
 
-@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("most", [0, 120, 10**6])
 def test_all_pairs_like_pandas(spark, gappy, monkeypatch, most):
-    """Both ways to look up ranks: joined by value and put together by row, or broadcast."""
+    """All ways to look up ranks: joined by value and put together by row, some of them or all broadcast."""
     monkeypatch.setattr(pairs, "BROADCAST_ROWS", most)
     numbers, groups = ["x", "y", "z", "k", "void"], ["g", "h", "lone"]
     df = spark.createDataFrame(gappy.astype(object).where(gappy.notna(), None), "x double, y double, z double, k double, void double, g string, h string, lone string").repartition(3)
