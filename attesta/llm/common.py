@@ -9,7 +9,6 @@ import gc
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..sources.names import quoted
+from ..storage import discard, shared_folder
+
+__all__ = ["discard", "shared_folder"]
+
 #: A word is a maximal run of code points other than space, tab and the line controls.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -30,34 +35,31 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="attesta-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+_made: list[list[DataFrame]] = []
+
+
+def column(name: str) -> Column:
+    """A column of any name, with dots and backticks too."""
+    return F.col(quoted(name))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attesta/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._attesta_path = path
+    out = storage.written(df, name)
+    for made in _made:
+        made.append(out)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of written() which nothing will read again."""
-    for df in tables:
-        path = getattr(df, "_attesta_path", None)
-        if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+@contextlib.contextmanager
+def intermediate() -> Iterator[list[DataFrame]]:
+    """A list of all tables that written() makes in this block, for discard() once nothing reads them any more."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
 
 
 def release(spark: SparkSession) -> None:

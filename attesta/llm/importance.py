@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freed, numbered, ship, written
+from .common import column, documents, freed, numbered, ship, written
 
 BUCKETS = 10_000
 LONGEST = 1
@@ -121,7 +121,7 @@ def count_matrix(rows: DataFrame, *, id_col: str | None = "doc_id", text_col: st
             ]
             yield pa.RecordBatch.from_arrays(one, names=["ids", "words", "features", "pointers", "indices", "counts"])
 
-    chosen = rows.select((F.col(id_col) if id_col else F.lit(None).cast("long")).alias("ids"), F.col(text_col).cast("binary").alias("text"))
+    chosen = rows.select((column(id_col) if id_col else F.lit(None).cast("long")).alias("ids"), column(text_col).cast("binary").alias("text"))
     return chosen.mapInArrow(lambda b: freed(blocks(b)), schema)
 
 

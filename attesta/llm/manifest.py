@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, numbered, pieces_for, shared_folder, ship, small, written
+from .common import column, documents, numbered, pieces_for, shared_folder, ship, small, written
 from .importance import CRC_TABLE, crc_sql
 
 FANOUT_BITS = 3
@@ -247,9 +247,8 @@ def build_manifest(
     hashed play no role. An empty table has no root.
     """
     spark = docs.sparkSession
-    tick = lambda c: F.col(f"`{c.replace('`', '``')}`")
-    tree = F.coalesce(F.concat(F.lit("v"), tick(tree_col).cast("string")), F.lit(""))
-    rows = docs.select(tree.alias("tree"), tick(id_col).alias("id"), leaf_of([tick(c) for c in columns]).alias("digest"), (F.lit(None).cast("string") if claimed is None else claimed).alias("claimed"))
+    tree = F.coalesce(F.concat(F.lit("v"), column(tree_col).cast("string")), F.lit(""))
+    rows = docs.select(tree.alias("tree"), column(id_col).alias("id"), leaf_of([column(c) for c in columns]).alias("digest"), (F.lit(None).cast("string") if claimed is None else claimed).alias("claimed"))
     rows = written(rows, "merkle_leaves")
     order = [F.col("tree").asc(), F.col("id").asc_nulls_first(), F.col("digest").asc()]
     placed = numbered(rows, order, "merkle_order", group=("tree",), rows_per_range=rows_per_range).withColumnRenamed("nth", "pos")

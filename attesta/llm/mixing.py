@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, documents, pieces_for, text_of, written
+from .common import GAP, WORD, column, documents, pieces_for, text_of, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -103,7 +103,7 @@ def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_
     cuts = tied.groupBy("s_null", "s_val").agg(F.first("epochs").alias("epochs"), at_cut.alias("cut"))
     cuts = written(cuts, "mix_cuts")
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.struct(*(column(c) for c in docs.columns)).alias("row"),
         F.col(source_col).isNull().alias("s_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s_val"),
         F.struct(_key(id_col, text_col, seed).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), _size(text_col).alias("size")).alias("place"),
@@ -114,7 +114,7 @@ def take_mix(docs: DataFrame, *, seed: str = SEED, id_col: str = "doc_id", text_
     if cuts.where("cut.rows > 1").isEmpty():
         rows = rows.withColumn("part", part)
     else:
-        nth = F.row_number().over(W.partitionBy("s_null", "s_val").orderBy(F.lit(0))) - 1
+        nth = F.row_number().over(W.partitionBy("s_null", "s_val").orderBy(F.xxhash64(F.to_json("row")))) - 1
         size = F.col("place.size")
         again = rows.where(same).withColumn("part", F.greatest(F.lit(0), F.least(size, F.col("cut.extra") - nth * size)))
         rows = rows.where(~same).withColumn("part", part).unionByName(again)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, freed, release, ship, written
+from .common import column, discard, documents, freed, release, ship, written
 from .components import components
 
 WORDS = 5
@@ -575,8 +575,8 @@ def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = docs.join(gone, same, "left_anti")
     n = found.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(LOWEST))).alias("ids")).first()
     if n.rows > n.ids:
-        one = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        row = F.struct(*(column(c) for c in docs.columns))
+        one = W.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.xxhash64(F.to_json(row)))
         out = out.select(row.alias("row"), F.row_number().over(one).alias("k")).where("k = 1").select("row.*")
     return out
 

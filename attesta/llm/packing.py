@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, freed, pieces_for, ship, written
+from .common import column, documents, freed, pieces_for, ship, written
 
 CAPACITY = 2048
 END = 0
@@ -212,7 +212,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     cuts = written(source.mapInArrow(_tokenize(vocabulary, capacity), PIECE), "pieces")
     short = cuts.where(F.col("length") < capacity)
     state = short.agg(F.count("*").alias("n"), F.min("length").alias("least")).first()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small, written
+from .common import column, documents, small, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words of a local part or a number are taken from their first character on, or from the end of the match before, so that
@@ -196,13 +196,12 @@ def personal_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text is empty; empty texts have no spans; equal texts have equal ones, and copies of a text count once. A null or
     repeated id is a value like others. Empty tables give no rows; other columns of docs play no role.
     """
-    tick = lambda c: F.col(f"`{c.replace('`', '``')}`")
-    source = docs.select(tick(id_col).alias("doc_id"), F.coalesce(tick(text_col), F.lit("")).alias("_text"))
+    source = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("_text"))
     rows = with_base_spans(source, "_text")
     rows = rows.select("doc_id", "_text", _span_list({k: F.col(f"_{k}") for k in KINDS}).alias("base"))
     rows = with_contexts(rows, "_text", F.size("base") > 0)
     rows = written(rows.select("doc_id", _key(F.col("_text")).alias("key"), "base", F.col("_contexts").alias("contexts")), "pii_rows")
-    texts = docs.select(F.coalesce(tick(text_col), F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
+    texts = docs.select(F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
     terms, places = disclosing_terms(rows, texts, support=support, generalise=generalise)
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if terms.isEmpty():
@@ -226,11 +225,10 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Overlapping spans become one, with the mark of the first. A null text stays null; all other columns, of any name, stay
     as they are (a count of characters too). Texts are joined with what was found in them by their hash.
     """
-    tick = lambda c: F.col(f"`{c.replace('`', '``')}`")
     spans = personal_spans(docs, id_col=id_col, text_col=text_col, **options)
     spans = spans.where("size(base) > 0 or size(terms) > 0").groupBy("key").agg(F.first(F.concat("base", "terms")).alias("spans"))
     spans = written(spans, "pii_spans")
-    rows = docs.select(F.struct(*map(tick, docs.columns)).alias("row"), tick(text_col).alias("text")).withColumn("key", _key(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(text_col).alias("text")).withColumn("key", _key(F.coalesce("text", F.lit(""))))
     rows = rows.join(small(spans), "key", "left")
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     rows = rows.select("row", "text", ordered.alias("spans"))

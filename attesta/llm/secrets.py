@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, freed, ship, written
+from .common import column, documents, freed, ship, written
 
 KINDS = ("assign", "access", "hex", "random")
 #: kind, pattern, group whose length counts, least length; fixed values.
@@ -111,7 +111,7 @@ def _pairs(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_ordinary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """costs() of neighbours in all texts; the table that comes to the driver has one row a pair of characters."""
     ship(docs.sparkSession)
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_pairs, "pair int, n long")
+    counted = docs.select(column(text_col).alias("text")).mapInArrow(_pairs, "pair int, n long")
     pairs = np.zeros(_WIDTH * _WIDTH)
     for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r.pair] = r.n
@@ -234,7 +234,7 @@ def _scanner(cost: np.ndarray):
 
 def scanned(docs: DataFrame, key: Column, cost: np.ndarray, text_col: str) -> DataFrame:
     """(key, base, tried) of each row; key is a long."""
-    return docs.select(key.cast("long").alias("key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_scanner(cost), SCANNED)
+    return docs.select(key.cast("long").alias("key"), column(text_col).alias("text")).mapInArrow(_scanner(cost), SCANNED)
 
 
 def step(p: float) -> int:
@@ -291,7 +291,7 @@ def find_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, id_col:
     between the scan and the control of false discoveries.
     """
     cost = fit_ordinary(docs, text_col)
-    found = written(scanned(docs, F.col(f"`{id_col}`"), cost, text_col), "secret_spans")
+    found = written(scanned(docs, column(id_col), cost, text_col), "secret_spans")
     least = thresholds(found, rate)
     return found.select(F.col("key").alias("doc_id"), "base", spans_of(least).alias("spans"), F.size(accepted(least, True)).cast("long").alias("n_proven"))
 
@@ -336,7 +336,10 @@ def redact_secrets(docs: DataFrame, *, rate: float = FALSE_DISCOVERY_RATE, mark:
     """
     cost = fit_ordinary(docs, text_col)
     least = thresholds(scanned(docs, F.lit(0), cost, text_col), rate)
-    return docs.mapInArrow(_redactor(cost, least, mark, docs.columns.index(text_col), [k for k, c in enumerate(docs.columns) if c == "n_chars"]), docs.schema)
+    # names of any kind don't pass through Arrow's schema, places do
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    work = _redactor(cost, least, mark, docs.columns.index(text_col), [k for k, c in enumerate(docs.columns) if c == "n_chars"])
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def op2_secrets(spark, sf_dir):

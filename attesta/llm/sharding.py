@@ -2,17 +2,16 @@
 
 Equal texts form a group. Groups are hashed to a fixed number of buckets, so what is packed on the driver has a proven
 size: bytes, tokens and rows of each bucket. A group that is too large for that (at most a few hundred can be) becomes
-buckets of its own, split by a hash of the id. Buckets go, largest first, where the dot product of their vector with the
-shard's residual capacity is highest.
+buckets of its own, cut by the place of a row in the group. Buckets go, largest first, where the dot product of their
+vector with the shard's residual capacity is highest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, pieces_for, text_of, written
+from .common import WORD, column, documents, numbered, written
 
 SHARDS = 16
 BUCKETS = 8192
@@ -46,26 +45,27 @@ def shard_documents(
     shards: int = SHARDS,
     buckets: int = BUCKETS,
     fine: int = FINE,
-    rows_per_cell: int = 50_000,
+    rows_per_range: int = 50_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, size, text_crc32, tokens, shard, slot), a row for each row of docs.
 
     Size: UTF-8 bytes of the whole text (null: none) plus 1. Equal texts share a shard unless their group alone is more
-    than 1/fine of a shard, which is then split by a hash of the id. Slots are gapless from 0 in each shard; rows with
-    equal ids are ordered by checksum and size. A null id is a value like others. Empty tables give no rows.
+    than 1/fine of a shard; its rows are then numbered and cut into parts of equal counts, also where they repeat one id or
+    have none. Slots are gapless from 0 in each shard, by id (null first), then checksum and size; rows alike in these are
+    interchangeable. What is packed are buckets of groups, not single groups. Empty tables give no rows; other columns of
+    docs play no role.
     """
     spark = docs.sparkSession
-    text = text_of(text_col)
+    text = F.coalesce(column(text_col), F.lit(""))
     rows = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            column(id_col).alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.xxhash64(text).alias("group_key"),
-            F.xxhash64(F.col(id_col).cast("string"), F.lit("shard")).alias("id_hash"),
         ),
         "shard_rows",
     )
@@ -85,27 +85,24 @@ def shard_documents(
     first, listed = buckets, []
     for g in large:
         parts = min(g.r, int(max(g[k] / limits[k] for k in limits)) + 1)
-        listed.append((g.group_key, first, parts))
+        listed.append((g.group_key, first, parts, g.r))
         first += parts
-    split = F.broadcast(spark.createDataFrame(listed, "group_key long, first_part int, parts int"))
-    rows = rows.join(split, "group_key", "left").withColumn(
-        "bucket",
-        F.coalesce(F.col("first_part") + F.pmod(F.col("id_hash"), F.col("parts")).cast("int"), F.pmod("group_key", F.lit(buckets)).cast("int")),
-    )
+    plain = F.pmod("group_key", F.lit(buckets)).cast("int")
+    if listed:
+        split = F.broadcast(spark.createDataFrame(listed, "group_key long, first_part int, parts int, group_rows long"))
+        order = [F.col("group_key").asc(), F.col("doc_id").asc_nulls_first()]
+        inside = numbered(rows.join(split, "group_key"), order, "shard_groups", group=("group_key",), rows_per_range=rows_per_range)
+        part = F.col("first_part") + F.floor(F.col("nth") * F.col("parts") / F.col("group_rows")).cast("int")
+        columns = ["doc_id", "size", "text_crc32", "tokens"]
+        rows = inside.select(*columns, part.alias("bucket")).unionByName(rows.join(split, "group_key", "left_anti").select(*columns, plain.alias("bucket")))
+    else:
+        rows = rows.withColumn("bucket", plain)
     # at most `first` rows: the fixed buckets and the parts of large groups
     items = [tuple(x) for x in rows.groupBy("bucket").agg(*measures).collect()]
     where = F.broadcast(spark.createDataFrame(sorted(pack_vectors(items, shards).items()), "bucket int, shard int"))
-    cells = pieces_for(total.r, shards * rows_per_cell)
-    rows = rows.join(where, "bucket").withColumn("cell", F.pmod("id_hash", F.lit(cells)).cast("int"))
-    below = (
-        rows.groupBy("shard", "cell")
-        .agg(F.count("*").alias("n"))
-        .withColumn("below", F.sum("n").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    )
-    in_cell = W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
-    return rows.join(below, ["shard", "cell"]).select(
-        "doc_id", "size", "text_crc32", "tokens", "shard", (F.col("below") + F.row_number().over(in_cell) - 1).cast("long").alias("slot")
-    )
+    order = [F.col("shard").asc(), F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
+    placed = written(rows.join(where, "bucket").select("doc_id", "size", "text_crc32", "tokens", "shard"), "sharded_rows")
+    return numbered(placed, order, "shard_slots", group=("shard",), rows_per_range=rows_per_range).withColumnRenamed("nth", "slot")
 
 
 def op5_sharding(spark, sf_dir):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freed, ship
+from .common import column, documents, freed, ship
 
 #: Bound of what is fitted on: labelled rows (the lowest hashes of the id).
 SAMPLE_ROWS = 20_000
@@ -99,7 +99,7 @@ def fit_ordinal(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.nd
 def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in freed(batches):
         words = [[{"word": w, "level": level_of(n)} for w, n in Counter(words_of(t or "")).items()] for t in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, _WORDS)], names=["row", "grade", "words"])
+        yield pa.record_batch([*batch.columns[:2], pa.array(words, _WORDS), *batch.columns[3:]], names=["row", "grade", "words", "id", "text_hash"])
 
 
 def fit_words(hits: np.ndarray, toxic: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,19 +148,25 @@ def fit_toxicity(
 ) -> MODEL:
     """Weights of words and the thresholds, from at most sample_rows labelled documents.
 
-    Labels without a toxic value or id, and documents without labels, play no role; of labels that repeat an id one
-    counts, while rows that repeat an id are each fitted on. Null and empty texts have no words; long ones are read whole;
-    other columns of any name play no role. With no labelled row, empty tables or one class only, no word has a weight and
+    A document is an id with a text: rows that repeat both count once, and if the ids that are drawn have more documents
+    than sample_rows, these are drawn too, by a hash. Labels without a toxic value or id, and documents without labels,
+    play no role; of labels that repeat an id one counts, the toxic one. Null and empty texts have no words; long ones are
+    read whole; other columns of any name play no role. With no labelled row, empty tables or one class only, no word has a weight and
     no document is toxic.
     """
     ship(docs.sparkSession)
-    kept = labels.select(F.col("doc_id").alias("_id"), "toxic").where("toxic is not null and _id is not null").dropDuplicates(["_id"])
+    kept = labels.select(F.col("doc_id").alias("_id"), "toxic").where("toxic is not null and _id is not null").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     chosen = kept.select("_id", (F.col("toxic") != 0).cast("int").alias("grade")).orderBy(F.xxhash64(F.col("_id").cast("long")), "_id").limit(sample_rows)
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).dropna(subset=["_id"])
+    source = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("text")).dropna(subset=["_id"])
     # the sample is at most sample_rows ids and grades
-    sample = source.join(F.broadcast(chosen), "_id").select(F.monotonically_increasing_id().alias("row"), "grade", "text")
-    sample = sample.mapInArrow(_distinct, "row long, grade int, words array<struct<word:string,level:int>>").persist()
+    sample = source.join(F.broadcast(chosen), "_id").select(F.monotonically_increasing_id().alias("row"), "grade", "text", F.col("_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    sample = sample.mapInArrow(_distinct, "row long, grade int, words array<struct<word:string,level:int>>, id long, text_hash long")
+    sample = sample.groupBy("id", "text_hash").agg(F.min("row").alias("row"), F.first("grade").alias("grade"), F.first("words").alias("words")).persist()
+    whole = sample
     try:
+        if whole.count() > sample_rows:
+            keys = whole.select("id", "text_hash").orderBy(F.xxhash64("id", "text_hash"), "id", "text_hash").limit(sample_rows)
+            sample = whole.join(F.broadcast(keys), ["id", "text_hash"])
         sizes = sample.groupBy("grade").count().collect()
         n, bad = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r.grade)
         nothing: MODEL = ({}, [30.0] * (GRADES - 1))
@@ -185,7 +191,7 @@ def fit_toxicity(
         hits = every.join(table, "word").select("row", "at", "level").toArrow()
         grades = sample.select("row", "grade").orderBy("row").toArrow()
     finally:
-        sample.unpersist()
+        whole.unpersist()
     hits = np.column_stack([c.to_numpy() for c in hits.columns]).astype(np.int64)
     hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
     hits[:, 0] = np.searchsorted(grades.column("row").to_numpy(), hits[:, 0])
@@ -221,7 +227,7 @@ def score_toxicity(docs: DataFrame, model: MODEL, *, text_col: str = "text") ->
     no rows. The model has all words of the fitted sample that pass its thresholds.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    source = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"))
     schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in (("severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType())))])
     return source.mapInArrow(_scorer(model, text_col), schema)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from attesta.llm import toxicity as tox
 
@@ -77,3 +78,23 @@ def test_one_word_is_enough(spark):
     held = {i for i in single if i >= 2000}
     assert {single[i] for i in held} == set(filler) and held <= said
     assert not [i for i, _, toxic in labels if i in said and not toxic]
+
+
+def test_sample_bound_counts_documents(spark):
+    """A labelled id that many rows have: no more documents than the bound are fitted, and repeated ones count once."""
+    from attesta.llm import toxicity
+
+    fitted = []
+    real = toxicity.fit_words
+    rows = [(7, f"own words w{k} x{k % 5}") for k in range(2000)] + [(8, "the same bad text")] * 500 + [(k, f"plain text {k % 7}") for k in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0), (8, 1), *((k, k % 2) for k in range(20, 60))], "doc_id long, toxic int")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "LEAST_CHI2", 0.0)
+        m.setattr(toxicity, "LEAST_DOCS", 1)
+        m.setattr(toxicity, "fit_words", lambda hits, toxic, n: fitted.append(len(toxic)) or real(hits, toxic, n))
+        toxicity.fit_toxicity(docs, labels, sample_rows=100)
+        assert max(fitted) == 100
+        fitted.clear()
+        toxicity.fit_toxicity(docs.where("doc_id <> 7"), labels, sample_rows=100)
+        assert max(fitted) == 41
