@@ -262,38 +262,42 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
 
-def difference(hub: np.ndarray, s: np.ndarray, common: Common) -> tuple[int, bool, np.ndarray]:
-    """Size of the difference of a set and its hub, whether they link, and the prefix of the difference.
+def difference(hub: np.ndarray, s: np.ndarray, common: Common) -> tuple[int, bool, int, np.ndarray]:
+    """Size of the difference of a set and its hub, whether they link, and the prefix of the difference, short and long.
 
     Sets link if and only if their difference is at most d / k of their sizes' sum, with d = DEN - NUM and k = DEN + NUM.
     What the set adds comes before what it lacks. A partner that may link has a difference of its own not smaller by more
-    than that; and where the set is linked with the hub, the partner isn't, or both would be in one component.
+    than that, for which the long prefix stands; where the partner's is not smaller at all, twice as much is shared, and
+    the short prefix does. Pages with a text of their own round a frame that all have lack the same, but the short prefix
+    of what they add is their own. Where the set is linked with the hub, the partner isn't, or both would be in one
+    component; then both prefixes are the same.
     """
     more, less = np.setdiff1d(s, hub, assume_unique=True), np.setdiff1d(hub, s, assume_unique=True)
     size, k, d = len(more) + len(less), DEN + NUM, DEN - NUM
     near = k * size <= d * (len(s) + len(hub))
     if near:
-        shared = (k * size + d * (len(hub) - len(s))) // (2 * k) + 1
+        shared = least = (k * size + d * (len(hub) - len(s))) // (2 * k) + 1
     else:
-        shared = size - d * (len(s) + len(s) * DEN // NUM) // k
+        most = d * (len(s) + len(s) * DEN // NUM)
+        shared, least = size - most // k, size - most // (2 * k)
     keys = np.concatenate([order_keys(more, common), order_keys(less, common)])
-    return size, near, keys[: size - max(1, shared) + 1]
+    return size, near, size - max(1, least) + 1, keys[: size - max(1, shared) + 1]
 
 
-DIFFERENCE = "hub long, unit long, n long, size long, near boolean, prefix array<long>"
+DIFFERENCE = "hub long, unit long, n long, size long, near boolean, short long, prefix array<long>"
 
 
 def _differences(common: Common):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in freed(batches):
-            n, size, near, prefix = [], [], [], []
+            n, size, near, short, prefix = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s = np.frombuffer(y.as_py(), "<u8")
-                for out, v in zip((size, near, prefix), difference(np.frombuffer(x.as_py(), "<u8"), s, common), strict=True):
+                for out, v in zip((size, near, short, prefix), difference(np.frombuffer(x.as_py(), "<u8"), s, common), strict=True):
                     out.append(v)
                 n.append(len(s))
-            cols = [pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(near, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch([*batch.columns[:2], *cols], names=["hub", "unit", "n", "size", "near", "prefix"])
+            cols = [pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(near, pa.bool_()), pa.array(short, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns[:2], *cols], names=["hub", "unit", "n", "size", "near", "short", "prefix"])
 
     return run
 
@@ -513,19 +517,22 @@ def remaining(lists: DataFrame, units: DataFrame, labels: DataFrame | None) -> t
 
 
 def apart_from_hubs(differences: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of units in different components whose differences from one hub can share enough."""
+    """Pairs (a, b) of units in different components whose differences from one hub can share enough.
+
+    The short prefix of the smaller difference meets the long one of the larger.
+    """
     mine = labelled(labels, differences, "unit", "label")
     mixed = mine.groupBy("hub").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("hub")
-    entries = mine.join(mixed, "hub", "left_semi").select("hub", "unit", "n", "size", "near", "label", F.posexplode("prefix").alias("place", "token"))
+    entries = mine.join(mixed, "hub", "left_semi").select("hub", "unit", "n", "size", "near", "short", "label", F.posexplode("prefix").alias("place", "token"))
     entries = written(entries, "difference_lists")
-    x, y = entries.alias("x"), entries.alias("y")
+    x, y = entries.where("place < short").alias("x"), entries.alias("y")
     apart = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     shared = (F.col("x.size") + F.col("y.size")) * (DEN + NUM) - (F.col("x.n") + F.col("y.n")) * (DEN - NUM)
     pairs = x.join(
         y,
         (F.col("x.hub") == F.col("y.hub"))
         & (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.unit") < F.col("y.unit"))
+        & (F.struct("x.size", "x.unit") < F.struct("y.size", "y.unit"))
         & (F.col("x.label") != F.col("y.label"))
         & ~(F.col("x.near") & F.col("y.near"))
         & alike_in_size(F.col("x.n"), F.col("y.n"))

@@ -101,14 +101,28 @@ def test_differences_share_prefixes():
     for _ in range(3000):
         odd = np.unique(np.concatenate([base[r.random(90) < 0.85], r.integers(0, 2**64, r.integers(0, 12), dtype=np.uint64)]))
         x, y = (np.unique(np.concatenate([odd[r.random(len(odd)) < 0.97], r.integers(0, 2**64, r.integers(0, 9), dtype=np.uint64)])) for _ in "xy")
-        (_, a, p), (_, b, q) = (nj.difference(np.sort(base), s, nj.NONE_COMMON) for s in (x, y))
+        (m, a, i, p), (n, b, k, q) = (nj.difference(np.sort(base), s, nj.NONE_COMMON) for s in (x, y))
         assert a == nj.similar(x, np.sort(base))
         if nj.similar(x, y) and not (a and b):
             seen += 1
-            assert set(p.tolist()) & set(q.tolist())
+            # the short prefix of the smaller difference, the long one of the larger; either where they are as large
+            assert m > n or set(p[:i].tolist()) & set(q.tolist())
+            assert n > m or set(p.tolist()) & set(q[:k].tolist())
     assert seen > 100
 
 
+@pytest.mark.parametrize("pages", [300, 900])
+def test_pages_round_a_frame_give_no_pairs(spark, monkeypatch, pages):
+    """80 words that all pages have and 15 of their own: no links, and no candidates that grow with the square of the pages."""
+    frame_words = [f"frame{k}" for k in range(80)]
+    rows = [(i, " ".join([*frame_words[:40], *(f"own{i}x{k}" for k in range(15)), *frame_words[40:]])) for i in range(pages)]
+    found = []
+    real = nj.apart_from_hubs
+    monkeypatch.setattr(nj, "apart_from_hubs", lambda *a: found.append(nj.written(real(*a), "counted_pairs")) or found[-1])
+    assert joined(frame(spark, rows)) == {i: (91, i) for i in range(pages)}
+    assert all(f.count() <= pages for f in found)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (60, 50), (7, 7), (90, 91), (91, 90)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
