@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import quoted
+
 
 class IngestError(ValueError):
     """A file that can't become a dataset."""
@@ -60,7 +62,7 @@ def plain_types(df: DataFrame) -> DataFrame:
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     out = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
+        c = F.col(quoted(f.name))
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.TimestampType):

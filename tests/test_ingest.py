@@ -154,3 +154,12 @@ def test_errors(session, tmp_path):
     assert session.datasets() == []
     with pytest.raises(UnknownDataset, match="known: none"):
         session.dataset("ds_x")
+
+
+def test_parquet_columns_of_any_name(spark, session, tmp_path):
+    """Dots, backticks and quotes in names; integers widen and values stay."""
+    path = str(tmp_path / "odd.parquet")
+    spark.sql("SELECT 1 AS `a.b`, 'x' AS `c``d`, date'2024-01-02' AS `e\"f`").write.parquet(path)
+    d = ingest(session, path)
+    assert [c.original_name for c in d.columns] == ["a.b", "c`d", 'e"f'] and [c.name for c in d.columns] == ["a_b", "c_d", "e_f"]
+    assert tuple(session.table(d.dataset_id).first())[:2] == (1, "x") and session.table(d.dataset_id).dtypes[0] == ("a_b", "bigint")
