@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import storage
 from .functions.textsafe import cell_text, cut_bytes, md_cell, sanitize
 from .session import Artifact, Session, new_id
-from .sources.names import quoted, unique_output
+from .sources.names import unique_output
 from .sqlgate import UnsafeSql, check_analyzed, check_sql
 
 PREVIEW_ROWS = 50
 PREVIEW_BYTES = 4096
 
 
-def first_rows(data: DataFrame) -> list:
-    """The first rows of stored data in the order in which they were written: by file, then by place in it."""
-    place = F.struct(F.length("_metadata.file_name"), "_metadata.file_name", "_metadata.row_index").alias("_place")
-    row = F.struct(*(F.col(quoted(c)) for c in data.columns)).alias("_row")
-    some = data.select(row, place).where(F.col("_place.row_index") < PREVIEW_ROWS)
-    return [r[0] for r in some.orderBy("_place").limit(PREVIEW_ROWS).collect()]
+def first_rows(spark: SparkSession, path: str, schema: StructType, n: int = PREVIEW_ROWS) -> list:
+    """The first rows of a stored result in the order in which they were written: by file, then by place in it.
 
+    Files are opened one after another until there are n rows, and of each no more is read than these take.
+    """
+    files = sorted(storage.listed(spark, path, ".parquet"), key=lambda f: (len(f), f))
+    out: list = []
+    for f in files:
+        if len(out) >= n:
+            break
+        out += spark.read.schema(schema).parquet(f).limit(n - len(out)).collect()
+    return out
 
-def preview(data: DataFrame, rows: int) -> str:
+
+def preview(spark: SparkSession, path: str, schema: StructType, rows: int) -> str:
     """Markdown of the first rows of a stored result."""
     if not rows:
         return "_0 rows_"
-    shown = first_rows(data)
+    shown = first_rows(spark, path, schema)
     cells = lambda xs: "| " + " | ".join(md_cell(sanitize(x)) for x in xs) + " |"
-    lines = [cells(data.columns), "|" + "---|" * len(data.columns), *(cells(map(cell_text, r)) for r in shown)]
+    lines = [cells(schema.names), "|" + "---|" * len(schema), *(cells(map(cell_text, r)) for r in shown)]
     if rows > len(shown):
         lines.append(f"_showing {len(shown)} of {rows} rows_")
     return cut_bytes("\n".join(lines), PREVIEW_BYTES)
@@ -44,7 +51,7 @@ def store(session: Session, df: DataFrame, kind: str, source: str, **more) -> Ar
     try:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         rows = seen.get["rows"]
-        text = preview(session.spark.read.schema(df.schema).parquet(path), rows)
+        text = preview(session.spark, path, df.schema, rows)
     except Exception:
         storage.delete(session.spark, path)
         raise

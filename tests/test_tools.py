@@ -139,3 +139,21 @@ def test_python_runs(tools):
     with pytest.raises(UnsafePython):
         tools.run_python("import os")
     assert len(tools.session.artifacts()) == n
+
+
+def test_preview_opens_the_first_files_only(spark, tmp_path):
+    """Rows in the order of files, some of them empty, and no file after the 50th row."""
+    from attesta.execute import first_rows
+
+    folder = str(tmp_path / "a b%20c")
+    spark.range(0, 400, 1, 8).where("id >= 60").repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(folder)
+    df = spark.read.parquet(folder)
+    want = [r.id for r in df.orderBy("id").limit(50).collect()]
+    assert [r.id for r in first_rows(spark, folder, df.schema)] == want
+    # files after the first ones may be anything
+    for f in sorted((tmp_path / "a b%20c").glob("part-*"))[3:]:
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "a b%20c").glob(".*.crc"):
+        f.unlink()
+    assert [r.id for r in first_rows(spark, folder, df.schema)] == want
+    assert first_rows(spark, str(tmp_path / "none"), df.schema) == []
