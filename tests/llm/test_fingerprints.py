@@ -1,7 +1,11 @@
 import hashlib
 import re
+import struct
 from statistics import mean
 
+import numpy as np
+import xxhash
+
 from attesta.llm import fingerprints as fp
 
 
@@ -46,3 +50,36 @@ def test_odd_rows(odd, nothing, spark):
     assert one.near_next == 1.0 and one.n_chars == 11
     spread = spark.createDataFrame([(-(2**62), "a b"), (2**62, "c d"), (None, "e f")], "doc_id long, text string")
     assert {r.doc_id: r.near_next for r in fp.fingerprints_with_next(spread).collect()} == {None: 0.0, -(2**62): 0.0, 2**62: 0.0}
+
+
+def plain_fingerprint(text):
+    """The bits of a fingerprint, from the definition: bins by the high bits of chained 64-bit hashes, empty ones borrowed."""
+    def chained(*values, seed=42):
+        for v in values:
+            data = v if isinstance(v, bytes) else struct.pack("<i" if isinstance(v, np.int32) else "<q", int(v))
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    words = [chained(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    shingles = [chained(*words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [chained(*words)] if words else []
+    of = lambda x: (x % 2**64) >> (64 - fp.BIN_BITS)
+    least = {}
+    for x in shingles:
+        least[of(x)] = min(x, least.get(of(x), x))
+    if not least:
+        return ""
+    at = lambda i: least[i] if i in least else min((chained(b, np.int32(i)), x) for b, x in least.items())[1]
+    return "".join(f"{at(i) & 255:02x}" for i in range(fp.BINS))
+
+
+def test_bits_like_brute_force(spark, odd):
+    rows = [r for r in odd.select("doc_id", "text").collect()]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint) for r in fp.fingerprint(odd).collect())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, plain_fingerprint(r.text)) for r in rows)
+
+
+def test_ranges_beyond_the_broadcast(spark, odd, monkeypatch):
+    rows = lambda: sorted(map(repr, fp.fingerprints_with_next(odd, rows_per_range=2).collect()))
+    want = rows()
+    monkeypatch.setattr(fp, "BROADCAST_ROWS", 0)
+    assert rows() == want

@@ -98,3 +98,19 @@ def test_sample_bound_counts_documents(spark):
         fitted.clear()
         toxicity.fit_toxicity(docs.where("doc_id <> 7"), labels, sample_rows=100)
         assert max(fitted) == 41
+
+
+def test_severity_like_brute_force(spark, odd):
+    """The expected grade from the weights of words at their levels and the thresholds, in plain Python."""
+    from collections import Counter
+
+    model = {"one": (0.4, 0.9, 1.1), "text": (0.7, 1.5, 3.0), "word": (-0.3, -0.4, -0.5)}, [0.5, 2.0]
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    got = sorted((r.row.doc_id is None, r.row.doc_id or 0, round(r.severity, 9), r.grade, round(r.p_toxic, 9)) for r in tox.score_toxicity(odd, model).collect())
+    want = []
+    for i, t in rows:
+        found = Counter(tox.words_of(t or ""))
+        score = sum(w[sum(found[x] >= k for k in tox.LEVELS) - 1] for x, w in model[0].items() if found[x])
+        above = [1 / (1 + np.exp(c - score)) for c in model[1]]
+        want.append((i is None, i or 0, round(sum(above), 9), sum(a >= 0.5 for a in above), round(above[0], 9)))
+    assert got == sorted(want)
