@@ -4,20 +4,22 @@ A rolling hash over 16 bytes triggers where it is the least of 200 neighbours, w
 parsed into phrases, one a trigger: the bytes of all 400-byte strings whose middle has its least hash there. Neighbouring
 phrases overlap by 399 bytes, so each 400-byte string lies in exactly one phrase, at the place its trigger gives, and equal
 strings lie in phrases with equal triggers. The parse therefore needs no order beyond its counts: a phrase of the
-dictionary that occurs twice repeats whole. What is left are strings of two different phrases; for these the suffixes
-of the dictionary phrases with the same trigger are put side by side, place by place.
+dictionary that occurs twice repeats whole. What is left are strings of two different phrases with one trigger.
+A trigger with few phrases is compared in one task, place by place. One with many is split: its distances are halved, and
+phrases go on together only where the bytes that all strings of a half have in common are equal, until few are left.
+Phrases that are equal over a whole half are told apart no further, so each half goes on with one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, freed, ship, written
@@ -30,8 +32,8 @@ LEAD = (LENGTH - NEIGHBOURS) // 2
 TAIL = LENGTH - NEIGHBOURS - LEAD + 1
 #: Longer texts are parsed in parts of so many strings.
 PART = 1 << 18
-#: Dictionary phrases with one trigger that are put side by side in one task; beyond, Spark groups their strings.
-SIDE_BY_SIDE = 20_000
+#: Phrases that are compared in one task, at most: about 2 MB, and a second or two. A trigger with more is split.
+SIDE_BY_SIDE = 2_000
 #: Rows of ids that may be broadcast, of 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LOWEST = -(2**63)
@@ -185,20 +187,35 @@ def runs(sorted_places: list[int]) -> Iterator[tuple[int, int]]:
             yield first, p
 
 
-STRING = "high long, low long, m long, at long, tie long, start long"
+NODE = f"{PHRASE}, a int, b int"
+HALF = NODE.replace("m long", "phrase long, m long")
 
 
-def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All 400-byte strings of phrases, by hash."""
+def halves(a: int, b: int, lo: int, hi: int, raw: bytes) -> Iterator[tuple[int, int, int, int, bytes, int, int]]:
+    """(key, phrase, lo, hi, bytes, a, b) of what a phrase has in each half of the distances a to b.
+
+    The key is of the bytes that all strings of the half share, the phrase of those that this phrase has there.
+    """
+    middle = (a + b) // 2
+    for a2, b2 in ((a, middle), (middle + 1, b)):
+        lo2, hi2 = min(lo, b2), max(hi, a2)
+        if hi2 <= lo2:
+            part = raw[lo - lo2 : lo - hi2 + LENGTH]
+            key = xxhash.xxh3_64_intdigest(part[lo2 - a2 : lo2 + LENGTH - b2], seed=a2 << 16 | b2)
+            whole = xxhash.xxh3_64_intdigest(part, seed=1 << 32 | lo2 << 16 | hi2)
+            yield key - 2**63, whole - 2**63, lo2, hi2, part, a2, b2
+
+
+def _halve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in HALF.split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 2
     for batch in freed(batches):
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in names]
         for g in batch.to_pylist():
-            for s in range(g["hi"], g["lo"] + 1):
-                digest = xxhash.xxh3_128_digest(g["bytes"][g["lo"] - s : g["lo"] - s + LENGTH])
-                high, low = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
-                for k, v in enumerate((high, low, g["m"], g["at"], g["tie"], g["x"] - s)):
+            for key, whole, lo, hi, part, a, b in halves(g["a"], g["b"], g["lo"], g["hi"], g["bytes"]):
+                for k, v in enumerate((key, whole, g["m"], g["at"], g["tie"], g["x"], lo, hi, part, a, b)):
                     out[k].append(v)
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=[x.split()[0] for x in STRING.split(", ")])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -242,33 +259,60 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, ids)
 
 
+def _span(df: DataFrame) -> DataFrame:
+    """The bytes that all strings of a phrase cover."""
+    return df.select("at", "tie", (F.col("x") - F.col("lo")).alias("start"), (F.col("x") - F.col("hi") + LENGTH).alias("stop"))
+
+
+def _cut(docs: DataFrame, phrases: DataFrame, name: str) -> DataFrame:
+    """The given phrases of docs, with their bytes."""
+    asked = phrases.groupBy("at", "tie").agg(F.collect_list(F.struct("key", "m", "x", "lo", "hi")).alias("asked"))
+    asked = written(asked, f"asked_{name}")
+    return _texts(docs, asked).select("at", "tie", "text", "asked").mapInArrow(_cut_out, PHRASE)
+
+
+def _sizes(phrases: DataFrame) -> DataFrame:
+    """(key, n): how many different phrases a key has, where it has more than one."""
+    return phrases.select("key", "phrase").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _split(hot: DataFrame, side_by_side: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, phrases): of phrases whose triggers have too many for a task, spans that repeat, and parts that are left to compare.
+
+    Eight rounds at most halve the distances down to one, at which phrases with one key are equal.
+    """
+    spans, few = [], []
+    names = [x.split()[0] for x in NODE.split(", ")]
+    hot = written(hot.withColumn("a", F.lit(LEAD)).withColumn("b", F.lit(LEAD + NEIGHBOURS - 1)), "hot")
+    while not hot.isEmpty():
+        parts = written(hot.mapInArrow(_halve, HALF), "halves")
+        copies = parts.groupBy("key", "phrase").agg(F.sum("m").alias("copies")).where("copies > 1").select("key", "phrase")
+        spans.append(_span(parts.where("m = 1").join(copies, ["key", "phrase"], "left_semi")))
+        one = [F.first(c).alias(c) for c in names if c not in ("key", "m")]
+        left = parts.join(_sizes(parts), "key").groupBy("key", "phrase").agg(F.sum("m").alias("m"), F.first("n").alias("n"), *one)
+        left = written(left.select(*names, "n"), "left")
+        few.append(left.where(F.col("n") <= side_by_side).select(*names[:-2]))
+        hot = left.where(F.col("n") > side_by_side).select(*names)
+    return spans, few
+
+
 def repeated_spans(docs: DataFrame, side_by_side: int = SIDE_BY_SIDE) -> DataFrame:
     """(at, tie, start, stop): spans of 400 bytes or more of (at, tie, text) whose every 400-byte string repeats somewhere."""
     spark = docs.sparkSession
-    ids = ["at", "tie"]
     parse = written(docs.mapInArrow(_parse, PARSED), "parse")
     one = [F.first(c).alias(c) for c in ("at", "tie", "x", "lo", "hi")]
-    dictionary = parse.groupBy("key", "phrase").agg(F.count("*").alias("m"), *one).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    dictionary = parse.groupBy("key", "phrase").agg(F.count("*").alias("m"), *one).join(_sizes(parse), "key", "left")
     dictionary = written(dictionary.where("m > 1 or n > 1"), "dictionary")
-    span = lambda df: df.select(*ids, (F.col("x") - F.col("lo")).alias("start"), (F.col("x") - F.col("hi") + LENGTH).alias("stop"))
-    whole = span(parse.join(dictionary.where("m > 1").select("key", "phrase"), ["key", "phrase"], "left_semi"))
-    asked = dictionary.where("n > 1").groupBy(*ids).agg(F.collect_list(F.struct("key", "m", "x", "lo", "hi")).alias("asked"))
-    asked = written(asked, "asked")
-    cut_out = _texts(docs, asked).select(*ids, "text", "asked").mapInArrow(_cut_out, PHRASE)
-    large = dictionary.where(F.col("n") > side_by_side).select("key").distinct()
-    if large.isEmpty():
-        beside = cut_out
-        spans = whole
-    else:
-        cut_out = written(cut_out, "phrases")
-        beside = cut_out.join(large, "key", "left_anti")
-        strings = written(cut_out.join(large, "key", "left_semi").mapInArrow(_strings, STRING), "strings")
-        twice = strings.groupBy("high", "low").agg(F.sum("m").alias("c")).where("c > 1").select("high", "low")
-        more = strings.where("m = 1").join(twice, ["high", "low"], "left_semi")
-        spans = whole.unionByName(more.select(*ids, "start", (F.col("start") + LENGTH).alias("stop")))
+    spans = [_span(parse.join(dictionary.where("m > 1").select("key", "phrase"), ["key", "phrase"], "left_semi"))]
+    few = [_cut(docs, dictionary.where(F.col("n") <= side_by_side), "few")]
+    many = dictionary.where(F.col("n") > side_by_side)
+    if not many.isEmpty():
+        more, parts = _split(_cut(docs, many, "many"), side_by_side)
+        spans, few = spans + more, few + parts
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beside = reduce(DataFrame.unionByName, few)
     beside = beside.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare, SPAN)
-    return spans.unionByName(beside)
+    return reduce(DataFrame.unionByName, spans).unionByName(beside)
 
 
 def remove_repeats(docs: DataFrame, *, side_by_side: int = SIDE_BY_SIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

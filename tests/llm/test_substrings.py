@@ -38,7 +38,7 @@ def passages():
     return [*texts, texts[0], texts[0], "z" * 399, "z" * 1000, "ab" * 700, None, "", shared[0], shared[1], shared[1]]
 
 
-@pytest.mark.parametrize("side_by_side", [20_000, 1])
+@pytest.mark.parametrize("side_by_side", [ss.SIDE_BY_SIDE, 7, 1])
 def test_against_all_strings(spark, side_by_side, monkeypatch):
     monkeypatch.setattr(ss, "PART", 700)
     ss._powers.clear()
@@ -48,6 +48,31 @@ def test_against_all_strings(spark, side_by_side, monkeypatch):
     ss._powers.clear()
 
 
+@pytest.mark.parametrize("length", [359, 395, 430, 900])
+def test_one_passage_of_many(spark, length, monkeypatch):
+    """A passage that all texts share is split in time: rows grow with the texts, not with their strings."""
+    r = random.Random(length)
+    letters = "abcdefghij klmnop"
+    passage = "".join(r.choices(letters, k=length))
+    texts = ["".join(r.choices(letters, k=300)) + passage + "".join(r.choices(letters, k=300)) for _ in range(120)]
+    made, plain = {}, ss.written
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name in ("halves", "hot", "left"):
+            made[name] = made.get(name, 0) + out.count()
+        if name == "left":
+            groups = out.where("n <= 20").groupBy("key").count().agg({"count": "max"}).first()[0]
+            assert groups is None or groups <= 20
+        return out
+
+    monkeypatch.setattr(ss, "written", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(df, side_by_side=20) == sorted(brute(texts))
+    # strings of 120 texts around one trigger: 24,000
+    assert made["hot"] >= 120 and made["halves"] <= 120 * 40
+
+
 def test_documents(docs, texts, monkeypatch):
     want = sorted(brute(texts.values()))
     assert removed(docs) == want
