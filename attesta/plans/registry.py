@@ -19,7 +19,7 @@ from ..operators.pairs import outcomes
 from ..operators.ordered import average_ranks, counted, with_previous
 from ..session import Session
 from ..sources.names import normalize
-from . import claim_queries, discovery_sql, join_queries
+from . import claim_queries, discovery_sql, join_queries, sketch_queries
 from .texts import SAME, SPARK_OWN
 
 
@@ -389,7 +389,7 @@ _OWN |= {
 }
 
 
-_OWN |= claim_queries.QUERIES | join_queries.QUERIES
+_OWN |= claim_queries.QUERIES | join_queries.QUERIES | sketch_queries.QUERIES
 
 
 def queries() -> dict:

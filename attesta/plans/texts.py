@@ -168,4 +168,35 @@ SPARK_OWN: dict[str, tuple[str, str, str]] = {
         "SELECT window.start AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT window(ts, '6 hours') AS window, event_type, value FROM events) GROUP BY window, event_type",
         "SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     ),
+    "sql_mode_text_aggregates": (
+        "lineitem orders",
+        "SELECT l_returnflag, CAST(mode(l_linenumber, true) AS BIGINT) AS usual, array_join(sort_array(array_agg(DISTINCT l_linestatus)), '+') AS states, "
+        "array_join(sort_array(array_agg(DISTINCT l_linenumber)), ',') AS numbers, min_by(l_orderkey, l_extendedprice * 100000000 + l_orderkey) AS low_order FROM lineitem GROUP BY l_returnflag "
+        "UNION ALL SELECT o_orderstatus, NULL, listagg(o_orderpriority, ', ') WITHIN GROUP (ORDER BY o_orderpriority DESC), NULL, NULL FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) GROUP BY o_orderstatus",
+        "SELECT l_returnflag, CAST(mode(l_linenumber) AS BIGINT) AS usual, string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS states, "
+        "array_to_string(list_sort(array_agg(DISTINCT l_linenumber)), ',') AS numbers, arg_min(l_orderkey, l_extendedprice * 100000000 + l_orderkey) AS low_order FROM lineitem GROUP BY l_returnflag "
+        "UNION ALL SELECT o_orderstatus, NULL, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority DESC), NULL, NULL FROM orders GROUP BY o_orderstatus",
+    ),
+    "sql_map_struct_fns": (
+        "customer",
+        "SELECT c_custkey, m['segment'] AS segment, CAST(size(m) AS BIGINT) AS n, array_join(array_sort(map_keys(m)), ',') AS ks, m['none'] AS none, s.name AS name, round(s.at.balance, 2) AS balance, to_json(s.tags) AS tags "
+        "FROM (SELECT c_custkey, map('segment', c_mktsegment, 'nation', CAST(c_nationkey AS STRING)) AS m, named_struct('name', c_name, 'at', named_struct('balance', c_acctbal), 'tags', array(c_mktsegment, 'x')) AS s FROM customer)",
+        "SELECT c_custkey, m['segment'] AS segment, CAST(cardinality(m) AS BIGINT) AS n, array_to_string(list_sort(map_keys(m)), ',') AS ks, m['none'] AS none, s.name AS name, round(s.at.balance, 2) AS balance, CAST(to_json(s.tags) AS VARCHAR) AS tags "
+        "FROM (SELECT c_custkey, MAP {'segment': c_mktsegment, 'nation': CAST(c_nationkey AS VARCHAR)} AS m, {'name': c_name, 'at': {'balance': c_acctbal}, 'tags': [c_mktsegment, 'x']} AS s FROM customer)",
+    ),
+    "sql_histogram_entropy": (
+        "lineitem",
+        "WITH c AS (SELECT l_returnflag, l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY l_returnflag) AS p FROM c) "
+        "SELECT l_returnflag, array_join(transform(array_sort(collect_list(struct(k, n))), x -> x.k || '=' || x.n), ',') AS histogram, round(-sum(p * log2(p)), 9) AS entropy FROM t GROUP BY 1",
+        "SELECT l_returnflag, array_to_string(list_transform(map_entries(histogram(l_linenumber)), lambda e: e.key || '=' || e.value), ',') AS histogram, round(entropy(l_linenumber), 9) AS entropy FROM lineitem GROUP BY 1",
+    ),
+    "sql_setops_all": (
+        "customer supplier",
+        "SELECT 'except' AS op, CAST(k AS BIGINT) AS k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL "
+        "SELECT 'union' AS op, CAST(k AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL "
+        "SELECT 'both' AS op, CAST(k AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)",
+        "SELECT 'except' AS op, CAST(k AS BIGINT) AS k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL "
+        "SELECT 'union' AS op, CAST(k AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL "
+        "SELECT 'both' AS op, CAST(k AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)",
+    ),
 }
