@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from .frequencies import BROADCAST_ROWS, ranged
 ROWS_PER_BIN = 20_000
 #: The class of intervals without length.
 POINT = -10_000
+#: Bits that tell the ends of an interval apart; shorter intervals than such a share of the greatest end are binned alike.
+PRECISION = 52
 
 
 def _row(df: DataFrame) -> Column:
@@ -58,9 +62,13 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
     Points are intervals whose ends are one column.
     """
     a, b = _intervals(left, left_ends), _intervals(right, right_ends)
-    of = lambda df: sorted(r[0] for r in df.select("class").distinct().collect())
     # one class for each power of two between the least and the greatest length
-    a_classes, b_classes = of(a), of(b)
+    of = lambda df: df.groupBy("class").agg(F.max(F.greatest(F.abs("low"), F.abs("high"))).alias("far")).collect()
+    a_found, b_found = of(a), of(b)
+    # lengths that are but roundings of the ends share one class, whose bins a long can still number
+    finest = math.frexp(max((r["far"] for r in (*a_found, *b_found)), default=0.0))[1] - PRECISION
+    a, b = (df.withColumn("class", F.when(F.col("class") == POINT, POINT).otherwise(F.greatest("class", F.lit(finest)))) for df in (a, b))
+    a_classes, b_classes = (sorted({k if k == POINT else max(k, finest) for k, _ in found}) for found in (a_found, b_found))
     a, b = _binned(a, b_classes), _binned(b, a_classes)
     key = ["k", "bin", "value"]
     full = a.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_bin).select(*key, F.ceil(F.col("n") / rows_per_bin).cast("int").alias("parts"))
