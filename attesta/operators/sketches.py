@@ -5,7 +5,8 @@ those of their union, so a dataset that grows is read once. Their size is bounde
 
 With the default sizes a distinct count is off by 6.5 % at most (four standard errors of 1.6 %), the rank of a quantile by
 1 % of the rows, and a frequent value's count by nothing where a column has at most 3,000 values, else by 1/1,000 of the
-rows at most; the first two bounds hold but for one time in some thousands.
+rows at most; the first two bounds hold but for one time in some thousands. Where all values are asked for, columns with
+more are counted in their rows.
 """
 
 from __future__ import annotations
@@ -91,3 +92,24 @@ def frequent_values(table: DataFrame, k: int, by: Sequence[str] = ()) -> DataFra
     keys = [F.col(quoted(b)) for b in by]
     found = table.select(*keys, "column", F.explode(F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(k))).alias("_one"))
     return found.select(*keys, "column", F.col("_one.item").alias("value"), F.col("_one.count").alias("count"))
+
+
+def all_values(df: DataFrame, columns: Sequence[str], table: DataFrame) -> DataFrame:
+    """(column, value, count): every value of the columns of df, as text, and how many rows have it, exactly.
+
+    table has the sketches of the columns, a row each. A column is taken from its sketch if that lost no value: its counts
+    make up all rows that are not null, and the column surely has fewer values than are counted exactly. The others are
+    counted in df by one shuffle of their distinct values, which may be any number.
+    """
+    kept = frequent_values(table, EXACT_VALUES).groupBy("column").agg(F.sum("count").alias("kept"))
+    few = F.hll_sketch_estimate("distinct") * (1 + DISTINCT_ERROR) < EXACT_VALUES
+    whole = F.coalesce("kept", F.lit(0)) == F.col("non_null")
+    # a row for each column
+    sure = {r[0] for r in table.join(kept, "column", "left").where(few & whole).select("column").collect()}
+    out = frequent_values(table.where(F.col("column").isin(sorted(sure))), EXACT_VALUES)
+    rest = [c for c in columns if c not in sure]
+    if not rest:
+        return out
+    texts = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in rest)))
+    counts = df.select(texts.alias("_one")).select("_one.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("count"))
+    return out.unionByName(counts)

@@ -47,3 +47,13 @@ def test_many_values_and_no_rows(spark):
     none = sk.sketches(df.limit(0), ["v"])
     assert sk.estimates(none).select("rows", "n_distinct").collect() == [(0, 0)] and sk.frequent_values(none, 3).count() == 0
     assert sk.sketches(df.limit(0).selectExpr("v", "1 g"), ["v"], by=["g"]).count() == 0
+
+
+def test_all_values_of_columns_with_many(spark):
+    """More values than a sketch holds, all as frequent or not, beside columns that the sketch counts; null counts nowhere."""
+    df = spark.range(40_000).selectExpr("id % 4999 `many.x`", "if(id % 3 = 0, null, concat('v', id)) once", "id % 5 few", "id % 3050 near", "cast(null as string) none")
+    columns = ["many.x", "once", "few", "near", "none"]
+    got = sorted(map(tuple, sk.all_values(df, columns, sk.merged([sk.sketches(df, columns, by=["few"])])).collect()))
+    values = df.toPandas()
+    assert got == sorted((c, str(v), n) for c in columns for v, n in values[c].dropna().value_counts().items())
+    assert sk.all_values(df.limit(0), columns, sk.sketches(df.limit(0), columns)).count() == 0
