@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..sources.names import quoted
+
 #: Values that a range holds about, and the most ranges that there are.
 PER_RANGE = 500_000
 MOST_RANGES = 4096
+#: Rows of a range table that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Cuts that a row is compared with at once; more are looked up in two steps.
 STEP = 64
 
@@ -70,3 +75,35 @@ def average_ranks(counts: DataFrame, value: str, name: str, n: int | None = None
 def counted(df: DataFrame, value: str) -> DataFrame:
     """(value, count) of the distinct values of a column."""
     return df.groupBy(value).agg(F.count("*").alias("count"))
+
+
+def percentiles(df: DataFrame, value: str, fractions: list[float], by: list[str], n: int | None = None) -> DataFrame:
+    """(by..., p0, p1...): exact percentiles of a numeric column in each group, between neighbours in proportion; nulls don't count.
+
+    A first pass counts the rows of each range of values in each group; a second one groups and sorts the values of those
+    ranges alone that hold a place asked for. So a task gets the distinct values of a range, not those of a group.
+    """
+    keys = [F.col(quoted(b)) for b in by]
+    rows = df.select(F.struct(F.lit(0).alias("_"), *(k.alias(f"k{i}") for i, k in enumerate(keys))).alias("_key"), F.col(quoted(value)).cast("double").alias("_v"))
+    n = ranges_for(rows.count()) if n is None else n
+    ranged = rows.withColumn("_range", F.when(F.col("_v").isNotNull(), range_of(rows, F.col("_v"), n)).otherwise(-1))
+    sums = storage.written(ranged.groupBy("_key", "_range").agg(F.count("_v").alias("rows")), "range_counts")
+    group, earlier = W.partitionBy("_key"), W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    based = sums.withColumn("total", F.sum("rows").over(group)).withColumn("base", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    at = [(F.col("total") - 1) * F.lit(float(p)) for p in fractions]
+    places = F.array_distinct(F.array(*(f(x).cast("long") for x in at for f in (F.floor, F.ceil))))
+    here = lambda first, rows: F.filter(places, lambda x: (first <= x) & (x < first + rows))
+    held = storage.written(based.where("rows > 0").where(F.size(here(F.col("base"), F.col("rows"))) > 0).select("_key", "_range", "base", "total"), "held_ranges")
+    few = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    counts = ranged.join(few.select("_key", "_range"), ["_key", "_range"]).groupBy("_key", "_range", "_v").agg(F.count("*").alias("rows"))
+    inside = W.partitionBy("_key", "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(few, ["_key", "_range"])
+    found = placed.select("_key", "_v", F.explode(here(F.col("base") + F.col("before"), F.col("rows"))).alias("place"))
+    values = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("place", "_v"))).alias("values"))
+    out = sums.groupBy("_key").agg(F.sum("rows").alias("total")).join(values, "_key", "left")
+
+    def between(x):
+        low, high = (F.try_element_at("values", f(x).cast("long")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    return out.select(*(F.col(f"_key.k{i}").alias(b) for i, b in enumerate(by)), *(between(x).alias(f"p{i}") for i, x in enumerate(at)))

@@ -16,7 +16,7 @@ from ..operators import coverage, profile
 from ..operators.claims import prose_numbers as prose_tokens
 from ..operators.discover import discover
 from ..operators.pairs import outcomes
-from ..operators.ordered import average_ranks, counted, with_previous
+from ..operators.ordered import average_ranks, counted, percentiles, with_previous
 from ..session import Session
 from ..sources.names import normalize
 from . import claim_queries, discovery_sql, join_queries, sketch_queries
@@ -235,6 +235,12 @@ def stored(session: Session, text: str) -> DataFrame:
     return session.data(r)
 
 
+def quartiles(spark, sf_dir):
+    """First and third quartiles of prices; percentile() would hold all prices of a status in one task."""
+    found = percentiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.25, 0.75], ["l_linestatus"])
+    return found.select("l_linestatus", F.round("p0", 6).alias("q1"), F.round("p1", 6).alias("q3"))
+
+
 def same_sql(name, spark, sf_dir):
     """A text of the dialect, through run_sql, over the tables by name."""
     tables, text = SAME[name] if name in SAME else SPARK_OWN[name][:2]
@@ -367,6 +373,10 @@ _OWN |= {
         ingest_csv,
         "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     ),
+    "sql_percentiles": (
+        quartiles,
+        "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY 1",
+    ),
     "run_sql_artifact": (sql_artifact, "SELECT o_orderstatus, count(*) AS n, count(*) AS n_1 FROM orders GROUP BY 1"),
     "prose_numbers": (
         prose_numbers,
