@@ -7,6 +7,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,18 +127,32 @@ def summaries(counts: DataFrame, texts: list[int]) -> DataFrame:
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("n"), F.count_if(some).alias("distinct"),
         F.min(F.when(some, key)).alias("low"), F.max(F.when(some, key)).alias("high"),
         F.coalesce(F.sum(F.when(finite, F.col("n"))), F.lit(0)).alias("finite"), F.sum(F.when(finite, x * F.col("n"))).alias("total"),
+        F.max(F.when(finite, F.abs(x))).alias("largest"),
         F.coalesce(F.sum(dates), F.lit(0)).alias("dates"),
     )
 
 
-def deviations(counts: DataFrame, means: dict[int, float]) -> dict[int, float]:
-    """Sums of squared distances of finite numbers from their means."""
+def centred(counts: DataFrame, means: dict[int, float], largest: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
+    """(means, sums of squared distances from them) of finite numbers, whose largest sizes are given.
+
+    A sum of doubles rounds as its partial sums grow, in the order of the tasks. So distances from the given means are
+    added as whole numbers of a unit, 2^50 of which reach any of them, and small rests; their mean takes the error away.
+    """
     if not means:
-        return {}
-    table = F.broadcast(counts.sparkSession.createDataFrame(list(means.items()), "col int, mean double"))
-    x = number()
-    off = counts.where(~F.isnan(x) & (F.abs(x) < float("inf"))).join(table, "col").groupBy("col").agg(F.sum(F.col("n") * F.pow(x - F.col("mean"), F.lit(2))).alias("off"))
-    return {r.col: r.off for r in off.collect()}
+        return {}, {}
+    unit = {i: math.ldexp(1.0, max(math.frexp(largest[i])[1] - 49, -1074)) if math.isfinite(m) and largest[i] < 2.0**1000 else None for i, m in means.items()}
+    table = F.broadcast(counts.sparkSession.createDataFrame([(i, m, unit[i]) for i, m in means.items()], "col int, mean double, unit double"))
+    x, away = number(), number() - F.col("mean")
+    units = F.rint(away / F.col("unit"))
+    rest = away - units * F.col("unit")
+    near = counts.where(~F.isnan(x) & (F.abs(x) < float("inf"))).join(table, "col").groupBy("col")
+    sums = near.agg(
+        F.sum("n").alias("n"), F.sum(units.cast("decimal(17,0)") * F.col("n")).alias("units"), F.sum(rest * F.col("n")).alias("rest"),
+        F.sum(F.col("n") * F.pow(away, F.lit(2))).alias("off"),
+    ).collect()
+    shift = {r.col: (Fraction(int(r.units)) * Fraction(unit[r.col]) + Fraction(r.rest)) / r.n if unit[r.col] else Fraction(0) for r in sums}
+    near_means = {i: float(Fraction(m) + shift[i]) if unit[i] else m for i, m in means.items()}
+    return near_means, {r.col: max(r.off - r.n * float(shift[r.col]) ** 2, 0.0) for r in sums}
 
 
 def times_of(counts: DataFrame, i: int, kind: T.DataType) -> DataFrame:
@@ -168,9 +183,9 @@ def profile(df: DataFrame, dataset_id: str = "", name: str = "", original_names:
     at = {i: [q * (n - 1) for q in QUANTILES] for i, n in finite.items()}
     means = {i: found[i].total / n for i, n in finite.items()}
     with ThreadPoolExecutor(2) as pool:
-        asked = pool.submit(deviations, counts, means)
+        asked = pool.submit(centred, counts, means, {i: found[i].largest for i in means})
         placed = values_at(counts, {i: [f(a) for a in own for f in (math.floor, math.ceil)] for i, own in at.items()})
-        off = asked.result()
+        means, off = asked.result()
     between = lambda i, a: placed[i, math.floor(a)] + (placed[i, math.ceil(a)] - placed[i, math.floor(a)]) * (a - math.floor(a))
 
     rows = max((r.rows for r in found.values()), default=0)

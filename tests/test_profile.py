@@ -1,4 +1,7 @@
+import math
+import random
 from datetime import date, datetime, timedelta
+from fractions import Fraction
 
 import pytest
 
@@ -23,6 +26,24 @@ def test_odd_numbers(spark):
     assert one.numeric.std is None and one.numeric.p5 == one.numeric.p95 == 3.5
 
 
+def test_mean_of_many_large_numbers(spark):
+    """The mean is the exact one's nearest or next double, whatever the order in which tasks add."""
+    r = random.Random(5)
+    near, wide = [round(1e6 + r.random(), 9) for _ in range(20_000)], sorted(round(r.uniform(900, 105_000), 2) for _ in range(20_000))
+    p = profile(spark.createDataFrame(list(zip(near, wide, strict=True)), "near double, wide double").repartition(3))
+    for values, n in zip((near, wide), (c.numeric for c in p.columns), strict=True):
+        exact = sum(map(Fraction, values)) / len(values)
+        assert abs(Fraction(n.mean) - exact) <= math.ulp(n.mean)
+        assert n.std == pytest.approx(math.sqrt(sum((Fraction(x) - exact) ** 2 for x in values) / (len(values) - 1)), rel=1e-12)
+
+
+def test_means_of_extreme_numbers(spark):
+    """Numbers near either end of the doubles, and equal ones, have the means that plain sums give."""
+    p = profile(spark.createDataFrame([(1e308, 5e-324, 0.0, 0.1, 7), (-1e308, 5e-324, 0.0, 0.1, 2**62), (3e307, 5e-324, -0.0, 0.1, None)], "a double, b double, c double, d double, e long"))
+    assert [c.numeric.mean for c in p.columns] == [pytest.approx(1e307), 5e-324, 0.0, 0.1, 2.0**61 + 4]
+    assert [c.numeric.std for c in p.columns[1:4]] == [0.0, 0.0, 0.0]
+
+
 def test_empty_and_all_null(spark):
     e = profile(spark.createDataFrame([], "id long, s string"))
     assert e.row_count == 0 and e.columns[0].min_value is None and e.columns[0].null_rate == 0.0
