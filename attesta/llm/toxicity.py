@@ -149,9 +149,9 @@ def fit_toxicity(
     """Weights of words and the thresholds, from at most sample_rows labelled documents.
 
     A document is an id with a text: rows that repeat both count once, and if the ids that are drawn have more documents
-    than sample_rows, these are drawn too, by a hash. Labels without a toxic value or id, and documents without labels,
-    play no role; of labels that repeat an id one counts, the toxic one. Null and empty texts have no words; long ones are
-    read whole; other columns of any name play no role. With no labelled row, empty tables or one class only, no word has a weight and
+    than sample_rows, these are drawn too, by a hash and with one weight for each id. Labels without a toxic value or id, and
+    documents without labels, play no role; of labels that repeat an id one counts, the toxic one. Null and empty texts have
+    no words; long ones are read whole; other columns of any name play no role. With no labelled row, empty tables or one class only, no word has a weight and
     no document is toxic.
     """
     ship(docs.sparkSession)
@@ -165,7 +165,11 @@ def fit_toxicity(
     whole = sample
     try:
         if whole.count() > sample_rows:
-            keys = whole.select("id", "text_hash").orderBy(F.xxhash64("id", "text_hash"), "id", "text_hash").limit(sample_rows)
+            # an exponential variate over the weight, 1 for all documents of an id together: one with many crowds no other
+            # out; there are at most sample_rows ids
+            u = (F.shiftrightunsigned(F.xxhash64("id", "text_hash"), 11) + 0.5) / F.lit(2.0**53)
+            weighed = whole.select("id", "text_hash").join(F.broadcast(whole.groupBy("id").agg(F.count("*").alias("n_docs"))), "id")
+            keys = weighed.orderBy(-F.log(u) * F.col("n_docs"), "id", "text_hash").limit(sample_rows).select("id", "text_hash")
             sample = whole.join(F.broadcast(keys), ["id", "text_hash"])
         sizes = sample.groupBy("grade").count().collect()
         n, bad = sum(r["count"] for r in sizes), sum(r["count"] for r in sizes if r.grade)

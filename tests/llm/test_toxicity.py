@@ -100,6 +100,17 @@ def test_sample_bound_counts_documents(spark):
         assert max(fitted) == 41
 
 
+def test_many_documents_of_one_id(spark):
+    """An id with most of the documents doesn't crowd out the toxic ones, whichever way hashes fall."""
+    for own in range(3):
+        rows = [(own, f"clean words number {k}") for k in range(3000)] + [(k, f"such {'awful' if k % 2 else 'pleasant'} text {k}") for k in range(20, 60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(own, 0), *((k, k % 2) for k in range(20, 60))], "doc_id long, toxic int")
+        model = tox.fit_toxicity(docs, labels, sample_rows=100)
+        assert set(model[0]) >= {"awful"}
+        assert {r.doc_id for r in tox.drop_toxic(docs, labels).select("doc_id").collect()} == {own, *range(20, 60, 2)}
+
+
 def test_severity_like_brute_force(spark, odd):
     """The expected grade from the weights of words at their levels and the thresholds, in plain Python."""
     from collections import Counter
